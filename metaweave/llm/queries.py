@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import decontaminate, simhash
+from metaweave.llm import decontaminate, exact_dedup, packing, sharding, simhash, toxicity
 from metaweave.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -26,6 +30,42 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_decontaminate": op6_decontaminate}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents")).rows
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_simhash": op3_simhash,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
+}
 
-ORACLES: dict[str, str] = {}
+#: DuckDB's regexp_replace(.., 'g') and sha256 say op7 in full.
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
+        )
+        SELECT doc_id,
+               min(doc_id) OVER (PARTITION BY h) AS keep_id,
+               count(*) OVER (PARTITION BY h) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY h) AS kept,
+               h AS text_sha256
+        FROM d
+    """,
+}
