@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import decontaminate, exact_dedup, packing, sharding, simhash, toxicity
+from metaweave.llm import decontaminate, exact_dedup, packing, sharding, simhash, toxicity, warc
 from metaweave.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.select(
@@ -51,11 +56,11 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
-#: DuckDB's regexp_replace(.., 'g') and sha256 say op7 in full.
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""
         WITH d AS (
@@ -68,4 +73,13 @@ ORACLES: dict[str, str] = {
                h AS text_sha256
         FROM d
     """,
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages
+        ), f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+        SELECT p.page_id, p.n AS payload_bytes, p.h AS payload_digest,
+               CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f USING (h)
+    """,
 }
