@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import decontaminate, exact_dedup, packing, secrets, sharding, simhash, toxicity, warc
+from metaweave.llm import decontaminate, exact_dedup, ngram, packing, secrets, sharding, simhash, toxicity, warc
 from metaweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -61,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_simhash": op3_simhash,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
