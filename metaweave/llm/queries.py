@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import decontaminate, exact_dedup, ngram, packing, secrets, sharding, simhash, toxicity, warc
+from metaweave.llm import decontaminate, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
 from metaweave.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: The registered query's key; a corpus run brings its own from a secret store.
+PII_KEY = b"metaweave registered query"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace(table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), "entities")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -64,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_simhash": op3_simhash,
     "op4_ngram_lm": op4_ngram_lm,
     "op5_secrets": op5_secrets,
