@@ -180,7 +180,7 @@ def exact_moves(canon: DataFrame, setting: LouvainSettings) -> DataFrame:
         comm = move_all(list(rows[["u", "v", "w"]].itertuples(index=False, name=None)), setting)
         return pd.DataFrame({"node": list(comm), "comm": list(comm.values())})
 
-    return canon.groupBy(F.lit(0)).applyInPandas(run, f"node {kind}, comm {kind}")
+    return canon.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"node {kind}, comm {kind}")
 
 
 def relabelled(assign: DataFrame) -> DataFrame:

@@ -120,10 +120,8 @@ def endpoints(graph: Graph, path: MetaPath, traversal: Traversal = Traversal())
                 if kinds[j] == kinds[i + 1] and f"n{j}" in keys:
                     out = out.where(F.col(f"n{j}") != F.col(f"n{i + 1}"))
         later = set() if traversal.allow_cycles else set(kinds[i + 2 :])
-        keep = [k for j, k in enumerate(keys) if j in (0, i + 1) or kinds[j] in later]
-        if i + 1 < last or keep != keys or i == 0:
-            out, keys = merged(out, keep), keep
-    out = merged(out, ["n0", f"n{last}"]) if last > 1 else out
+        keep = [k for k in keys if k in ("n0", f"n{i + 1}") or kinds[int(k[1:])] in later]
+        out, keys = merged(out, keep), keep
     return out.withColumnsRenamed({"n0": "src", f"n{last}": "dst"})
 
 
