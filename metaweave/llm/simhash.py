@@ -314,8 +314,171 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+# ---------------------------------------------------------------- similarity of 0.8 and more
+
+#: Differing bits that texts of similarity 0.8 and more stay within, for the fingerprints of
+#: their words with repeats and of their distinct words (measured: 96 and 100 % of such pairs).
+WORD_BITS, DISTINCT_BITS = 4, 10
+#: Shingle hashes kept of a text to measure similarity; shorter texts are measured exactly.
+SKETCH = 128
+#: Fingerprints of a shard that are compared with each other in full.
+DENSE = 64
+_BLOCK = 4096
+
+_SIGNS = "doc_id bigint, w bigint, d bigint, z bigint, sketch array<bigint>"
+
+
+def _majority(hashes: np.ndarray, counts: np.ndarray) -> int:
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(counts @ bits * 2 > counts.sum(), bitorder="little").view("<u8")[0])
+
+
+def signature(raw: bytes, width: int = 5, k: int = SKETCH) -> tuple[int, int, int, np.ndarray]:
+    """Fingerprints of words, distinct words and ``width``-word shingles, and the k least shingle hashes."""
+    words = raw.lower().split()
+    if not words:
+        return 0, 0, 0, np.empty(0, np.uint64)
+    counts: dict[bytes, int] = {}
+    for x in words:
+        counts[x] = counts.get(x, 0) + 1
+    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in counts], "<u8")
+    many = np.fromiter(counts.values(), np.int64, len(counts))
+    text = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    last = max(len(words) - width, 0)
+    starts = (ends - sizes)[: last + 1].tolist()
+    ends = ends[len(words) - 1 - last :].tolist()
+    shingles = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+    z = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), _CHUNK):
+        z += np.unpackbits(shingles[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    z = int(np.packbits(z * 2 > len(shingles), bitorder="little").view("<u8")[0])
+    return _majority(hashes, many), _majority(hashes, np.ones_like(many)), z, np.unique(shingles)[:k]
+
+
+def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            w, d, z, sketch = zip(*[signature(x, width) for x in raw_texts(batch)])
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = np.concatenate(sketch).view(np.int64)
+            offsets = np.cumsum([0, *map(len, sketch)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), long(w), long(d), long(z), held], names=["doc_id", "w", "d", "z", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SIGNS)
+
+
+def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    near = np.bitwise_count(rows["w"][i] ^ rows["w"][j]) <= WORD_BITS
+    near[near] = np.bitwise_count(rows["d"][i[near]] ^ rows["d"][j[near]]) <= DISTINCT_BITS
+    return near
+
+
+def shard_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs of each shard ``[start, end)``: all of a small one; of a large one each
+    fingerprint's nearest in every block, so that output stays linear in a dense family."""
+    us, vs = [], []
+    size = ends - starts
+    small = size <= DENSE
+    here = np.concatenate([np.arange(a, b) for a, b in zip(starts[small], ends[small])]) if small.any() else np.empty(0, np.int64)
+    left = np.repeat(ends[small], size[small]) - here - 1
+    for step in range(1, int(size[small].max(initial=1))):
+        live = left >= step
+        here, left = here[live], left[live]
+        ok = _close(rows, here, here + step)
+        us.append(here[ok])
+        vs.append(here[ok] + step)
+    for a, b in zip(starts[~small].tolist(), ends[~small].tolist()):
+        order = a + np.argsort(rows["z"][a:b], kind="stable")
+        for x in range(0, len(order), 512):
+            q = order[x : x + 512]
+            for y in range(0, len(order), _BLOCK):
+                t = order[y : y + _BLOCK]
+                w = np.bitwise_count(rows["w"][q][:, None] ^ rows["w"][t][None])
+                d = np.bitwise_count(rows["d"][q][:, None] ^ rows["d"][t][None]).astype(np.int16)
+                far = (w > WORD_BITS) | (d > DISTINCT_BITS) | (q[:, None] == t[None])
+                far |= rows["node"][q][:, None] == rows["node"][t][None]
+                score = np.where(far, 999, d + np.bitwise_count(rows["z"][q][:, None] ^ rows["z"][t][None]))
+                best = score.argmin(axis=1)
+                ok = score[np.arange(len(q)), best] < 999
+                us.append(q[ok])
+                vs.append(t[best[ok]])
+    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+    return cat(us), cat(vs)
+
+
+def close_pairs(signs: DataFrame) -> DataFrame:
+    """``u < v`` (nodes) whose fingerprints agree on a block of each kind and are close in both."""
+    blocks = [(i, j) for i in _cuts(list(range(64)), WORD_BITS + 1) for j in _cuts(list(range(64)), DISTINCT_BITS + 1)]
+    mask = lambda bits: F.lit(_signed(sum(1 << b for b in bits)))
+    keys = [F.xxhash64(F.lit(n), F.col("w").bitwiseAND(mask(i)), F.col("d").bitwiseAND(mask(j))) for n, (i, j) in enumerate(blocks)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "node", "w", "d", "z")
+        held: dict[str, np.ndarray] | None = None
+
+        def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+            key = rows["key"]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(starts[1:], len(key))
+            more = ends - starts > 1
+            u, v = shard_pairs(rows, starts[more], ends[more])
+            u, v = rows["node"][u], rows["node"][v]
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"]) if len(pairs) else None
+
+        for batch in batches:
+            rows = {n: batch.column(n).to_numpy() for n in names}
+            for n in ("w", "d", "z"):
+                rows[n] = rows[n].view(np.uint64)
+            if held is not None:
+                rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
+            if not len(rows["key"]):
+                continue
+            whole = int(np.searchsorted(rows["key"], rows["key"][-1]))  # the last key may go on
+            held = {n: x[whole:] for n, x in rows.items()}
+            if whole and (out := found({n: x[:whole] for n, x in rows.items()})):
+                yield out
+        if held is not None and (out := found(held)):
+            yield out
+
+    spread = signs.select("node", "w", "d", "z", F.explode(F.array(*keys)).alias("key")).select("key", "node", "w", "d", "z")
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` between nodes of similar texts.
+
+    Candidates are close in two fingerprints; the similarity of their shingle sets, measured on
+    the least hashes, decides.  Texts with all fingerprints alike are one node.
+    """
+    rows = cut(signatures(docs, width).withColumn("node", F.xxhash64("w", "d", "z")), "signatures")
+    signs = rows.select("node", "w", "d", "z").distinct()
+    pairs = cut(close_pairs(signs), "pairs")
+    sketch = rows.groupBy("node").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("node", "s.sketch")
+    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sketch = cut(sketch.join(need, "node", "left_semi"), "sketches")
+    both = pairs.join(sketch.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+    least = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
+    met = F.size(F.array_intersect(F.array_intersect("a", "b"), least))
+    links = both.where(met >= similarity * F.size(least)).select("u", "v")
+    return rows.select("doc_id", "node"), links
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` by similarity of shingle sets; singletons name themselves."""
+    rows, links = similar_links(docs, width, similarity)
+    parts = star_components(links)
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left")
+    named = cut(named.select("node", F.coalesce("component", "node").alias("component"), "least"), "classes")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents whose id names their class; rows with a null id are all kept."""
-    found = near_duplicates(docs, width, radius)
+    found = similar_classes(docs, width, similarity)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
