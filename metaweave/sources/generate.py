@@ -40,7 +40,7 @@ def block_of(spark: SparkSession, n: int, blocks: int) -> DataFrame:
 
 def random_sets(spark: SparkSession, n: int, sets: int, p: float, seed: int = 42) -> DataFrame:
     """``set, node``: each node in each set with probability p."""
-    grid = spark.range(sets).select(F.col("id").alias("set"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint").alias("node"))
+    grid = spark.range(sets).select(F.col("id").alias("set"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("node"))
     return grid.where(chance("set", "node", seed) < p)
 
 

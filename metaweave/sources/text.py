@@ -18,8 +18,12 @@ class FormatError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, fields, file, at``: lines that are neither blank nor comments."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    """``value, fields, file, at``: lines that are neither blank nor comments.
+
+    ``at`` orders the lines of a file: by split, and within a split as it is read.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
     trimmed = F.trim(F.regexp_replace("value", r"\s+", " "))
     return text.withColumn("value", trimmed).where((F.col("value") != "") & ~F.col("value").startswith("#")).withColumn("fields", F.split("value", " "))
 
