@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaweave.llm.common import raw_texts, slices
@@ -109,26 +109,35 @@ def scan_text(automaton: ahocorasick.Automaton, raw: bytes) -> Scanned:
 _BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
-def scan(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
-) -> DataFrame:
-    """One row per document: word counts, items found, and hit spans in the original text."""
+def _automaton_of(spark: SparkSession, benchmark: DataFrame, window: int, max_benchmark_bytes: int) -> Callable[[], ahocorasick.Automaton]:
+    """What gives the automaton in a task; it is built once a worker from broadcast patterns."""
     held = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     if held > max_benchmark_bytes:
         raise ValueError(f"the benchmark has {held} bytes of text; at most {max_benchmark_bytes} are broadcast")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").collect()
-    found = docs.sparkSession.sparkContext.broadcast(patterns([(r["i"], (r["text"] or "").encode()) for r in rows], window))
-
+    found = spark.sparkContext.broadcast(patterns([(r["i"], (r["text"] or "").encode()) for r in rows], window))
     name = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get() -> ahocorasick.Automaton:
         if name not in _BUILT:
             _BUILT.clear()
             _BUILT[name] = build(found.value)
-        automaton = _BUILT[name]
+        return _BUILT[name]
+
+    return get
+
+
+def scan(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
+) -> DataFrame:
+    """One row per document: word counts, items found, and hit spans in the original text."""
+    get = _automaton_of(docs.sparkSession, benchmark, window, max_benchmark_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = get()
         for batch in slices(batches):
             got = [scan_text(automaton, raw) for raw in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays(
@@ -145,7 +154,13 @@ def scan(
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of any item, with their columns unchanged."""
-    bad = scan(docs, benchmark, window).where("n_hit > 0").select("doc_id")
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """The documents that hold no window of any item, with their columns unchanged; no shuffle."""
+    get = _automaton_of(docs.sparkSession, benchmark, window, max_benchmark_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = get()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not scan_text(automaton, raw).n_hit for raw in raw_texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
