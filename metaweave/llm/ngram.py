@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaweave.llm.common import fold, raw_texts, slices
@@ -400,8 +400,8 @@ def _count_level(train: DataFrame, trie: Trie, level: int) -> DataFrame:
                 node = read.trie.look(shorter, before, known)[0]
                 before = before_each(node, starts)
             live = (before >= 0) & (node >= 0)
-            keys = (before[live] << 32) | known[live]
-            held.append(np.unique(keys, return_counts=True))
+            if live.any():
+                held.append(np.unique((before[live] << 32) | known[live], return_counts=True))
             if sum(len(k) for k, _ in held) > 4_000_000:
                 keys, n = merged()
                 held.clear()
@@ -500,15 +500,16 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
     for level in range(2, order + 1):
         if nodes >= 1 << 31:
             raise OverflowError(f"level {level - 1} has {nodes} nodes")
-        seen = Observation()
-        counted = _count_level(own, trie, level).observe(
-            seen,
-            F.sum((F.col("n") == 1).cast("bigint")).alias("once"),
-            F.sum((F.col("n") == 2).cast("bigint")).alias("twice"),
-            F.sum((F.col("n") >= LEAST).cast("bigint")).alias("kept"),
-        )
-        kept = cut(counted.where(F.col("n") >= LEAST), "grams")
-        once, twice, nodes = (seen.get[k] or 0 for k in ("once", "twice", "kept"))
+        # what was seen once is only counted: one row -1 a task, merged below
+        counted = _count_level(own, trie, level).select(F.when(F.col("n") >= LEAST, F.col("key")).otherwise(-1).alias("key"), "n")
+        grams = cut(counted.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+        kept = grams.where("key >= 0")
+        seen = grams.agg(
+            F.sum(F.when(F.col("key") < 0, F.col("n"))).alias("once"),
+            F.sum(((F.col("key") >= 0) & (F.col("n") == 2)).cast("bigint")).alias("twice"),
+            F.sum((F.col("key") >= 0).cast("bigint")).alias("kept"),
+        ).first()
+        once, twice, nodes = (x or 0 for x in seen)
         if not nodes:
             break
         discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
@@ -516,7 +517,7 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
         sums = kept.groupBy(context.alias("context")).agg(F.sum("n").alias("of_context"), F.count(F.lit(1)).alias("children"))
         rows = kept.withColumn("context", context).join(sums, "context")
         trie.levels.append(_write_shards(rows, level, trie, discount, nodes, out_dir))
-        release(kept)
+        release(grams)
     return trie
 
 
