@@ -25,6 +25,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,9 +317,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
 
 # ---------------------------------------------------------------- similarity of 0.8 and more
 
-#: Differing bits that texts of similarity 0.8 and more stay within, for the fingerprints of
-#: their words with repeats and of their distinct words (measured: 96 and 100 % of such pairs).
-WORD_BITS, DISTINCT_BITS = 4, 10
+#: Differing bits that texts of similarity 0.8 and more stay within: for the fingerprints of
+#: their words with repeats and of their distinct words together (texts with many common
+#: words), or of their distinct words alone (texts without).
+WORD_BITS, DISTINCT_BITS, DISTINCT_ALONE = 4, 10, 5
 #: Shingle hashes kept of a text to measure similarity; shorter texts are measured exactly.
 SKETCH = 128
 #: Fingerprints of a shard that are compared with each other in full.
@@ -371,8 +373,10 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    near = np.bitwise_count(rows["w"][i] ^ rows["w"][j]) <= WORD_BITS
-    near[near] = np.bitwise_count(rows["d"][i[near]] ^ rows["d"][j[near]]) <= DISTINCT_BITS
+    d = np.bitwise_count(rows["d"][i] ^ rows["d"][j])
+    near = d <= DISTINCT_ALONE
+    maybe = np.flatnonzero(~near & (d <= DISTINCT_BITS))
+    near[maybe] = np.bitwise_count(rows["w"][i[maybe]] ^ rows["w"][j[maybe]]) <= WORD_BITS
     return near
 
 
@@ -398,7 +402,7 @@ def shard_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
                 t = order[y : y + _BLOCK]
                 w = np.bitwise_count(rows["w"][q][:, None] ^ rows["w"][t][None])
                 d = np.bitwise_count(rows["d"][q][:, None] ^ rows["d"][t][None]).astype(np.int16)
-                far = (w > WORD_BITS) | (d > DISTINCT_BITS) | (q[:, None] == t[None])
+                far = ((w > WORD_BITS) | (d > DISTINCT_BITS)) & (d > DISTINCT_ALONE)
                 far |= rows["node"][q][:, None] == rows["node"][t][None]
                 score = np.where(far, 999, d + np.bitwise_count(rows["z"][q][:, None] ^ rows["z"][t][None]))
                 best = score.argmin(axis=1)
@@ -410,8 +414,13 @@ def shard_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarra
 
 
 def close_pairs(signs: DataFrame) -> DataFrame:
-    """``u < v`` (nodes) whose fingerprints agree on a block of each kind and are close in both."""
-    blocks = [(i, j) for i in _cuts(list(range(64)), WORD_BITS + 1) for j in _cuts(list(range(64)), DISTINCT_BITS + 1)]
+    """``u < v`` (nodes) close in both fingerprints or in that of distinct words.
+
+    By pigeonhole, the former agree on a block of each fingerprint, the latter on two of seven.
+    """
+    every = list(range(64))
+    blocks = [(i, j) for i in _cuts(every, WORD_BITS + 1) for j in _cuts(every, DISTINCT_BITS + 1)]
+    blocks += [([], i + j) for i, j in itertools.combinations(_cuts(every, DISTINCT_ALONE + 2), 2)]
     mask = lambda bits: F.lit(_signed(sum(1 << b for b in bits)))
     keys = [F.xxhash64(F.lit(n), F.col("w").bitwiseAND(mask(i)), F.col("d").bitwiseAND(mask(j))) for n, (i, j) in enumerate(blocks)]
 
