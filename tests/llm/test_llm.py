@@ -1,0 +1,490 @@
+"""Every operator against a plain brute-force version, and its defined cases."""
+
+import collections
+import io
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from metaweave.llm import decontaminate, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
+
+D = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WS = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def make(spark, texts, ids=None, extra=False):
+    ids = ids if ids is not None else range(len(texts))
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in zip(ids, texts)]
+    df = spark.createDataFrame(rows, D)
+    return df.withColumn("digest", F.lit("x")).withColumn("row", F.lit(1)).withColumn("node", F.lit(2)) if extra else df
+
+
+def words(n, seed, vocabulary=400):
+    rng = np.random.default_rng(seed)
+    return [f"w{x}q" for x in rng.integers(0, vocabulary, n)]
+
+
+EDGE = [None, "", " \t\n", "one", "One  two", "one two", "ünï cödé — ß", "x" * 30000, " ".join(words(6000, 1)), None, "one two"]
+
+
+# ---------------------------------------------------------------- 1 packing
+
+
+def test_packing_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    texts = EDGE + [" ".join(words(n, n)) for n in (10, 300, 900, 2500)] + ["it's DON'T 'll <|endoftext|> 12ab#$ a..b é́ ﬁ x\x1cy"]
+    docs = make(spark, texts, extra=True)
+    got = packing.pack(docs).collect()
+    tok = Tokenizer.from_file(packing.vocabulary())
+    tok.encode_special_tokens = True
+    want = {}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[i, k // 2048] = (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for held in by.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(len(r.ids) for r in packing.sequences(docs).collect()) == sum(v[1] for v in want.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=200))
+def test_sweeps_are_best_fit_decreasing(lengths):
+    counts = collections.Counter(lengths)
+    plan, opened = packing.sweeps(dict(counts), 32)
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - x)
+        else:
+            gaps.append(32 - x)
+    assert opened == len(gaps)
+    used = collections.defaultdict(list)
+    ranks = collections.defaultdict(list)
+    for length, rank, many, first, offset in plan:
+        ranks[length] += range(rank, rank + many)
+        for s in range(first, first + many):
+            used[s].append((offset, length))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for held in used.values():
+        assert [o for o, _ in sorted(held)] == list(itertools.accumulate([n for _, n in sorted(held)], initial=0))[:-1]
+
+
+# ---------------------------------------------------------------- 2 surrogates
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mr. John Smith (john.smith@mail.example.com, +1 (017) 555-7713) wrote to Ms Curie from 97.51.17.173.",
+        "JOHN.SMITH@MAIL.EXAMPLE.COM and john.smith@mail.example.com; card 4111 1111 1111 1111, card 9807915762804490; 10.1.2.3",
+        "Госпожа Елена Петрова; Herr Müller", None, "", "version 4.0 of 2024-01-02, 3.14",
+    ]
+    got = {r.doc_id: r for r in pii.replace(make(spark, texts, extra=True), b"k").collect()}
+    assert got[3].text is None and got[4].text == "" and got[5].text == texts[5] and not got[5].entities
+    for i, t in enumerate(texts):
+        for _, _, kind, entity, _ in pii.find(t or ""):
+            assert entity not in got[i].text, (kind, entity)
+    mails = [e.surrogate for i in (0, 1) for e in got[i].entities if e.kind == "email"]
+    assert len(mails) == 3 and len({m.lower() for m in mails}) == 1 and mails[1].isupper()
+    cards = [e.surrogate for e in got[1].entities if e.kind == "card"]
+    assert [pii._luhn(pii._digits(c)) for c in cards] == [True, pii._luhn("9807915762804490")] and cards[0].count(" ") == 3
+    names = {texts[e_i][e.start : e.end]: e.surrogate for e_i in (0, 2) for e in got[e_i].entities if e.kind == "name"}
+    assert names["John Smith"].split()[0] in pii.GIVEN["m", "latin"] and names["Елена Петрова"].split()[0] in pii.GIVEN["f", "cyrillic"]
+    assert [e.surrogate for e in got[1].entities if e.kind == "ip"][0].startswith("10.")
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [("ip", f"10.0.0.{i}", "") for i in range(200)] + [("name", f"anna a{chr(97 + i % 26)}{chr(97 + i // 26)}", "f") for i in range(200)]
+    rows += [("phone", f"+1 {i:03d} 555-0000", "") for i in range(200)]
+    got = pii.resolve(spark.createDataFrame(rows, "kind string, id string, gender string"), b"k").collect()
+    made = [(r.kind, pii.identity(r.kind, r.surrogate)) for r in got]
+    assert len(set(made)) == len(rows) and not set(made) & {(k, i) for k, i, _ in rows}
+
+
+def test_permutation():
+    for size in (1, 2, 10, 37, 1000):
+        assert sorted(pii.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
+
+
+# ---------------------------------------------------------------- 3 near copies
+
+
+def plain_fingerprint(text, width=3):
+    w = [x for x in WS.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    shingles = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes(n, linked):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(n)]
+
+
+def test_simhash_against_all_pairs(spark):
+    base = words(400, 5)
+    texts = list(EDGE) + [" ".join(words(80, 9))] * 3
+    for i in range(40):
+        copy = list(base)
+        copy[i * 7] = "edited"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(make(spark, texts, extra=True)).collect()}
+    fps = [plain_fingerprint(t) for t in texts]
+    assert [got[i][0] for i in range(len(texts))] == fps
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert [got[i][1] for i in range(len(texts))] == classes(len(texts), near)
+    assert simhash.near_duplicates(make(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [4, 1 << 14])
+def test_links_are_whole_when_shards_split(spark, limit):
+    rng = np.random.default_rng(2)
+    roots = rng.integers(0, 2**63, 6)
+    fps = {int(r) ^ (1 << int(a)) ^ (1 << int(b)) for r in roots for a, b in rng.integers(0, 63, (30, 2))} | set(map(int, roots))
+    df = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    from metaweave.operators.components import star_components
+
+    got = {r.node: r.component for r in star_components(simhash.near_links(df, shard_limit=limit)).collect()}
+    order = sorted(fps)
+    near = [(a, b) for a in range(len(order)) for b in range(a) if (order[a] ^ order[b]).bit_count() <= 2]
+    want = classes(len(order), near)
+    assert all(got.get(x, x) == order[want[i]] for i, x in enumerate(order))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.integers(0, 12))
+def test_bk_tree(values, radius):
+    order = np.array(sorted(values), np.uint64)
+    tree = simhash.BKTree(order)
+    x = int(order[0]) ^ 5
+    assert sorted(tree.near(x, radius)) == [i for i, v in enumerate(order.tolist()) if (v ^ x).bit_count() <= radius]
+
+
+def test_flood_modes_agree():
+    rng = np.random.default_rng(0)
+    centre = int(rng.integers(0, 2**63))
+    values = np.array(sorted({centre ^ int(np.bitwise_or.reduce(1 << rng.integers(0, 20, 2))) for _ in range(200)}), np.uint64)
+    found = {frozenset(g.tolist()) for g in simhash.linked_sets(values, 2)}
+    near = [(a, b) for a in range(len(values)) for b in range(a) if int(values[a] ^ values[b]).bit_count() <= 2]
+    want = collections.defaultdict(set)
+    for i, r in enumerate(classes(len(values), near)):
+        want[r].add(i)
+    assert found == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
+def test_similar_copies(spark):
+    texts = [" ".join(words(250, s, 5000)) for s in range(60)]
+    for s in range(20):
+        copy = texts[s].split()
+        for k in (40, 120, 200):
+            copy[k] = "other"
+        texts.append(" ".join(copy))
+    kept = {r.doc_id for r in simhash.one_of_each(make(spark, texts + [None, ""], extra=True)).collect()}
+    assert kept >= set(range(60)) and len(kept & set(range(60, 80))) <= 2
+
+
+def test_dense_family_is_linear(spark):
+    base = words(300, 3, 3000)
+    texts = [" ".join(base[:i] + ["edit" + str(i)] + base[i + 1 :]) for i in range(150)]
+    assert simhash.one_of_each(make(spark, texts)).count() <= 3
+    rows, _ = simhash.similar_links(make(spark, texts))
+    assert rows.count() == 150
+
+
+# ---------------------------------------------------------------- 4 language model
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=300), st.lists(st.integers(0, 5000), max_size=50))
+def test_elias_fano(values, asked):
+    v = np.array(sorted(values), np.uint64)
+    e = ngram.EF(ngram.ef_build(v, 5001))
+    assert (e.access(np.arange(len(v))) == v).all()
+    found = e.find(np.array(asked, np.uint64))
+    for x, i in zip(asked, found.tolist()):
+        assert (i == -1 and x not in values) or (i >= 0 and int(v[i]) == x)
+
+
+def plain_model(texts, order):
+    token = lambda t: [*(t or "").lower().split(), None]
+    counts = [collections.Counter() for _ in range(order)]
+    for t in texts:
+        w = token(t)
+        for n in range(1, order + 1):
+            counts[n - 1].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    kept, discounts = [counts[0]], [0.0]
+    for n in range(2, order + 1):
+        ok = {g: c for g, c in counts[n - 1].items() if all(counts[0][x,] >= 2 for x in g)}
+        if n > 2:
+            ok = {g: c for g, c in ok.items() if g[:-1] in kept[n - 2] and g[1:] in kept[n - 2]}
+        once, twice = sum(c == 1 for c in ok.values()), sum(c == 2 for c in ok.values())
+        discounts.append(min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5)
+        kept.append({g: c for g, c in ok.items() if c >= 2})
+
+    def p(w, context):
+        if not context:
+            return (counts[0][w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        n = len(context) + 1
+        lower = p(w, context[1:])
+        own = {g: c for g, c in kept[n - 1].items() if g[:-1] == context}
+        if not own or context not in kept[n - 2]:
+            return lower
+        d, c = discounts[n - 1], counts[n - 2][context]
+        back = 1 - sum(x - d for x in own.values()) / c
+        return max(own.get((*context, w), d) - d, 0) / c + max(back, 1e-9) * lower
+
+    def score(t):
+        w = token(t)
+        return sum(np.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(len(w)))
+
+    base = lambda t: sum(np.log10(p(w, ())) for w in token(t))
+    return total, base, score
+
+
+@pytest.mark.parametrize("shard", [50, 2_000_000])
+def test_model_against_counts(spark, monkeypatch, shard):
+    monkeypatch.setattr(ngram, "SHARD_NODES", shard)
+    texts = [" ".join(words(60, s, 30)) for s in range(40)] + EDGE[:7]
+    got = {r.doc_id: r for r in ngram.train_and_score(make(spark, texts, extra=True)).collect()}
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    total, base, score = plain_model([t for t, h in zip(texts, held) if not h], 3)
+    for i, t in enumerate(texts):
+        assert got[i].held_out == held[i] and got[i].train_tokens == total
+        assert got[i].n_tokens == len((t or "").split()) + 1
+        assert abs(got[i].base_score - base(t)) < 1e-6
+        assert abs(got[i].score - score(t)) < 0.003 * got[i].n_tokens + 1e-3
+
+
+def test_model_without_training(spark):
+    docs = make(spark, ["a b", None], ids=[i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:2])
+    assert {(r.held_out, r.train_tokens, r.base_score, r.score) for r in ngram.train_and_score(docs).collect()} == {(True, 0, 0.0, 0.0)}
+
+
+# ---------------------------------------------------------------- 5 secrets
+
+
+def test_secret_candidates_and_forest(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'see token = "{key}" and more', f"commit {key}\nnumber 1234567890123456 here", "no candidates here", None, "", "a\x01b " + key]
+    docs = make(spark, texts, extra=True)
+    got = secrets.candidates(docs).collect()
+    plain = {(i, m.start(), m[0]) for i, t in enumerate(texts) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}", t or "")}
+    assert {(r.doc_id, r.start, r.candidate) for r in got} == plain
+    found = {(r.doc_id, r.start): r.secret for r in secrets.scan(docs).collect()}
+    assert found[0, 13] and not found[1, 7] and not found[1, 55]
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    model = secrets.train(secrets.labelled_findings(spark, 3000, seed=11))
+    unseen = secrets.labelled_findings(spark, 1000, seed=99)
+    right = model.transform(unseen.withColumns(secrets.features())).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+# ---------------------------------------------------------------- 6 decontamination
+
+
+def plain_scan(texts, items, window=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = [(i, w[k : k + min(window, len(w))]) for i, t in items for w in [split(t)] if w for k in range(len(w) - min(window, len(w)) + 1)]
+    out = []
+    for t in texts:
+        w = split(t)
+        hit, who = set(), set()
+        for item, x in windows:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    who.add(str(item))
+        out.append((len(w), len(hit), sorted(who)))
+    return out
+
+
+def test_decontamination_against_windows(spark):
+    item = [f"Word{i}" for i in range(14)]
+    items = [(1, " ".join(item)), (2, "short one"), (10, "; ".join(item[3:])), (4, None), (5, "!!"), (2, "short one")]
+    texts = ["x " + ", ".join(item).upper() + " y", "A Short--ONE. short one", " ".join(item[:9]), " ".join(item[2:12]), "é short one é", *EDGE]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = make(spark, texts, extra=True)
+    got = {r.doc_id: r for r in decontaminate.scan(docs, bench).collect()}
+    assert [(got[i].n_words, got[i].n_hit, got[i].items) for i in range(len(texts))] == plain_scan(texts, items)
+    for s in got[0].spans:
+        assert texts[0][s.start : s.end].lower().startswith("word0, word1")
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i in range(len(texts)) if not got[i].n_hit}
+    with pytest.raises(ValueError):
+        decontaminate.scan(docs, bench, max_benchmark_bytes=10)
+    assert decontaminate.scan(docs, bench.where("item_id > 99")).where("n_hit > 0").count() == 0
+
+
+# ---------------------------------------------------------------- 7 exact copies
+
+
+def test_exact_copies(spark):
+    texts = [*EDGE, "one\t two", "one two ", *["hot copy"] * 1200]
+    ids = [*range(5, len(texts) + 4), None]
+    docs = make(spark, texts, ids, extra=True)
+    norm = [WS.sub(" ", t or "") for t in texts]
+    groups = collections.defaultdict(list)
+    for i, n in zip(ids, norm):
+        groups[n].append(i)
+    want = collections.Counter()
+    for n, own in groups.items():
+        keep = min((x for x in own if x is not None), default=None)
+        for i in own:
+            want[i, keep, len(own), i == keep] += 1
+    for digest in (exact_dedup.sha256, lambda c: F.left(exact_dedup.sha256(c), F.lit(1))):  # the second meets other texts
+        got = exact_dedup.deduplicate(docs, digest).rows
+        assert collections.Counter((r.doc_id, r.keep_id, r.n, r.kept) for r in got.collect()) == want
+    kept = exact_dedup.unique(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    folder, state, out = (str(tmp_path / x) for x in ("in", "state", "out"))
+    one = exact_dedup.arrivals(exact_dedup.with_locator(make(spark, ["a", "b", "a"], [3, 4, 5])))
+    one.write.parquet(folder)
+    exact_dedup.run_stream(spark, folder, one.schema, state, out)
+    two = exact_dedup.arrivals(exact_dedup.with_locator(make(spark, ["a", "c"], [1, 2])))
+    two.write.mode("append").parquet(folder)
+    exact_dedup.run_stream(spark, folder, one.schema, state, out)
+    last = spark.read.schema(exact_dedup.state_of(one).schema).parquet(f"{out}/v=1")
+    assert sorted((r.stays.doc_id, r.n) for r in last.collect()) == [(1, 3), (2, 1), (4, 1)]
+
+
+def test_repeated_and_no_rows(spark):
+    docs = make(spark, ["a", "a", "b"], [7, 7, 7])
+    assert exact_dedup.unique(docs).count() == 2
+    assert exact_dedup.deduplicate(make(spark, [])).rows.count() == 0
+
+
+# ---------------------------------------------------------------- 8 archives
+
+
+def test_archives_round_trip(spark):
+    body = "<p>ü</p>" * 40
+    pages = [(5, "u5", body), (3, "http://x/\r\ny%20z", body), (9, None, "small"), (10, "u", "small"), (11, "u", None), (12, "u", ""), (3, "again", body), (None, "n", body), (-4, "neg", "z" * 300000)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("digest", F.lit("x")).withColumn("row", F.lit(0))
+    got = warc.round_trip(spark, df, roll=2000).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in got) == sorted(
+        (i is None, i or 0, kind, to, len((h or "").encode()))
+        for (i, _, h), kind, to in zip(pages, ["revisit", "response", "response", "response", "response", "response", "revisit", "revisit", "response"], [3, None, None, None, None, None, 3, 3, None])
+    )
+    assert warc.round_trip(spark, df.where("page_id > 99")).count() == 0
+
+
+def test_damage_is_found():
+    good = [warc.encode_record(i, "u", b"payload %d" % i * 50, "", None) for i in range(3)]
+    import hashlib
+
+    good = [warc.encode_record(i, "u", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate((b"", b"x" * 200000, bytes(range(256)) * 700))]
+    whole = list(warc.read_records(io.BytesIO(b"".join(good)), True))
+    assert [r.payload_bytes for r in whole] == [0, 200000, 179200] and whole[2].offset == len(good[0]) + len(good[1])
+    wrong = warc.encode_record(1, "u", b"x", "00", None)
+    cut = b"".join(good)[:-20]
+    for bad in (wrong, cut, b"junk"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+# ---------------------------------------------------------------- 9 shards
+
+
+def smallest_capacity(sizes, shards):
+    def fits(c):
+        n, left = 1, c
+        for s in sizes:
+            if s > c:
+                return False
+            if s > left:
+                n, left = n + 1, c
+            left -= s
+        return n <= shards
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
+
+
+def test_shards_are_minimax(spark):
+    texts = [*EDGE, *["copy of a text"] * 300, *(" ".join(words(n % 90, n)) for n in range(200))]
+    ids = [*range(len(texts) - 1), None]
+    got = sharding.shard(make(spark, texts, ids, extra=True)).collect()
+    import hashlib
+
+    groups = collections.defaultdict(int)
+    for t in texts:
+        groups[hashlib.sha256((t or "").encode()).hexdigest()] += len((t or "").encode()) + 1
+    want = smallest_capacity([groups[k] for k in sorted(groups)], 8)
+    load, slots, of = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        assert r.capacity == want
+        if r.doc_id is not None:
+            t = texts[ids.index(r.doc_id)]
+            assert r.size == len((t or "").encode()) + 1 and r.text_crc32 == zlib.crc32((t or "").encode())
+            of[t or ""].add(r.shard)
+    assert max(load.values()) == want and set(load) <= set(range(8))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of.values())
+    assert sharding.shard(make(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- 10 toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = np.random.default_rng(4)
+    texts, marks = [], []
+    for i in range(1500):
+        w = words(int(rng.integers(0, 60)), i, 3000)
+        bad = i % 7 == 0
+        if bad:
+            w.insert(int(rng.integers(0, len(w) + 1)), rng.choice(["scum", "loser"]) if i % 2 else "vequ" + "abcdefgh"[i % 8] * 2)
+        texts.append(" ".join(w))
+        marks.append(int(bad))
+    texts += EDGE
+    docs = make(spark, texts, extra=True)
+    labels = spark.createDataFrame([(i, 1, m) for i, m in enumerate(marks)] + [(0, 1, None), (9999, 0, 1)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.predict(docs, labels).collect()}
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
+    held = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out for i in held)
+    assert np.mean([got[i].predicted == marks[i] for i in held]) > 0.97
+    kept = toxicity.accepted(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.where("doc_id < 1500").count() <= 1500 - 0.95 * sum(marks)
+
+
+def test_toxicity_without_labels(spark):
+    docs = make(spark, ["a", None])
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in toxicity.predict(docs, none).collect()} == {0.0}
+    ones = spark.createDataFrame([(0, 1, 1), (1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.predict(docs, ones).count() == 2
