@@ -19,6 +19,7 @@ ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,11 @@ from metaweave.plans.scratch import cut, release, remove, scratch_path
 #: Copies of one text that one task compares with the row that stays.
 SALT_ROWS = 512
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without preallocated files, which cost megabytes in each of many partitions.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str = "text") -> Column:
@@ -43,18 +47,18 @@ def sha256(value: Column) -> Column:
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
-    """Adds ``_file`` and ``_row``; a frame that isn't a plain file scan is written first."""
+    """Adds ``_dedup_file`` and ``_dedup_row``; a frame that isn't a plain file scan is written first."""
     try:
-        return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+        return docs.withColumns({"_dedup_file": F.col("_metadata.file_path"), "_dedup_row": F.col("_metadata.row_index")})
     except Exception as error:
-        if "UNRESOLVED" not in str(error):
+        if not re.search("UNRESOLVED|FIELD_NOT_FOUND", str(error)):
             raise
     return with_locator(cut(docs, "contents"))
 
 
 def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
     """What streams: one narrow row per document."""
-    return docs.select("doc_id", "_file", "_row", digest(normalised()).alias("digest"))
+    return docs.select("doc_id", "_dedup_file", "_dedup_row", digest(normalised()).alias("digest"))
 
 
 def state_of(stream: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def state_of(stream: DataFrame) -> DataFrame:
     ``stream`` may be any streaming frame with the columns of :func:`arrivals`.
     """
     return stream.groupBy("digest").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")).alias("stays"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_dedup_file", "_dedup_row")).alias("stays"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -73,8 +77,9 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, out: str
 
     Restarting with the same checkpoint resumes with the retained state.
     """
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(path)
 
@@ -93,12 +98,13 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, out: str
         if query.exception():
             raise query.exception()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 @dataclass
 class Deduplicated:
-    #: one row per document: doc_id, _file, _row, digest, keep_id, n, kept
+    #: one row per document: doc_id, _dedup_file, _dedup_row, digest, keep_id, n, kept
     rows: DataFrame
     #: the documents with their locators
     docs: DataFrame
@@ -120,7 +126,7 @@ def deduplicate(docs: DataFrame, digest=sha256) -> Deduplicated:
     differ = _differing(located, state, digest)
     rows = _rows(came, state)
     if differ is not None:
-        own = located.select("doc_id", "_file", "_row", digest(normalised()).alias("digest"), normalised().alias("text"))
+        own = located.select("doc_id", "_dedup_file", "_dedup_row", digest(normalised()).alias("digest"), normalised().alias("text"))
         again = cut(own.join(differ, "digest", "left_semi"), "differing")
         by_bytes = _rows(again.drop("digest").withColumnRenamed("text", "digest"), state_of(again.drop("digest").withColumnRenamed("text", "digest")))
         by_bytes = by_bytes.withColumn("digest", digest(F.col("digest")))
@@ -138,12 +144,12 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 def _rows(came: DataFrame, state: DataFrame) -> DataFrame:
     return came.join(state, "digest").select(
         "doc_id",
-        "_file",
-        "_row",
+        "_dedup_file",
+        "_dedup_row",
         "digest",
         F.col("stays.doc_id").alias("keep_id"),
         "n",
-        ((F.col("stays._file") == F.col("_file")) & (F.col("stays._row") == F.col("_row"))).alias("kept"),
+        ((F.col("stays._dedup_file") == F.col("_dedup_file")) & (F.col("stays._dedup_row") == F.col("_dedup_row"))).alias("kept"),
     )
 
 
@@ -152,13 +158,13 @@ def _differing(located: DataFrame, state: DataFrame, digest) -> DataFrame | None
     hits = state.where("n > 1").select(
         "digest", "stays", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")
     )
-    found = located.select("_file", "_row", normalised().alias("bytes")).withColumn("digest", digest(F.col("bytes")))
+    found = located.select("_dedup_file", "_dedup_row", normalised().alias("bytes")).withColumn("digest", digest(F.col("bytes")))
     found = cut(
-        found.join(hits, "digest").withColumn("stay", (F.col("stays._file") == F.col("_file")) & (F.col("stays._row") == F.col("_row"))).drop("stays"),
+        found.join(hits, "digest").withColumn("stay", (F.col("stays._dedup_file") == F.col("_dedup_file")) & (F.col("stays._dedup_row") == F.col("_dedup_row"))).drop("stays"),
         "hits",
     )
     kept = found.where("stay").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("own"))
-    others = found.where("not stay").select("digest", F.pmod(F.xxhash64("_file", "_row"), F.col("salts")).cast("int").alias("salt"), "bytes")
+    others = found.where("not stay").select("digest", F.pmod(F.xxhash64("_dedup_file", "_dedup_row"), F.col("salts")).cast("int").alias("salt"), "bytes")
     differ = cut(others.join(kept, ["digest", "salt"]).where("bytes <> own").select("digest").distinct(), "differ")
     empty = differ.isEmpty()
     release(found)
@@ -168,5 +174,5 @@ def _differing(located: DataFrame, state: DataFrame, digest) -> DataFrame | None
 def unique(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns unchanged."""
     found = deduplicate(docs)
-    gone = found.rows.where("not kept").select("_file", "_row")
-    return found.docs.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+    gone = found.rows.where("not kept").select("_dedup_file", "_dedup_row")
+    return found.docs.join(gone, ["_dedup_file", "_dedup_row"], "left_anti").select(*docs.columns)
