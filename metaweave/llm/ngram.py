@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 import mmap
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaweave.llm.common import fold, raw_texts, slices
@@ -326,7 +327,7 @@ class Reader:
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in fresh], _U) ^ _SIGN
             self.known.update(zip(fresh, self.trie.ids(hashes).tolist() if self.trie.levels else [-1] * len(fresh)))
         known = self.known
-        return np.fromiter((known[w] for w in words), np.int64, len(words)), np.array(starts, np.int64)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array(starts, np.int64)
 
 
 def before_each(node: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -344,7 +345,7 @@ _PAIRS = "key bigint, n bigint"
 
 def _count_words(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             keys = np.array([xxhash.xxh64_intdigest(w) for w in held], _U).view(np.int64)
@@ -353,10 +354,10 @@ def _count_words(train: DataFrame) -> DataFrame:
             return batch
 
         for batch in slices(batches):
-            for raw in raw_texts(batch):
-                for w in raw.lower().split():
-                    held[w] = held.get(w, 0) + 1
-                held[END] = held.get(END, 0) + 1
+            texts = raw_texts(batch)
+            for raw in texts:
+                held.update(raw.lower().split())
+            held[END] += len(texts)
             if len(held) > WORDS_KEPT:
                 yield out()
         if held:
@@ -367,20 +368,45 @@ def _count_words(train: DataFrame) -> DataFrame:
 
 _READERS: dict[str, Reader] = {}
 
+IDS = "doc_id bigint, train boolean, ids array<int>"
 
-def _reader(name: str, shared) -> Reader:
-    if name not in _READERS:
-        _READERS.clear()
-        _READERS[name] = Reader(shared.value)
-    return _READERS[name]
 
+def token_ids(docs: DataFrame, trie: Trie, train: Column) -> DataFrame:
+    """``doc_id, train, ids``: every text as places in level 1 (-1: unknown), ends included."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(trie), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _READERS:
+            _READERS.clear()
+            _READERS[name] = Reader(shared.value)
+        for batch in slices(batches):
+            ids, starts = _READERS[name](raw_texts(batch))
+            offsets = np.append(starts, len(ids)).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("train"), held], names=["doc_id", "train", "ids"])
+
+    return docs.select("doc_id", train.alias("train"), "text").mapInArrow(run, IDS)
 
-def _count_level(train: DataFrame, trie: Trie, level: int) -> DataFrame:
+
+def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of about ``most`` tokens, with their ids and where each text starts."""
+    for batch in batches:
+        lists = batch.column("ids")
+        offsets = np.asarray(lists.offsets)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            ids = np.asarray(lists.values)[offsets[at] : offsets[end]].astype(np.int64)
+            yield batch.slice(at, end - at), ids, (offsets[at:end] - offsets[at]).astype(np.int64)
+            at = end
+
+
+def _count_level(rows: DataFrame, trie: Trie, level: int) -> DataFrame:
     """Counts of (context node << 32 | token) whose parts were all seen ``LEAST`` times."""
-    shared, name = train.sparkSession.sparkContext.broadcast(trie), uuid.uuid4().hex
+    shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _reader(name, shared)
+        trie = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -390,14 +416,11 @@ def _count_level(train: DataFrame, trie: Trie, level: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             return keys[first], np.add.reduceat(n, first)
 
-        for batch in slices(batches):
-            ids, starts = read(raw_texts(batch))
-            if not len(ids):
-                continue
-            known = np.where(trie_counts(read.trie, ids) >= LEAST, ids, -1)
+        for _, ids, starts in _id_slices(batches):
+            known = np.where(trie_counts(trie, ids) >= LEAST, ids, -1)
             node, before = known, before_each(known, starts)
             for shorter in range(2, level):
-                node = read.trie.look(shorter, before, known)[0]
+                node = trie.look(shorter, before, known)[0]
                 before = before_each(node, starts)
             live = (before >= 0) & (node >= 0)
             if live.any():
@@ -410,10 +433,13 @@ def _count_level(train: DataFrame, trie: Trie, level: int) -> DataFrame:
             keys, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
-    return train.select("text").mapInArrow(run, _PAIRS).groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.where("train").select("ids").mapInArrow(run, _PAIRS).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def trie_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
+    if len(trie.levels[0]) == 1:  # one shard: a plain gather
+        held = trie.levels[0][0].open()["counts"]
+        return np.where(ids >= 0, held[np.maximum(ids, 0)], 0).astype(np.int64)
     unique, inverse = np.unique(ids, return_inverse=True)
     return trie.counts(1, unique)[inverse]
 
@@ -484,24 +510,34 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
     return shards
 
 
-def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, out_dir: str | None = None) -> Trie:
-    """Count all training documents level by level and write the trie below ``out_dir``."""
+@dataclass
+class Trained:
+    trie: Trie
+    #: doc_id, train, ids of all documents
+    ids: DataFrame
+
+
+def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, out_dir: str | None = None) -> Trained:
+    """Count all training documents level by level and write the trie below ``out_dir``.
+
+    Texts are read twice, once for words and once for their ids; later passes read the ids.
+    """
     spark = docs.sparkSession
     out_dir = out_dir or scratch_path(spark, "trie")
-    own = docs.where(F.coalesce(fold("doc_id", folds) != held, F.lit(True))).select("text")
-    words = cut(_count_words(own), "words")
+    own = F.coalesce(fold("doc_id", folds) != held, F.lit(True))
+    words = cut(_count_words(docs.where(own)), "words")
     top = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     trie = Trie([], top["tokens"] or 0, top["distinct"])
-    if not trie.tokens:
-        return trie
-    trie.levels.append(_write_shards(words, 1, None, 0.0, trie.distinct, out_dir))
+    if trie.tokens:
+        if trie.distinct >= 1 << 31:
+            raise OverflowError(f"level 1 has {trie.distinct} nodes")
+        trie.levels.append(_write_shards(words, 1, None, 0.0, trie.distinct, out_dir))
     release(words)
+    rows = cut(token_ids(docs, trie, own), "ids")
     nodes = trie.distinct
-    for level in range(2, order + 1):
-        if nodes >= 1 << 31:
-            raise OverflowError(f"level {level - 1} has {nodes} nodes")
+    for level in range(2, order + 1) if trie.tokens else ():
         # what was seen once is only counted: one row -1 a task, merged below
-        counted = _count_level(own, trie, level).select(F.when(F.col("n") >= LEAST, F.col("key")).otherwise(-1).alias("key"), "n")
+        counted = _count_level(rows, trie, level).select(F.when(F.col("n") >= LEAST, F.col("key")).otherwise(-1).alias("key"), "n")
         grams = cut(counted.groupBy("key").agg(F.sum("n").alias("n")), "grams")
         kept = grams.where("key >= 0")
         seen = grams.agg(
@@ -512,59 +548,58 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
         once, twice, nodes = (x or 0 for x in seen)
         if not nodes:
             break
+        if nodes >= 1 << 31:
+            raise OverflowError(f"level {level} has {nodes} nodes")
         discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
         context = F.shiftright("key", 32)
         sums = kept.groupBy(context.alias("context")).agg(F.sum("n").alias("of_context"), F.count(F.lit(1)).alias("children"))
-        rows = kept.withColumn("context", context).join(sums, "context")
-        trie.levels.append(_write_shards(rows, level, trie, discount, nodes, out_dir))
+        trie.levels.append(_write_shards(kept.withColumn("context", context).join(sums, "context"), level, trie, discount, nodes, out_dir))
         release(grams)
-    return trie
+    return Trained(trie, rows)
 
 
-SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+def log_probabilities(trie: Trie, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the tokens, and log10 of the unigram's and of the whole model's probability."""
+    c = trie_counts(trie, ids) if trie.levels else np.zeros(len(ids), np.int64)
+    p = unigram = (c + 0.5) / (trie.tokens + 0.5 * (trie.distinct + 1))
+    node = token = np.where(c >= LEAST, ids, -1)  # others are in no longer n-gram
+    for level in range(2, len(trie.levels) + 1):
+        node, prob, back = trie.look(level, before_each(node, starts), token)
+        p = prob + back * p
+    return c, np.log10(unigram), np.log10(p)
 
 
-def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """Per document: tokens, known tokens, and log10 of the unigram's and the model's probability."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(trie), uuid.uuid4().hex
+SCORES = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def score(rows: DataFrame, trie: Trie) -> DataFrame:
+    """Per document of ``doc_id, train, ids``: tokens, known tokens, and log10 of the unigram's
+    and the model's probability."""
+    shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _reader(name, shared)
-        trie = read.trie
-        total = trie.tokens + 0.5 * (trie.distinct + 1)
-        for batch in slices(batches):
-            ids, starts = read(raw_texts(batch))
-            c = trie_counts(trie, ids) if trie.levels else np.zeros(len(ids), np.int64)
-            p = unigram = (c + 0.5) / total
-            node = ids
-            for level in range(2, len(trie.levels) + 1):
-                node, prob, back = trie.look(level, before_each(node, starts), ids)
-                p = prob + back * p
-            ends = np.append(starts[1:], len(ids))
-            add = lambda x: np.add.reduceat(x, starts)
+        trie = shared.value
+        for batch, ids, starts in _id_slices(batches):
+            c, base, model = log_probabilities(trie, ids, starts)
+            add = lambda x: pa.array(np.add.reduceat(x, starts))
+            n = pa.array(np.diff(np.append(starts, len(ids))))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(ends - starts, pa.int64()),
-                    pa.array(add((c > 0).astype(np.int64)), pa.int64()),
-                    pa.array(add(np.log10(unigram)), pa.float64()),
-                    pa.array(add(np.log10(p)), pa.float64()),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+                [batch.column("doc_id"), batch.column("train"), n, add((c > 0).astype(np.int64)), add(base), add(model)],
+                names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    return rows.mapInArrow(run, SCORES)
 
 
 def train_and_score(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1) -> DataFrame:
     """Learn from all folds but one and score every document."""
-    trie = train(docs, order, folds, held)
-    return score(docs, trie).select(
+    made = train(docs, order, folds, held)
+    return score(made.ids, made.trie).select(
         "doc_id",
-        F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"),
+        (~F.col("train")).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(trie.tokens).cast("bigint").alias("train_tokens"),
+        F.lit(made.trie.tokens).cast("bigint").alias("train_tokens"),
         "base_score",
         "score",
     )
