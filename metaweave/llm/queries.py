@@ -84,7 +84,22 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""
+        WITH i AS (SELECT item_id, {_WORDS} AS w, least(10, len(w)) AS size FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, size, array_to_string(w[k : k + size - 1], ' ') AS win
+               FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM i WHERE len(w) > 0)),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        dk AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size),
+        hit AS (SELECT DISTINCT doc_id, k, size, item_id FROM (SELECT doc_id, k, size, array_to_string(w[k : k + size - 1], ' ') AS win FROM dk) JOIN iw USING (size, win)),
+        n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hit) GROUP BY 1),
+        who AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN who USING (doc_id)
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
