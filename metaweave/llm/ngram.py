@@ -263,9 +263,11 @@ class Trie:
         """Training counts of nodes of a level; 0 for -1."""
         out = np.zeros(len(nodes), np.int64)
         shards = self.levels[level - 1]
+        if len(shards) == 1:
+            return np.where(nodes >= 0, shards[0].open()["counts"][np.maximum(nodes, 0)], 0).astype(np.int64)
         which = np.searchsorted(np.array([s.offset for s in shards], np.int64), nodes, "right") - 1
-        for i in np.unique(which[nodes >= 0]):
-            own = (which == i) & (nodes >= 0)
+        for i in np.flatnonzero(np.bincount(which + 1, minlength=len(shards) + 1)[1:]):
+            own = np.flatnonzero(which == i)
             out[own] = shards[i].open()["counts"][nodes[own] - shards[i].offset]
         return out
 
@@ -437,9 +439,8 @@ def _count_level(rows: DataFrame, trie: Trie, level: int) -> DataFrame:
 
 
 def trie_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    if len(trie.levels[0]) == 1:  # one shard: a plain gather
-        held = trie.levels[0][0].open()["counts"]
-        return np.where(ids >= 0, held[np.maximum(ids, 0)], 0).astype(np.int64)
+    if len(trie.levels[0]) <= 16:  # few passes over the tokens are cheaper than a sort
+        return trie.counts(1, ids)
     unique, inverse = np.unique(ids, return_inverse=True)
     return trie.counts(1, unique)[inverse]
 
