@@ -390,8 +390,9 @@ def token_ids(docs: DataFrame, trie: Trie, train: Column) -> DataFrame:
     return docs.select("doc_id", train.alias("train"), "text").mapInArrow(run, IDS)
 
 
-def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of about ``most`` tokens, with their ids and where each text starts."""
+    _READERS.clear()  # a worker that has read texts needs its words no more
     for batch in batches:
         lists = batch.column("ids")
         offsets = np.asarray(lists.offsets)
@@ -427,7 +428,7 @@ def _count_level(rows: DataFrame, trie: Trie, level: int) -> DataFrame:
             live = (before >= 0) & (node >= 0)
             if live.any():
                 held.append(np.unique((before[live] << 32) | known[live], return_counts=True))
-            if sum(len(k) for k, _ in held) > 4_000_000:
+            if sum(len(k) for k, _ in held) > 2_000_000:
                 keys, n = merged()
                 held.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
