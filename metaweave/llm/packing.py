@@ -23,6 +23,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,10 +40,17 @@ from metaweave.plans.scratch import cut
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 3 << 18
+#: Words that are encoded as one text.
+TOGETHER = 256
 
 #: Letters and then ASCII marks: the tokenizer never joins the two.
-_AFFIX = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+_AFFIX = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+
+
+def _plain(word: str) -> bool:
+    """Letters only, also after normalising: one piece to the tokenizer."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
 
 def vocabulary() -> str:
@@ -63,26 +71,45 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.ends = np.array([x is not None and x.endswith("</w>") for x in names])
         self.known: dict[bytes, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word. Plain words are one piece each, so they are encoded many to a text
+        and told apart by the marks of word ends, which halves the cost of a word."""
+        plain = [w for w in words if _plain(w)]
+        chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        found: dict[str, bytes] = {}
+        for chunk, ids in zip(chunks, self._alone([" ".join(c) for c in chunks])):
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(chunk):
+                raw = ids.tobytes()
+                found.update((w, raw[a:b]) for w, a, b in zip(chunk, [0, *cuts], cuts))
+        rest = [w for w in words if w not in found]
+        found.update((w, x.tobytes()) for w, x in zip(rest, self._alone(rest)))
+        return found
+
     def _learn(self, words: list[bytes]) -> None:
         known = self.known
-        parts = {w: m.groups() for w in words if (m := _AFFIX.fullmatch(w))}
+        parts = {w: m.groups() for w in words if (m := _AFFIX.fullmatch(w)) and _plain(m[1].decode())}
         fresh = {w for w in words if w not in parts} | {p for pair in parts.values() for p in pair}
         fresh = [w for w in fresh if w not in known]
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(fresh, coded))
+        known.update((w.encode(), c) for w, c in self._encode([w.decode() for w in fresh]).items())
         known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
 
-    def __call__(self, raw: bytes) -> bytes:
-        words = raw.lower().split()
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [raw.lower().split() for raw in texts]
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        missing = [w for w in set(words) if w not in known]
+        missing = [w for w in set().union(*split) if w not in known]
         if missing:
             self._learn(missing)
-        return b"".join([known[w] for w in words])
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -102,11 +129,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches, most=4 << 20):
             rows: list[tuple] = []
             ids: list[bytes] = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
-                coded = encode(raw) + closing
+            for doc, coded in zip(batch.column("doc_id").to_pylist(), encode(raw_texts(batch))):
+                coded += closing
                 n = len(coded) // 4
                 for k, start in enumerate(range(0, n, capacity)):
                     part = coded[4 * start : 4 * (start + capacity)]
