@@ -107,6 +107,7 @@ class EF:
         self.n, self.low_bits = map(int, sections["meta"])
         self._mask = _U((1 << self.low_bits) - 1)
         self._zeros: np.ndarray | None = None
+        self._last: np.uint64 | None = None
 
     def _pick(self, block: np.ndarray, left: np.ndarray, flip: bool) -> np.ndarray:
         """Bit position of the ``left``-th one (or zero) of each 512-bit block."""
@@ -160,6 +161,14 @@ class EF:
         """Place of each value of ``x``, by successor search, or -1; within [first, last) if given."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
+        if self._last is None:
+            self._last = self.access(np.array([self.n - 1]))[0]
+        beyond = x > self._last
+        if beyond.any():
+            out = np.full(len(x), -1, np.int64)
+            inside = np.flatnonzero(~beyond)
+            out[inside] = self.find(x[inside], *(None if y is None else y[inside] for y in (first, last)))
+            return out
         high = (x >> _U(self.low_bits)).astype(np.int64)
         low = x & self._mask
         a = np.where(high > 0, self.select0(np.maximum(high - 1, 0)) - np.maximum(high - 1, 0), 0)

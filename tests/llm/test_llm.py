@@ -223,7 +223,7 @@ def test_dense_family_is_linear(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 5000), max_size=300), st.lists(st.integers(0, 5000), max_size=50))
+@given(st.lists(st.integers(0, 5000), max_size=300), st.lists(st.integers(0, 90000), max_size=50))
 def test_elias_fano(values, asked):
     v = np.array(sorted(values), np.uint64)
     e = ngram.EF(ngram.ef_build(v, 5001))
