@@ -321,13 +321,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
 #: their words with repeats and of their distinct words together (texts with many common
 #: words), or of their distinct words alone (texts without).
 WORD_BITS, DISTINCT_BITS, DISTINCT_ALONE = 4, 10, 5
-#: Shingle hashes kept of a text to measure similarity; shorter texts are measured exactly.
-SKETCH = 128
 #: Fingerprints of a shard that are compared with each other in full.
 DENSE = 64
 _BLOCK = 4096
 
-_SIGNS = "doc_id bigint, w bigint, d bigint, z bigint, sketch array<bigint>"
+_SIGNS = "doc_id bigint, w bigint, d bigint, z bigint, node bigint"
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> int:
@@ -335,43 +333,81 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> int:
     return int(np.packbits(counts @ bits * 2 > counts.sum(), bitorder="little").view("<u8")[0])
 
 
-def signature(raw: bytes, width: int = 5, k: int = SKETCH) -> tuple[int, int, int, np.ndarray]:
-    """Fingerprints of words, distinct words and ``width``-word shingles, and the k least shingle hashes."""
-    words = raw.lower().split()
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, repeats included."""
     if not words:
-        return 0, 0, 0, np.empty(0, np.uint64)
-    counts: dict[bytes, int] = {}
-    for x in words:
-        counts[x] = counts.get(x, 0) + 1
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in counts], "<u8")
-    many = np.fromiter(counts.values(), np.int64, len(counts))
+        return np.empty(0, "<u8")
     text = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     last = max(len(words) - width, 0)
     starts = (ends - sizes)[: last + 1].tolist()
     ends = ends[len(words) - 1 - last :].tolist()
-    shingles = np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+    return np.array([xxhash.xxh64_intdigest(text[a:b], SEED) for a, b in zip(starts, ends)], "<u8")
+
+
+def shingle_set(raw: bytes, width: int = 5) -> tuple[int, np.ndarray]:
+    """The distinct shingle hashes in signed order, and a hash that names the set."""
+    held = np.unique(shingles(raw.lower().split(), width).view("<i8"))
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED), held
+
+
+def signature(raw: bytes, width: int = 5) -> tuple[int, int, int, int]:
+    """Fingerprints of words, distinct words and ``width``-word shingles, and the name of the shingle set."""
+    words = raw.lower().split()
+    node, _ = shingle_set(raw, width)
+    if not words:
+        return 0, 0, 0, node
+    counts: dict[bytes, int] = {}
+    for x in words:
+        counts[x] = counts.get(x, 0) + 1
+    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in counts], "<u8")
+    many = np.fromiter(counts.values(), np.int64, len(counts))
+    every = shingles(words, width)
     z = np.zeros(64, np.int64)
-    for i in range(0, len(shingles), _CHUNK):
-        z += np.unpackbits(shingles[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    z = int(np.packbits(z * 2 > len(shingles), bitorder="little").view("<u8")[0])
-    return _majority(hashes, many), _majority(hashes, np.ones_like(many)), z, np.unique(shingles)[:k]
+    for i in range(0, len(every), _CHUNK):
+        z += np.unpackbits(every[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    z = int(np.packbits(z * 2 > len(every), bitorder="little").view("<u8")[0])
+    return _majority(hashes, many), _majority(hashes, np.ones_like(many)), z, node
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            w, d, z, sketch = zip(*[signature(x, width) for x in raw_texts(batch)])
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            flat = np.concatenate(sketch).view(np.int64)
-            offsets = np.cumsum([0, *map(len, sketch)]).astype(np.int32)
-            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), long(w), long(d), long(z), held], names=["doc_id", "w", "d", "z", "sketch"])
+            found = zip(*[signature(x, width) for x in raw_texts(batch)])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *longs], names=["doc_id", "w", "d", "z", "node"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNS)
 
 
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``(node, held)``: the name of each text's shingle set and the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
+            offsets = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))], names=["node", "held"]
+            )
+
+    return docs.select("text").mapInArrow(run, "node bigint, held array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more."""
+    need = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "need")
+    ids = rows.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    few = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = cut(shingle_sets(few, width).join(need, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
+    met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("all"))
+    links = cut(met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - 1e-9).select("u", "v"), "similar")
+    release(need, sets)
+    return links
+
+
 def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     d = np.bitwise_count(rows["d"][i] ^ rows["d"][j])
     near = d <= DISTINCT_ALONE
@@ -460,20 +496,12 @@ def close_pairs(signs: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` between nodes of similar texts.
 
-    Candidates are close in two fingerprints; the similarity of their shingle sets, measured on
-    the least hashes, decides.  Texts with all fingerprints alike are one node.
+    Candidates are close in two fingerprints; the similarity of their whole shingle sets
+    decides.  Texts with the same shingle set are one node.
     """
-    rows = cut(signatures(docs, width).withColumn("node", F.xxhash64("w", "d", "z")), "signatures")
-    signs = rows.select("node", "w", "d", "z").distinct()
-    pairs = cut(close_pairs(signs), "pairs")
-    sketch = rows.groupBy("node").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("node", "s.sketch")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sketch = cut(sketch.join(need, "node", "left_semi"), "sketches")
-    both = pairs.join(sketch.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
-    least = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
-    met = F.size(F.array_intersect(F.array_intersect("a", "b"), least))
-    links = both.where(met >= similarity * F.size(least)).select("u", "v")
-    return rows.select("doc_id", "node"), links
+    rows = cut(signatures(docs, width), "signatures")
+    pairs = cut(close_pairs(rows.select("node", "w", "d", "z").distinct()), "pairs")
+    return rows.select("doc_id", "node"), similar_pairs(pairs, docs, rows, width, similarity)
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -219,6 +219,31 @@ def test_dense_family_is_linear(spark):
     assert rows.count() == 150
 
 
+def near(spark, texts):
+    rows, links = simhash.similar_links(make(spark, texts))
+    node = {r.doc_id: r.node for r in rows.collect()}
+    found = {frozenset((r.u, r.v)) for r in links.collect()}
+    return node, found
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(len(w) - width, 0) + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similarity_of_whole_sets(spark):
+    texts = [" ".join(words(210, s, 5000)) for s in range(60)]
+    for s in range(60):
+        copy = texts[s].split()
+        for k in (20, 70, 120, 170):
+            copy[k] = "other"
+        texts.append(" ".join(copy))
+    node, found = near(spark, texts)
+    got = {(i, j) for i in node for j in node if i < j and frozenset((node[i], node[j])) in found}
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in got)
+    assert sum((i, 60 + i) in got for i in range(60)) >= 54
+
+
 # ---------------------------------------------------------------- 4 language model
 
 
