@@ -25,7 +25,6 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -317,20 +316,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
 
 # ---------------------------------------------------------------- similarity of 0.8 and more
 
-#: Differing bits that texts of similarity 0.8 and more stay within: for the fingerprints of
-#: their words with repeats and of their distinct words together (texts with many common
-#: words), or of their distinct words alone (texts without).
-WORD_BITS, DISTINCT_BITS, DISTINCT_ALONE = 4, 10, 5
-#: Fingerprints of a shard that are compared with each other in full.
-DENSE = 64
-_BLOCK = 4096
+#: One text in so many is looked at for shingles that many texts hold, and so many are kept.
+#: Both bear on the order of shingles only, thus on speed: any one order finds the same pairs.
+ORDER_SHARE, ORDER_MOST = 16, 1 << 18
+_EPS = 1e-9
 
-_SIGNS = "doc_id bigint, w bigint, d bigint, z bigint, node bigint"
-
-
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> int:
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(counts @ bits * 2 > counts.sum(), bitorder="little").view("<u8")[0])
+_PREFIXES = "doc_id bigint, node bigint, size int, prefix array<bigint>"
 
 
 def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
@@ -352,33 +343,45 @@ def shingle_set(raw: bytes, width: int = 5) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(held.tobytes(), SEED), held
 
 
-def signature(raw: bytes, width: int = 5) -> tuple[int, int, int, int]:
-    """Fingerprints of words, distinct words and ``width``-word shingles, and the name of the shingle set."""
-    words = raw.lower().split()
-    node, _ = shingle_set(raw, width)
-    if not words:
-        return 0, 0, 0, node
-    counts: dict[bytes, int] = {}
-    for x in words:
-        counts[x] = counts.get(x, 0) + 1
-    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in counts], "<u8")
-    many = np.fromiter(counts.values(), np.int64, len(counts))
-    every = shingles(words, width)
-    z = np.zeros(64, np.int64)
-    for i in range(0, len(every), _CHUNK):
-        z += np.unpackbits(every[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    z = int(np.packbits(z * 2 > len(every), bitorder="little").view("<u8")[0])
-    return _majority(hashes, many), _majority(hashes, np.ones_like(many)), z, node
-
-
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
+def shared_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, in signed order, and in how many of the counted texts."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
+    counts = shingle_sets(some, width).select(F.explode("held").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where("n > 2").orderBy(F.desc("n"), "key").limit(ORDER_MOST).toArrow()
+    keys, n = most.column("key").to_numpy(), most.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, node, size, prefix)``: the rarest shingles of each text, so many that two
+    texts of that similarity share one of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, width))
+
+    def prefix(held: np.ndarray) -> np.ndarray:
+        keys, n = shared.value
+        most = len(held) - int(np.ceil(similarity * len(held) - _EPS)) + 1 if len(held) else 0
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, held), len(keys) - 1)
+            held = held[np.lexsort((held, np.where(keys[at] == held, n[at], 0)))]
+        return held[:most]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = zip(*[signature(x, width) for x in raw_texts(batch)])
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *longs], names=["doc_id", "w", "d", "z", "node"])
+            nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
+            firsts = [prefix(x) for x in held]
+            offsets = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").cast(pa.int64()),
+                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.array([len(x) for x in held], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(firsts))),
+                ],
+                names=["doc_id", "node", "size", "prefix"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNS)
+    return docs.select("doc_id", "text").mapInArrow(run, _PREFIXES)
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -403,104 +406,94 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int
     sets = cut(shingle_sets(few, width).join(need, "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("all"))
-    links = cut(met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - 1e-9).select("u", "v"), "similar")
+    links = cut(met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - _EPS).select("u", "v"), "similar")
     release(need, sets)
     return links
 
 
-def _close(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(rows["d"][i] ^ rows["d"][j])
-    near = d <= DISTINCT_ALONE
-    maybe = np.flatnonzero(~near & (d <= DISTINCT_BITS))
-    near[maybe] = np.bitwise_count(rows["w"][i[maybe]] ^ rows["w"][j[maybe]]) <= WORD_BITS
-    return near
+def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes, and what follows the shared shingle in both, leave room for the similarity.
+
+    At the first shingle that a pair shares this holds for every pair of that similarity.
+    """
+    a, b = rows["size"][i], rows["size"][j]
+    after = np.minimum(a - rows["pos"][i], b - rows["pos"][j])
+    return (np.minimum(a, b) >= similarity * np.maximum(a, b) - _EPS) & (after >= similarity / (1 + similarity) * (a + b) - _EPS)
 
 
-def shard_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs of each shard ``[start, end)``: all of a small one; of a large one each
-    fingerprint's nearest in every block, so that output stays linear in a dense family."""
+def bucket_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of each bucket ``[start, end)`` that :func:`_fits` leaves."""
     us, vs = [], []
-    size = ends - starts
-    small = size <= DENSE
-    here = np.concatenate([np.arange(a, b) for a, b in zip(starts[small], ends[small])]) if small.any() else np.empty(0, np.int64)
-    left = np.repeat(ends[small], size[small]) - here - 1
-    for step in range(1, int(size[small].max(initial=1))):
+    here = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)]) if len(starts) else np.empty(0, np.int64)
+    left = np.repeat(ends, ends - starts) - here - 1
+    for step in range(1, int((ends - starts).max(initial=1))):
         live = left >= step
         here, left = here[live], left[live]
-        ok = _close(rows, here, here + step)
+        ok = _fits(rows, here, here + step, similarity)
         us.append(here[ok])
         vs.append(here[ok] + step)
-    for a, b in zip(starts[~small].tolist(), ends[~small].tolist()):
-        order = a + np.argsort(rows["z"][a:b], kind="stable")
-        for x in range(0, len(order), 512):
-            q = order[x : x + 512]
-            for y in range(0, len(order), _BLOCK):
-                t = order[y : y + _BLOCK]
-                w = np.bitwise_count(rows["w"][q][:, None] ^ rows["w"][t][None])
-                d = np.bitwise_count(rows["d"][q][:, None] ^ rows["d"][t][None]).astype(np.int16)
-                far = ((w > WORD_BITS) | (d > DISTINCT_BITS)) & (d > DISTINCT_ALONE)
-                far |= rows["node"][q][:, None] == rows["node"][t][None]
-                score = np.where(far, 999, d + np.bitwise_count(rows["z"][q][:, None] ^ rows["z"][t][None]))
-                best = score.argmin(axis=1)
-                ok = score[np.arange(len(q)), best] < 999
-                us.append(q[ok])
-                vs.append(t[best[ok]])
     cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
     return cat(us), cat(vs)
 
 
-def close_pairs(signs: DataFrame) -> DataFrame:
-    """``u < v`` (nodes) close in both fingerprints or in that of distinct words.
-
-    By pigeonhole, the former agree on a block of each fingerprint, the latter on two of seven.
-    """
-    every = list(range(64))
-    blocks = [(i, j) for i in _cuts(every, WORD_BITS + 1) for j in _cuts(every, DISTINCT_BITS + 1)]
-    blocks += [([], i + j) for i, j in itertools.combinations(_cuts(every, DISTINCT_ALONE + 2), 2)]
-    mask = lambda bits: F.lit(_signed(sum(1 << b for b in bits)))
-    keys = [F.xxhash64(F.lit(n), F.col("w").bitwiseAND(mask(i)), F.col("d").bitwiseAND(mask(j))) for n, (i, j) in enumerate(blocks)]
+def by_bucket(buckets: DataFrame, found, schema: str) -> DataFrame:
+    """``found(rows, starts, ends)`` on the buckets of two or more nodes, whole buckets at a time."""
+    names = buckets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "node", "w", "d", "z")
-        held: dict[str, np.ndarray] | None = None
-
-        def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-            key = rows["key"]
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            ends = np.append(starts[1:], len(key))
+        def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node = rows["key"], rows["node"]
+            once = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))))
+            rows = {n: x[once] for n, x in rows.items()}
+            starts = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
+            ends = np.append(starts[1:], len(once))
             more = ends - starts > 1
-            u, v = shard_pairs(rows, starts[more], ends[more])
-            u, v = rows["node"][u], rows["node"][v]
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"]) if len(pairs) else None
+            if more.any():
+                yield from found(rows, starts[more], ends[more])
 
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             rows = {n: batch.column(n).to_numpy() for n in names}
-            for n in ("w", "d", "z"):
-                rows[n] = rows[n].view(np.uint64)
-            if held is not None:
-                rows = {n: np.concatenate([held[n], rows[n]]) for n in names}
             if not len(rows["key"]):
                 continue
-            whole = int(np.searchsorted(rows["key"], rows["key"][-1]))  # the last key may go on
-            held = {n: x[whole:] for n, x in rows.items()}
-            if whole and (out := found({n: x[:whole] for n, x in rows.items()})):
-                yield out
-        if held is not None and (out := found(held)):
-            yield out
+            last = int(np.searchsorted(rows["key"], rows["key"][-1]))  # the last key may go on
+            if held and (last or held[0]["key"][0] != rows["key"][0]):
+                held.append({n: x[:last] for n, x in rows.items()})
+                yield from whole({n: np.concatenate([x[n] for x in held]) for n in names})
+                held = []
+            elif last:
+                yield from whole({n: x[:last] for n, x in rows.items()})
+            held.append({n: x[last:] for n, x in rows.items()})
+        if held:
+            yield from whole({n: np.concatenate([x[n] for x in held]) for n in names})
+
+    return buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+
+
+def close_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """``u < v``: every pair of nodes that shares a shingle of both prefixes and may be similar."""
+
+    def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v = bucket_pairs(rows, starts, ends, similarity)
+        pairs = _pairs(rows["node"][u], rows["node"][v])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    spread = signs.select("node", "w", "d", "z", F.explode(F.array(*keys)).alias("key")).select("key", "node", "w", "d", "z")
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint").distinct()
+    return by_bucket(buckets, found, "u bigint, v bigint").distinct()
 
 
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` between nodes of similar texts.
 
-    Candidates are close in two fingerprints; the similarity of their whole shingle sets
-    decides.  Texts with the same shingle set are one node.
+    Candidates share one of their rarest shingles, as all similar texts do (prefix filter);
+    the similarity of their whole shingle sets decides.  Texts with the same set are one node.
     """
-    rows = cut(signatures(docs, width), "signatures")
-    pairs = cut(close_pairs(rows.select("node", "w", "d", "z").distinct()), "pairs")
+    rows = cut(prefixes(docs, width, similarity), "prefixes")
+    buckets = rows.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
+    pairs = cut(close_pairs(buckets, similarity), "pairs")
     return rows.select("doc_id", "node"), similar_pairs(pairs, docs, rows, width, similarity)
 
 

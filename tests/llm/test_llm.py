@@ -244,6 +244,22 @@ def test_similarity_of_whole_sets(spark):
     assert sum((i, 60 + i) in got for i in range(60)) >= 54
 
 
+def test_all_similar_pairs(spark):
+    texts = []
+    for s, n in enumerate([8, 20, 40, 100, 250, 700] * 4):
+        w = words(n, s, 5000)
+        added = words(n, 1000 + s, 5000)
+        texts += [" ".join(x) for x in (w, w + added[: n // 5], w[: n - n // 7], w[n // 8 :], w[: n // 2] + added[: n // 6] + w[n // 2 :])]
+    base = words(700, 99, 5000)
+    texts += [" ".join(base), " ".join(base[:560]), " ".join(base[:561]), "one", "one two", "", " "]
+    node, found = near(spark, texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            same = not texts[i].split() and not texts[j].split()
+            alike = node[i] == node[j] or frozenset((node[i], node[j])) in found
+            assert alike == (same or jaccard(texts[i], texts[j]) >= 0.8), (i, j)
+
+
 # ---------------------------------------------------------------- 4 language model
 
 
