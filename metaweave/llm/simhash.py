@@ -320,6 +320,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
 #: Both bear on the order of shingles only, thus on speed: any one order finds the same pairs.
 ORDER_SHARE, ORDER_MOST = 16, 1 << 18
 _EPS = 1e-9
+#: Nodes of a bucket up to which all its pairs are compared at once.
+DENSE = 64
+#: Share of links among compared pairs below which stars no longer pay.
+STAR_GAIN = 0.05
 
 _PREFIXES = "doc_id bigint, node bigint, size int, prefix array<bigint>"
 
@@ -475,26 +479,81 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """``u < v``: every pair of nodes that shares a shingle of both prefixes and may be similar."""
+    """``key, u, v, size, pos``: ``u < v`` is a pair of nodes that shares a shingle of both
+    prefixes and may be similar; nodes of buckets over ``DENSE`` come singly, as ``u`` without ``v``."""
 
     def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v = bucket_pairs(rows, starts, ends, similarity)
+        small = ends - starts <= DENSE
+        u, v = bucket_pairs(rows, starts[small], ends[small], similarity)
         pairs = _pairs(rows["node"][u], rows["node"][v])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none[1], none[1]], names=names)
+        for a, b in zip(starts[~small], ends[~small]):
+            key, node, size, pos = (pa.array(rows[n][a:b]) for n in ("key", "node", "size", "pos"))
+            yield pa.RecordBatch.from_arrays([key, node, pa.nulls(b - a, pa.int64()), size, pos], names=names)
+
+    names = ["key", "u", "v", "size", "pos"]
+    return by_bucket(buckets, found, "key bigint, u bigint, v bigint, size int, pos int")
+
+
+def dense_pairs(buckets: DataFrame, similarity: float, salt: int | None) -> DataFrame:
+    """Pairs ``u < v`` of different ``class`` in one bucket: with a salt, of one node and all others; without, all."""
+
+    def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, known = rows["node"], rows["class"]
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if (known[a:b] == known[a]).all():
+                continue
+            each = range(a, b, 256)
+            if salt is not None:
+                mixed = (node[a:b].view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+                each = [a + int(mixed.argmin())]
+            for x in each:
+                i = np.arange(x, min(x + 256, b) if salt is None else x + 1)[:, None]
+                j = np.arange(a if salt is not None else x, b)[None]
+                ok = (known[i] != known[j]) & _fits(rows, i, j, similarity)
+                if salt is None:
+                    ok &= i < j
+                at, to = np.nonzero(ok)
+                pairs = _pairs(node[i[at, 0]], node[j[0, to]])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     return by_bucket(buckets, found, "u bigint, v bigint").distinct()
 
 
+def dense_links(buckets: DataFrame, links: DataFrame, similar, similarity: float) -> DataFrame:
+    """``links`` and what large buckets add, so that all similar nodes are connected.
+
+    Stars around one node a bucket come first, as long as they pay: they join a dense family
+    by a linear number of pairs.  Then all pairs that are still in different classes are compared.
+    """
+    salt: int | None = 0
+    while True:
+        parts = star_components(links).select("node", F.col("component").alias("class"))
+        known = buckets.join(parts, "node", "left").select("key", "node", "size", "pos", F.coalesce("class", "node").alias("class"))
+        pairs = cut(dense_pairs(known, similarity, salt), "pairs")
+        new = similar(pairs)
+        links = links.unionByName(new)
+        if salt is None:
+            return links
+        salt = salt * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1 if new.count() > STAR_GAIN * pairs.count() else None
+
+
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` between nodes of similar texts.
+    """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` of similar texts that connect all such.
 
     Candidates share one of their rarest shingles, as all similar texts do (prefix filter);
     the similarity of their whole shingle sets decides.  Texts with the same set are one node.
     """
     rows = cut(prefixes(docs, width, similarity), "prefixes")
     buckets = rows.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
-    pairs = cut(close_pairs(buckets, similarity), "pairs")
-    return rows.select("doc_id", "node"), similar_pairs(pairs, docs, rows, width, similarity)
+    found = cut(close_pairs(buckets, similarity), "pairs")
+    similar = lambda pairs: similar_pairs(pairs, docs, rows, width, similarity)
+    links = similar(cut(found.where("v IS NOT NULL").select("u", "v").distinct(), "pairs"))
+    dense = found.where("v IS NULL").select("key", F.col("u").alias("node"), "size", "pos")
+    if not dense.isEmpty():
+        links = dense_links(dense, links, similar, similarity)
+    return rows.select("doc_id", "node"), links
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -260,6 +260,23 @@ def test_all_similar_pairs(spark):
             assert alike == (same or jaccard(texts[i], texts[j]) >= 0.8), (i, j)
 
 
+def test_dense_families_are_whole(spark):
+    core = words(299, 3, 3000)
+    other = list(core)
+    for k in (50, 51, 52, 53):
+        other[k] = "second"
+    texts = [" ".join([*w[:i], f"edit{i}x{n}", *w[i + 1 :]]) for n in range(2) for w in (core, other) for i in range(0, 299, 2)]
+    # a chain whose ends are not similar, and texts that share a passage only
+    long = words(500, 4, 3000)
+    texts += [" ".join(long[i : i + 300]) for i in range(0, 200, 2)]
+    passage = words(30, 5, 3000)
+    texts += [" ".join(passage + words(60, 100 + i, 3000)) for i in range(100)]
+    kept = simhash.one_of_each(make(spark, texts))
+    assert kept.count() == 102
+    _, links = simhash.similar_links(make(spark, texts))
+    assert links.count() < len(texts) * 30
+
+
 # ---------------------------------------------------------------- 4 language model
 
 
