@@ -981,7 +981,7 @@ def r1_convergence(spark, sf_dir):
 
 @query()
 def g1_pagerank(spark, sf_dir):
-    ties = T.supplier_ties(spark, sf_dir).where("w >= 130").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    ties = T.supplier_ties(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))
     return G.radii(G.pagerank(ties))
 
 

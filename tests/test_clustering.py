@@ -157,3 +157,20 @@ def test_root_and_paths(spark, rows):
     assert dict((n, p) for n, p in rows(H.paths(assign))) == {0: [0, 5], 1: [0, 5], 2: [2, 6]}
     assert rows(G.drill_down(assign), "level", "comm") == [(1, 0), (2, 5)]
     assert G.path_metrics(G.alternative_paths(assign)).count() == 4
+
+
+def test_registered_pagerank_takes_all_ties(spark):
+    from metaweave.plans import queries
+    from metaweave.sources import tables
+
+    sf = "/root/testdata/sf0.01"
+    ties = {frozenset((r.u, r.v)) for r in tables.supplier_ties(spark, sf).collect()}
+    near = {}
+    for u, v in map(tuple, ties):
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    rank = {x: 1 / len(near) for x in near}
+    for _ in range(100):
+        rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
+    got = {r.id: r["rank"] for r in queries.g1_pagerank(spark, sf).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-5 for x in rank)
