@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import raw_texts, slices
+from metaweave.llm.common import LOCATOR, hot_join, known_by, raw_texts, slices, with_locator
 from metaweave.operators.components import star_components
 from metaweave.plans.scratch import cut, release
 
@@ -304,14 +304,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, shard
     """``(doc_id, fp, component_id)``, one row per document."""
     rows = cut(fingerprints(docs, width), "fps")
     parts = star_components(near_links(rows, radius, shard_limit))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     named = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("component"), "least"
+        "fp", "n", F.coalesce("component", "fp").alias("component"), "least"
     )
     named = cut(named, "classes")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = cut(named.join(ids, "component").select("fp", "n", "component_id"), "names")
+    return hot_join(rows, names, "fp").select("doc_id", "fp", "component_id")
 
 
 # ---------------------------------------------------------------- similarity of 0.8 and more
@@ -322,10 +322,17 @@ ORDER_SHARE, ORDER_MOST = 16, 1 << 18
 _EPS = 1e-9
 #: Nodes of a bucket up to which all its pairs are compared at once.
 DENSE = 64
-#: Share of links among compared pairs below which stars no longer pay.
-STAR_GAIN = 0.05
+#: Centres a large bucket's nodes are compared with before the rest of its pairs.
+CENTRES = 8
+#: Nodes of a large bucket that one cell of its pairs holds on either side.
+CELL = 2048
+#: Longs of a parity sketch.
+SKETCH = 8
+#: Nodes to verify up to which their list is broadcast to the reading of the texts.
+FEW_NODES = 1 << 20
 
-_PREFIXES = "doc_id bigint, node bigint, size int, prefix array<bigint>"
+_SKETCH = [f"b{i}" for i in range(SKETCH)]
+_ROWS = [*LOCATOR, "doc_id", "node", "size", "prefix", "sketch"]
 
 
 def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
@@ -347,9 +354,34 @@ def shingle_set(raw: bytes, width: int = 5) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(held.tobytes(), SEED), held
 
 
+def parity_sketch(held: np.ndarray) -> np.ndarray:
+    """Of each of ``64 * SKETCH`` groups of hashes, whether the set holds an odd number.
+
+    Two sketches differ in at most as many bits as the sets differ in elements.
+    """
+    odd = np.bincount((held.view("<u8") >> np.uint64(32)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, "<i8"), *values])))
+
+
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``(node, held)``: the name of each text's shingle set and the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists(held)], names=["node", "held"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, held array<bigint>")
+
+
 def shared_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, in signed order, and in how many of the counted texts."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
+    some = docs.where(F.pmod(F.xxhash64(*LOCATOR), F.lit(ORDER_SHARE)) == 0)
     counts = shingle_sets(some, width).select(F.explode("held").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     most = counts.where("n > 2").orderBy(F.desc("n"), "key").limit(ORDER_MOST).toArrow()
     keys, n = most.column("key").to_numpy(), most.column("n").to_numpy()
@@ -358,7 +390,7 @@ def shared_shingles(docs: DataFrame, width: int = 5) -> tuple[np.ndarray, np.nda
 
 
 def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, node, size, prefix)``: the rarest shingles of each text, so many that two
+    """The columns ``_ROWS`` of each text; its prefix is its rarest shingles, so many that two
     texts of that similarity share one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, width))
 
@@ -371,43 +403,34 @@ def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
         return held[:most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
-            firsts = [prefix(x) for x in held]
-            offsets = pa.array(np.cumsum([0, *map(len, firsts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
+                    *[batch.column(c) for c in LOCATOR],
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array([len(x) for x in held], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(firsts))),
+                    _lists([prefix(x) for x in held]),
+                    _lists([parity_sketch(x) for x in held]),
                 ],
-                names=["doc_id", "node", "size", "prefix"],
+                names=_ROWS,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PREFIXES)
-
-
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(node, held)``: the name of each text's shingle set and the whole set."""
+    shape = "_dedup_file string, _dedup_row bigint, doc_id bigint, node bigint, size int, prefix array<bigint>, sketch array<bigint>"
+    return docs.select(*LOCATOR, "doc_id", "text").mapInArrow(run, shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
-            offsets = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))], names=["node", "held"]
-            )
 
-    return docs.select("text").mapInArrow(run, "node bigint, held array<bigint>")
+def _room(a, b, similarity: float):
+    """How many elements sets of these sizes may differ in."""
+    return (1 - similarity) / (1 + similarity) * (a + b) + _EPS
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more."""
-    need = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "need")
-    ids = rows.join(need, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    few = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = cut(shingle_sets(few, width).join(need, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    need = cut(nodes.select(*LOCATOR, "node").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "need")
+    texts = known_by(docs, need.drop("node"), LOCATOR, "left_semi", FEW_NODES)
+    sets = cut(shingle_sets(texts, width), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("all"))
     links = cut(met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - _EPS).select("u", "v"), "similar")
@@ -440,36 +463,55 @@ def bucket_pairs(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarr
     return cat(us), cat(vs)
 
 
-def by_bucket(buckets: DataFrame, found, schema: str) -> DataFrame:
-    """``found(rows, starts, ends)`` on the buckets of two or more nodes, whole buckets at a time."""
+def by_key(buckets: DataFrame, found, schema: str, most: int | None = None, over=None) -> DataFrame:
+    """``found(rows, starts, ends)`` on the keys with two rows or more, whole keys at a time.
+
+    With ``most``, rows of a key that has more than that are passed to ``over`` as they come.
+    """
     names = buckets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, node = rows["key"], rows["node"]
-            once = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))))
-            rows = {n: x[once] for n, x in rows.items()}
-            starts = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-            ends = np.append(starts[1:], len(once))
+            key = rows["key"]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(starts[1:], len(key))
             more = ends - starts > 1
+            if most is not None:
+                large = ends - starts > most
+                for a, b in zip(starts[large], ends[large]):
+                    yield over({n: x[a:b] for n, x in rows.items()})
+                more &= ~large
             if more.any():
                 yield from found(rows, starts[more], ends[more])
 
         held: list[dict[str, np.ndarray]] = []
+        flowing = None  # the key whose rows go to ``over`` as they come
         for batch in batches:
             rows = {n: batch.column(n).to_numpy() for n in names}
             if not len(rows["key"]):
                 continue
+            if flowing is not None and not held:
+                end = int(np.searchsorted(rows["key"], flowing, "right"))
+                if end:
+                    yield over({n: x[:end] for n, x in rows.items()})
+                    rows = {n: x[end:] for n, x in rows.items()}
+                    if not len(rows["key"]):
+                        continue
+                flowing = None
+            held.append(rows)
+            rows = {n: np.concatenate([x[n] for x in held]) for n in names}
             last = int(np.searchsorted(rows["key"], rows["key"][-1]))  # the last key may go on
-            if held and (last or held[0]["key"][0] != rows["key"][0]):
-                held.append({n: x[:last] for n, x in rows.items()})
-                yield from whole({n: np.concatenate([x[n] for x in held]) for n in names})
-                held = []
-            elif last:
+            if last:
                 yield from whole({n: x[:last] for n, x in rows.items()})
-            held.append({n: x[last:] for n, x in rows.items()})
+            rest = {n: x[last:] for n, x in rows.items()}
+            if most is not None and len(rest["key"]) > most:
+                flowing = rest["key"][0]
+                yield over(rest)
+                held = []
+            else:
+                held = [rest]
         if held:
-            yield from whole({n: np.concatenate([x[n] for x in held]) for n in names})
+            yield from whole(held[0])
 
     return buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
 
@@ -479,95 +521,143 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """``key, u, v, size, pos``: ``u < v`` is a pair of nodes that shares a shingle of both
-    prefixes and may be similar; nodes of buckets over ``DENSE`` come singly, as ``u`` without ``v``."""
+    """``key, u, v, size``: ``u < v`` is a pair of nodes that shares a shingle of both prefixes
+    and may be similar; nodes of buckets over ``DENSE`` come singly, as ``u`` without ``v``."""
+    names = ["key", "u", "v", "size"]
 
     def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        small = ends - starts <= DENSE
-        u, v = bucket_pairs(rows, starts[small], ends[small], similarity)
+        u, v = bucket_pairs(rows, starts, ends, similarity)
         pairs = _pairs(rows["node"][u], rows["node"][v])
-        none = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32())
-        yield pa.RecordBatch.from_arrays([none[0], pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none[1], none[1]], names=names)
-        for a, b in zip(starts[~small], ends[~small]):
-            key, node, size, pos = (pa.array(rows[n][a:b]) for n in ("key", "node", "size", "pos"))
-            yield pa.RecordBatch.from_arrays([key, node, pa.nulls(b - a, pa.int64()), size, pos], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], names=names)
+
+    def over(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(rows["key"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["node"]), pa.nulls(n, pa.int64()), pa.array(rows["size"])], names=names)
+
+    return by_key(buckets, found, "key bigint, u bigint, v bigint, size int", DENSE, over)
+
+
+def _near_in_sketch(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and parity sketches of two structs leave room for the similarity."""
+    x, y = F.col(a), F.col(b)
+    bits = sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in _SKETCH[1:]), F.bit_count(x[_SKETCH[0]].bitwiseXOR(y[_SKETCH[0]])))
+    small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
+    return (small >= similarity * large - _EPS) & (bits <= _room(small, large, similarity))
+
+
+def star_pairs(dense: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the nodes of each large bucket and its centres: a linear number."""
+    kept = ["node", "size", *_SKETCH]
+    centre = [F.max_by(F.struct(*kept), F.struct("shared", "node"))]
+    centre += [F.min_by(F.struct(*kept), F.xxhash64("node", F.lit(i))) for i in range(1, CENTRES)]
+    centres = cut(dense.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*centre).alias("centres")), "centres")
+    return (
+        hot_join(dense, centres, "key")
+        .select(F.struct(*kept).alias("x"), F.explode("centres").alias("y"))
+        .where((F.col("x.node") != F.col("y.node")) & _near_in_sketch("x", "y", similarity))
+        .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+        .distinct()
+    )
 
-    names = ["key", "u", "v", "size", "pos"]
-    return by_bucket(buckets, found, "key bigint, u bigint, v bigint, size int, pos int")
 
+def rest_pairs(dense: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different ``class`` in one large bucket that may be similar.
 
-def dense_pairs(buckets: DataFrame, similarity: float, salt: int | None) -> DataFrame:
-    """Pairs ``u < v`` of different ``class`` in one bucket: with a salt, of one node and all others; without, all."""
+    A bucket's pairs are dealt out in cells of at most twice ``CELL`` nodes; buckets of one
+    class have no such pairs and drop out.
+    """
+    names = ["u", "v"]
 
     def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, known = rows["node"], rows["class"]
+        sketch = np.stack([rows[c].view(np.uint64) for c in _SKETCH], axis=1)
+        node, known, size, side = (rows[c] for c in ("node", "class", "size", "side"))
         for a, b in zip(starts.tolist(), ends.tolist()):
-            if (known[a:b] == known[a]).all():
-                continue
-            each = range(a, b, 256)
-            if salt is not None:
-                mixed = (node[a:b].view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-                each = [a + int(mixed.argmin())]
-            for x in each:
-                i = np.arange(x, min(x + 256, b) if salt is None else x + 1)[:, None]
-                j = np.arange(a if salt is not None else x, b)[None]
-                ok = (known[i] != known[j]) & _fits(rows, i, j, similarity)
-                if salt is None:
-                    ok &= i < j
+            for x in range(a, b, 256):
+                i, j = np.arange(x, min(x + 256, b))[:, None], np.arange(x, b)[None]
+                ok = (i < j) & (known[i] != known[j]) & ((side[i] != side[j]) | (side[i] == 2))
+                ok &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - _EPS
                 at, to = np.nonzero(ok)
-                pairs = _pairs(node[i[at, 0]], node[j[0, to]])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    return by_bucket(buckets, found, "u bigint, v bigint").distinct()
+                at, to = i[at, 0], j[0, to]
+                bits = np.zeros(len(at), np.int64)
+                for k in range(SKETCH):
+                    bits += np.bitwise_count(sketch[at, k] ^ sketch[to, k])
+                live = bits <= _room(size[at], size[to], similarity)
+                if live.any():
+                    pairs = _pairs(node[at[live]], node[to[live]])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
+
+    mixed = cut(dense.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed"), "mixed")
+    grid = F.ceil(F.col("n") / CELL).cast("int")
+    own, other = F.col("own"), F.col("other")
+    cells = (
+        hot_join(dense, mixed.select("key", "n", grid.alias("grid")), "key")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
+        .select(
+            F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"),
+            "node", "class", "size", *_SKETCH, F.when(own == other, 2).otherwise((own > other).cast("int")).alias("side"),
+        )
+    )
+    return by_key(cells, found, "u bigint, v bigint").distinct()
 
 
-def dense_links(buckets: DataFrame, links: DataFrame, similar, similarity: float) -> DataFrame:
-    """``links`` and what large buckets add, so that all similar nodes are connected.
+def dense_links(dense: DataFrame, links: DataFrame, similar, similarity: float) -> DataFrame:
+    """``links`` and what large buckets (``key, node, size, shared, b0..``) add, so that all
+    similar nodes are connected.
 
-    Stars around one node a bucket come first, as long as they pay: they join a dense family
-    by a linear number of pairs.  Then all pairs that are still in different classes are compared.
+    Stars around a few nodes a bucket come first; they join a dense family by a linear number
+    of pairs. Then what is still in different classes is compared whole.
     """
-    salt: int | None = 0
-    while True:
-        parts = star_components(links).select("node", F.col("component").alias("class"))
-        known = buckets.join(parts, "node", "left").select("key", "node", "size", "pos", F.coalesce("class", "node").alias("class"))
-        pairs = cut(dense_pairs(known, similarity, salt), "pairs")
-        new = similar(pairs)
-        links = links.unionByName(new)
-        if salt is None:
-            return links
-        salt = salt * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1 if new.count() > STAR_GAIN * pairs.count() else None
+    links = links.unionByName(similar(cut(star_pairs(dense, similarity), "stars")))
+    parts = star_components(links).select("node", F.col("component").alias("class"))
+    known = cut(dense.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node")), "known")
+    return links.unionByName(similar(cut(rest_pairs(known, similarity), "rest")))
 
 
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: rows ``doc_id, node``; links ``u, v`` of similar texts that connect all such.
+    """``(rows, links)``: the rows of :func:`prefixes`; links ``u, v`` of nodes that connect all
+    similar texts. ``docs`` has the columns ``LOCATOR``.
 
     Candidates share one of their rarest shingles, as all similar texts do (prefix filter);
-    the similarity of their whole shingle sets decides.  Texts with the same set are one node.
+    the similarity of their whole shingle sets decides. Texts with the same set are one node.
     """
     rows = cut(prefixes(docs, width, similarity), "prefixes")
-    buckets = rows.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
+    nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*LOCATOR)).alias("of"))
+    nodes = cut(nodes.select("node", "n", "of.*"), "nodes")
+    firsts = nodes.where("n > 1").select("node", "n", *[F.col(c).alias(f"first{c}") for c in LOCATOR])
+    again = hot_join(rows.select(*LOCATOR, "node"), firsts, "node")
+    extra = cut(again.where(" OR ".join(f"{c} <> first{c}" for c in LOCATOR)).select(*LOCATOR), "extra")
+    once = known_by(rows, extra, LOCATOR, "left_anti")
+    buckets = once.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
     found = cut(close_pairs(buckets, similarity), "pairs")
-    similar = lambda pairs: similar_pairs(pairs, docs, rows, width, similarity)
+    similar = lambda pairs: similar_pairs(pairs, docs, nodes, width, similarity)
     links = similar(cut(found.where("v IS NOT NULL").select("u", "v").distinct(), "pairs"))
-    dense = found.where("v IS NULL").select("key", F.col("u").alias("node"), "size", "pos")
+    dense = found.where("v IS NULL").select("key", F.col("u").alias("node"), "size")
     if not dense.isEmpty():
-        links = dense_links(dense, links, similar, similarity)
-    return rows.select("doc_id", "node"), links
+        shared = dense.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+        sketches = once.select("node", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]).join(shared, "node")
+        links = dense_links(cut(dense.join(sketches, "node"), "dense"), links, similar, similarity)
+    return rows, links
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id`` by similarity of shingle sets; singletons name themselves."""
+    """One row per row of ``docs`` (with ``LOCATOR``): its id, locator and those of the row that
+    names its class, ``stays``: the smallest doc_id, then locator; nulls last."""
     rows, links = similar_links(docs, width, similarity)
     parts = star_components(links)
-    named = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(parts, "node", "left")
-    named = cut(named.select("node", F.coalesce("component", "node").alias("component"), "least"), "classes")
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *LOCATOR)
+    named = rows.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")).join(parts, "node", "left")
+    named = cut(named.select("node", "n", F.coalesce("component", "node").alias("component"), "least"), "classes")
+    stays = named.groupBy("component").agg(F.min("least").alias("stays"))
+    names = cut(named.join(stays, "component").select("node", "n", "stays"), "names")
+    return hot_join(rows.select("node", "doc_id", *LOCATOR), names, "node")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents whose id names their class; rows with a null id are all kept."""
-    found = similar_classes(docs, width, similarity)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of similar texts: that of the smallest doc_id, then the first in its
+    file. Rows are told apart by their place, so repeated ids harm nothing; a row without an id
+    stays only where its class has no other; texts without words are one class."""
+    located = with_locator(docs)
+    found = similar_classes(located, width, similarity)
+    gone = cut(found.where(" OR ".join(f"stays.{c} <> {c}" for c in LOCATOR)).select(*LOCATOR), "gone")
+    return known_by(located, gone, LOCATOR, "left_anti").select(*docs.columns)

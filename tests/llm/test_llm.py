@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from metaweave.llm.common import with_locator
 from metaweave.llm import decontaminate, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
 
 D = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -215,12 +216,12 @@ def test_dense_family_is_linear(spark):
     base = words(300, 3, 3000)
     texts = [" ".join(base[:i] + ["edit" + str(i)] + base[i + 1 :]) for i in range(150)]
     assert simhash.one_of_each(make(spark, texts)).count() <= 3
-    rows, _ = simhash.similar_links(make(spark, texts))
+    rows, _ = simhash.similar_links(with_locator(make(spark, texts)))
     assert rows.count() == 150
 
 
 def near(spark, texts):
-    rows, links = simhash.similar_links(make(spark, texts))
+    rows, links = simhash.similar_links(with_locator(make(spark, texts)))
     node = {r.doc_id: r.node for r in rows.collect()}
     found = {frozenset((r.u, r.v)) for r in links.collect()}
     return node, found
@@ -273,10 +274,36 @@ def test_dense_families_are_whole(spark):
     texts += [" ".join(passage + words(60, 100 + i, 3000)) for i in range(100)]
     kept = simhash.one_of_each(make(spark, texts))
     assert kept.count() == 102
-    _, links = simhash.similar_links(make(spark, texts))
+    _, links = simhash.similar_links(with_locator(make(spark, texts)))
     assert links.count() < len(texts) * 30
 
 
+@pytest.mark.parametrize("cell", [16, 2048])
+def test_loose_families_against_all_pairs(spark, monkeypatch, cell):
+    """Copies with a few edits each: some are similar to each other, some to the original only, some to none."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    base = words(150, 8, 3000)
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(160):
+        copy = list(base)
+        for k in rng.integers(0, 150, rng.integers(1, 5)):
+            copy[k] = f"edit{i}x{k}"
+        texts.append(" ".join(copy))
+    pairs = itertools.combinations(range(len(texts)), 2)
+    want = classes(len(texts), [(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= 0.8])
+    kept = {r.doc_id for r in simhash.one_of_each(make(spark, texts)).collect()}
+    assert kept == set(want) and 1 < len(kept) < 160
+
+
+def test_near_copies_are_told_apart_by_row(spark):
+    a, b = " ".join(words(200, 1, 5000)), " ".join(words(200, 2, 5000))
+    docs = make(spark, [a, a + " x", b, a, b + " y", None], [3, 7, 7, 3, None, None])
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (7, b), (None, None)], key=str)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0 == simhash.near_duplicates(docs.limit(0)).count()
+
+
 # ---------------------------------------------------------------- 4 language model
 
 
