@@ -59,7 +59,7 @@ def with_locator(docs: DataFrame) -> DataFrame:
 
 
 def known_by(rows: DataFrame, narrow: DataFrame, on: list[str], how: str, few: int = FEW_ROWS) -> DataFrame:
-    """``rows`` semi- or anti-joined with a written narrow table, which is broadcast if it has at
+    """``rows`` joined with a written narrow table of distinct ``on``, which is broadcast if it has at
     most ``few`` rows, so that texts are shuffled only where it is larger."""
     return rows.join(F.broadcast(narrow) if narrow.count() <= few else narrow, on, how)
 

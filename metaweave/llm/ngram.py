@@ -43,7 +43,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import fold, raw_texts, slices
+from metaweave.llm.common import fold, kept, raw_texts, slices
 from metaweave.plans.scratch import cut, release, scratch_path
 
 ORDER = 3
@@ -52,6 +52,10 @@ SHARD_NODES = 2_000_000
 #: Steps of the probability grid, from 10**-FLOOR to 1.
 GRID, FLOOR = 4095, 10.0
 WORDS_KEPT = 1 << 19
+#: N-grams that a task gathers before it hands them on, and that one of the tasks which add up has in hand.
+HELD_KEYS, PART_KEYS = 1_000_000, 2_000_000
+#: Of a text, in the mean, for the number of parts that words are counted in.
+BYTES_A_TOKEN = 6
 _U = np.uint64
 #: Turns the order of signed longs into that of unsigned ones.
 _SIGN = _U(1 << 63)
@@ -352,19 +356,79 @@ def before_each(node: np.ndarray, starts: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- counting and building
 
 _PAIRS = "key bigint, n bigint"
+_BLOCKS = "part int, rows int, keys binary, counts binary"
 
 
-def _count_words(train: DataFrame) -> DataFrame:
+def pack_block(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as the bytes of their steps, by significance, which compress; and counts."""
+    steps = np.diff(keys, prepend=np.int64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), _narrowest(n).tobytes()
+
+
+def unpack_block(rows: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, rows).T).view(np.int64)
+    return np.cumsum(steps.ravel()), np.frombuffer(counts, f"<u{len(counts) // rows}").astype(np.int64)
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their counts."""
+    keys = np.concatenate([k for k, _ in held])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([c for _, c in held])[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _blocks(keys: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A block for each of the parts that the ascending keys hash to."""
+    part = ((keys.view(_U) * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+    keys, n, part = keys[order], n[order], part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    ends = np.append(first[1:], len(keys))
+    packed = [pack_block(keys[a:b], n[a:b]) for a, b in zip(first, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[first].astype(np.int32)), pa.array((ends - first).astype(np.int32)), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())],
+        names=["part", "rows", "keys", "counts"],
+    )
+
+
+def sum_blocks(blocks: DataFrame, parts: int, least: int = 1) -> DataFrame:
+    """``key, n`` of all keys with ``n >= least``; a row ``-1, how many`` a task for those without.
+
+    A part holds about ``PART_KEYS`` keys, all of which its task has in hand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [unpack_block(*(batch.column(c)[i].as_py() for c in ("rows", "keys", "counts"))) for batch in batches for i in range(batch.num_rows)]
+        if not held:
+            return
+        keys, n = _merged(held)
+        held.clear()
+        often = n >= least
+        once = len(n) - int(often.sum())
+        keys, n = keys[often], n[often]
+        if once:
+            keys, n = np.append(keys, -1), np.append(n, once)
+        for a in range(0, len(keys), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)]), pa.array(n[a : a + (1 << 17)])], names=["key", "n"])
+
+    return blocks.repartitionById(parts, "part").drop("part").mapInArrow(run, _PAIRS)
+
+
+def _count_words(train: DataFrame, parts: int) -> DataFrame:
+    """Hashes of words, in signed order, with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             keys = np.array([xxhash.xxh64_intdigest(w) for w in held], _U).view(np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
+            n = np.fromiter(held.values(), np.int64, len(held))
             held.clear()
-            return batch
+            return _blocks(*_merged([(keys, n)]), parts)
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             texts = raw_texts(batch)
             for raw in texts:
                 held.update(raw.lower().split())
@@ -374,10 +438,8 @@ def _count_words(train: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return train.select("text").mapInArrow(run, _PAIRS).groupBy("key").agg(F.sum("n").alias("n"))
-
+    return sum_blocks(train.select("text").mapInArrow(run, _BLOCKS), parts)
 
-_READERS: dict[str, Reader] = {}
 
 IDS = "doc_id bigint, train boolean, ids array<int>"
 
@@ -387,11 +449,9 @@ def token_ids(docs: DataFrame, trie: Trie, train: Column) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(trie), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _READERS:
-            _READERS.clear()
-            _READERS[name] = Reader(shared.value)
-        for batch in slices(batches):
-            ids, starts = _READERS[name](raw_texts(batch))
+        read = kept(name, lambda: Reader(shared.value))
+        for batch in slices(batches, most=4 << 20):
+            ids, starts = read(raw_texts(batch))
             offsets = np.append(starts, len(ids)).astype(np.int32)
             held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("train"), held], names=["doc_id", "train", "ids"])
@@ -401,7 +461,7 @@ def token_ids(docs: DataFrame, trie: Trie, train: Column) -> DataFrame:
 
 def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of about ``most`` tokens, with their ids and where each text starts."""
-    _READERS.clear()  # a worker that has read texts needs its words no more
+    kept(None, lambda: None)  # a worker that has read texts needs its words no more
     for batch in batches:
         lists = batch.column("ids")
         offsets = np.asarray(lists.offsets)
@@ -413,21 +473,13 @@ def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterat
             at = end
 
 
-def _count_level(rows: DataFrame, trie: Trie, level: int) -> DataFrame:
+def _count_level(rows: DataFrame, trie: Trie, level: int, parts: int) -> DataFrame:
     """Counts of (context node << 32 | token) whose parts were all seen ``LEAST`` times."""
     shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], np.concatenate([c for _, c in held])[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            return keys[first], np.add.reduceat(n, first)
-
         for _, ids, starts in _id_slices(batches):
             known = np.where(trie_counts(trie, ids) >= LEAST, ids, -1)
             node, before = known, before_each(known, starts)
@@ -437,15 +489,13 @@ def _count_level(rows: DataFrame, trie: Trie, level: int) -> DataFrame:
             live = (before >= 0) & (node >= 0)
             if live.any():
                 held.append(np.unique((before[live] << 32) | known[live], return_counts=True))
-            if sum(len(k) for k, _ in held) > 2_000_000:
-                keys, n = merged()
+            if sum(len(k) for k, _ in held) > HELD_KEYS:
+                yield _blocks(*_merged(held), parts)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
         if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+            yield _blocks(*_merged(held), parts)
 
-    return rows.where("train").select("ids").mapInArrow(run, _PAIRS).groupBy("key").agg(F.sum("n").alias("n"))
+    return sum_blocks(rows.where("train").select("ids").mapInArrow(run, _BLOCKS), parts, LEAST)
 
 
 def trie_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
@@ -536,7 +586,8 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
     spark = docs.sparkSession
     out_dir = out_dir or scratch_path(spark, "trie")
     own = F.coalesce(fold("doc_id", folds) != held, F.lit(True))
-    words = cut(_count_words(docs.where(own)), "words")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    words = cut(_count_words(docs.where(own), 1 + size // (4 * BYTES_A_TOKEN * PART_KEYS)), "words")
     top = words.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
     trie = Trie([], top["tokens"] or 0, top["distinct"])
     if trie.tokens:
@@ -547,9 +598,7 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
     rows = cut(token_ids(docs, trie, own), "ids")
     nodes = trie.distinct
     for level in range(2, order + 1) if trie.tokens else ():
-        # what was seen once is only counted: one row -1 a task, merged below
-        counted = _count_level(rows, trie, level).select(F.when(F.col("n") >= LEAST, F.col("key")).otherwise(-1).alias("key"), "n")
-        grams = cut(counted.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+        grams = cut(_count_level(rows, trie, level, 1 + trie.tokens // PART_KEYS), "grams")
         kept = grams.where("key >= 0")
         seen = grams.agg(
             F.sum(F.when(F.col("key") < 0, F.col("n"))).alias("once"),
