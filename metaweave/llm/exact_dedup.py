@@ -19,12 +19,12 @@ ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaweave.llm.common import FEW_ROWS, LOCATOR, hot_join, known_by, with_locator
 from metaweave.plans.scratch import cut, release, remove, scratch_path
 
 #: Copies of one text that one task compares with the row that stays.
@@ -46,16 +46,6 @@ def sha256(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """Adds ``_dedup_file`` and ``_dedup_row``; a frame that isn't a plain file scan is written first."""
-    try:
-        return docs.withColumns({"_dedup_file": F.col("_metadata.file_path"), "_dedup_row": F.col("_metadata.row_index")})
-    except Exception as error:
-        if not re.search("UNRESOLVED|FIELD_NOT_FOUND", str(error)):
-            raise
-    return with_locator(cut(docs, "contents"))
-
-
 def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
     """What streams: one narrow row per document."""
     return docs.select("doc_id", "_dedup_file", "_dedup_row", digest(normalised()).alias("digest"))
@@ -75,31 +65,29 @@ def state_of(stream: DataFrame) -> DataFrame:
 def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, out: str) -> None:
     """Take in everything new below ``path``; ``out``/v=N holds the state after batch N.
 
-    Restarting with the same checkpoint resumes with the retained state.
+    Restarting with the same checkpoint resumes with the retained state. The settings of the
+    state store are those of a session of its own.
     """
-    before = {k: spark.conf.get(k, None) for k in _STATE}
+    own = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(k, spark.conf.get(k))
     for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(schema).parquet(path)
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/v={number}")
-
-        query = (
-            state_of(stream)
-            .writeStream.outputMode("complete")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .foreachBatch(keep)
-            .start()
-        )
-        query.awaitTermination()
-        if query.exception():
-            raise query.exception()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        own.conf.set(k, v)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v={number}")
+
+    query = (
+        state_of(own.readStream.schema(schema).parquet(path))
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(keep)
+        .start()
+    )
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
 
 
 @dataclass
@@ -123,8 +111,8 @@ def deduplicate(docs: DataFrame, digest=sha256) -> Deduplicated:
     else:  # nothing arrived
         state = spark.createDataFrame([], shape)
     remove(spark, checkpoint)
-    differ = _differing(located, state, digest)
-    rows = _rows(came, state)
+    rows = cut(_rows(came, state), "decided")
+    differ = _differing(located, rows)
     if differ is not None:
         own = located.select("doc_id", "_dedup_file", "_dedup_row", digest(normalised()).alias("digest"), normalised().alias("text"))
         again = cut(own.join(differ, "digest", "left_semi"), "differing")
@@ -142,10 +130,10 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 
 
 def _rows(came: DataFrame, state: DataFrame) -> DataFrame:
-    return came.join(state, "digest").select(
+    """Both are written tables."""
+    return hot_join(came, state, "digest").select(
         "doc_id",
-        "_dedup_file",
-        "_dedup_row",
+        *LOCATOR,
         "digest",
         F.col("stays.doc_id").alias("keep_id"),
         "n",
@@ -153,26 +141,26 @@ def _rows(came: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def _differing(located: DataFrame, state: DataFrame, digest) -> DataFrame | None:
-    """Digests under which not all bytes equal those of the row that stays, or None."""
-    hits = state.where("n > 1").select(
-        "digest", "stays", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")
-    )
-    found = located.select("_dedup_file", "_dedup_row", normalised().alias("bytes")).withColumn("digest", digest(F.col("bytes")))
-    found = cut(
-        found.join(hits, "digest").withColumn("stay", (F.col("stays._dedup_file") == F.col("_dedup_file")) & (F.col("stays._dedup_row") == F.col("_dedup_row"))).drop("stays"),
-        "hits",
-    )
-    kept = found.where("stay").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("own"))
-    others = found.where("not stay").select("digest", F.pmod(F.xxhash64("_dedup_file", "_dedup_row"), F.col("salts")).cast("int").alias("salt"), "bytes")
-    differ = cut(others.join(kept, ["digest", "salt"]).where("bytes <> own").select("digest").distinct(), "differ")
+def _differing(located: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Digests under which not all bytes equal those of the row that stays, or None.
+
+    The hits are known by their place before any text is read, so that texts without a copy
+    don't move.
+    """
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    hits = cut(rows.where("n > 1").select(*LOCATOR, "digest", "kept", salts.alias("salts")), "hits")
+    few = hits.count() <= FEW_ROWS
+    found = cut(located.select(*LOCATOR, normalised().alias("bytes")).join(F.broadcast(hits) if few else hits, LOCATOR), "hit_texts")
+    own = found.where("kept").select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("bytes").alias("own"))
+    others = found.where("not kept").select("digest", F.pmod(F.xxhash64(*LOCATOR), F.col("salts")).cast("int").alias("salt"), "bytes")
+    differ = cut(others.join(own, ["digest", "salt"]).where("bytes <> own").select("digest").distinct(), "differ")
     empty = differ.isEmpty()
-    release(found)
+    release(found, hits)
     return None if empty else differ
 
 
 def unique(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns unchanged."""
     found = deduplicate(docs)
-    gone = found.rows.where("not kept").select("_dedup_file", "_dedup_row")
-    return found.docs.join(gone, ["_dedup_file", "_dedup_row"], "left_anti").select(*docs.columns)
+    gone = cut(found.rows.where("not kept").select(*LOCATOR), "gone")
+    return known_by(found.docs, gone, LOCATOR, "left_anti").select(*docs.columns)
