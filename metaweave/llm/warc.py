@@ -14,8 +14,9 @@ record raises a ValueError that names the file and the offset.
 
 Defined cases: a null payload counts as empty; payloads below ``least`` bytes are always
 ``response``; a null page_id is written without one and never stands for others unless all
-of its group lack one; a null url is left out and line breaks in it are percent-encoded;
-repeated rows: the first by (page_id, row) is the response and the others revisit it; an
+of its group lack one (such copies are all responses); a null url is left out and line breaks
+in it are percent-encoded; repeated rows: the first by (page_id, place in the table) is the
+response and the others revisit it; an
 empty table gives no archive and an empty result; extra columns are ignored.
 """
 
@@ -33,12 +34,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import slices
+from metaweave.llm.common import LOCATOR, hot_join, known_by, slices, with_locator
 from metaweave.plans.scratch import cut, scratch_path
 
 LEAST = 100
 ROLL = 64 << 20
 READ = 1 << 16
+#: Tasks that read archives back, at most; each archive is read by one.
+READERS = 1 << 14
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: All records carry this time unless the pages say otherwise.
@@ -194,23 +197,20 @@ def read_records(stream: BinaryIO, with_payload: bool = False) -> Iterator[Recor
 
 
 def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``page_id, url, html, digest, bytes, first``: ``first`` is set for revisits."""
+    """``page_id, url, html, digest, first``: ``first`` is set for revisits.
+
+    Digests are grouped without the payloads, which stay where they are unless there are more
+    revisits than a task can hold a list of.
+    """
+    located = with_locator(pages)
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.select(
-        "page_id", "url", "html", F.sha2(raw, 256).alias("digest"), F.octet_length(raw).cast("bigint").alias("bytes"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = (
-        narrow.where(F.col("bytes") >= least)
-        .groupBy("digest")
-        .agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("digest", F.col("stays.page_id").alias("first"), F.col("stays.row").alias("first_row"))
-    )
-    return narrow.join(firsts, "digest", "left").select(
-        "page_id", "url", "html", "digest", "bytes", F.when(F.col("row") != F.col("first_row"), F.col("first")).alias("first")
-    )
+    narrow = cut(located.where(F.octet_length(raw) >= least).select(*LOCATOR, "page_id", F.sha2(raw, 256).alias("digest")), "digests")
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", *LOCATOR)
+    firsts = narrow.groupBy("digest").agg(F.min(rank).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = hot_join(narrow.select(*LOCATOR, "digest"), cut(firsts, "firsts"), "digest")
+    again = again.where(" OR ".join(f"stays.{c} <> {c}" for c in LOCATOR)).select(*LOCATOR, F.col("stays.page_id").alias("first"))
+    decided = known_by(located.select(*LOCATOR, "page_id", "url", "html"), cut(again, "revisits"), LOCATOR, "left")
+    return decided.select("page_id", "url", "html", F.sha2(raw, 256).alias("digest"), "first")
 
 
 def _local(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -260,7 +260,7 @@ READ_SCHEMA = (
 
 
 def read_archives(manifest: DataFrame, out_dir: str, with_payload: bool = False) -> DataFrame:
-    """One row per record of the archives that the manifest names, each task a few of them."""
+    """One row per record of the archives that the manifest (a written table) names, a task each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _local(out_dir)
@@ -302,7 +302,8 @@ def read_archives(manifest: DataFrame, out_dir: str, with_payload: bool = False)
         ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ]
     shape = pa.schema(fields + ([("payload", pa.binary())] if with_payload else []))
-    files = manifest.select("path", "records").repartition("path")
+    archives = max(1, min(manifest.count(), READERS))
+    files = manifest.select("path", "records").repartitionByRange(archives, "path")
     return files.mapInArrow(run, READ_SCHEMA + (", payload binary" if with_payload else ""))
 
 
