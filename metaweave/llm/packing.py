@@ -27,6 +27,7 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import raw_texts, slices
+from metaweave.llm.common import kept, raw_texts, slices
 from metaweave.plans.scratch import cut
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 3 << 18
+WORDS_KEPT = 1 << 19
 #: Words that are encoded as one text.
 TOGETHER = 256
 
 #: Letters and then ASCII marks: the tokenizer never joins the two.
 _AFFIX = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+#: The tokenizer's pieces of a word of ASCII in lower case.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _plain(word: str) -> bool:
@@ -59,66 +62,127 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbers(dict):
+    """Words by number; a word that is asked for the first time gets the next and is noted."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` one after the other."""
+    return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
 class WordEncoder:
     """Ids of a text by the tokenizer, which splits at white space, one distinct word at a time.
 
-    Ids are held as little-endian unsigned 32-bit bytes.
+    A text that spells a special token is encoded whole; a spelling that is one only in lower
+    case isn't special.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.ends = np.array([x is not None and x.endswith("</w>") for x in names])
-        self.known: dict[bytes, bytes] = {}
-
-    def _alone(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word. Plain words are one piece each, so they are encoded many to a text
-        and told apart by the marks of word ends, which halves the cost of a word."""
-        plain = [w for w in words if _plain(w)]
-        chunks = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        found: dict[str, bytes] = {}
-        for chunk, ids in zip(chunks, self._alone([" ".join(c) for c in chunks])):
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) == len(chunk):
-                raw = ids.tobytes()
-                found.update((w, raw[a:b]) for w, a, b in zip(chunk, [0, *cuts], cuts))
-        rest = [w for w in words if w not in found]
-        found.update((w, x.tobytes()) for w, x in zip(rest, self._alone(rest)))
-        return found
-
-    def _learn(self, words: list[bytes]) -> None:
-        known = self.known
-        parts = {w: m.groups() for w in words if (m := _AFFIX.fullmatch(w)) and _plain(m[1].decode())}
-        fresh = {w for w in words if w not in parts} | {p for pair in parts.values() for p in pair}
-        fresh = [w for w in fresh if w not in known]
-        known.update((w.encode(), c) for w, c in self._encode([w.decode() for w in fresh]).items())
-        known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.starts = self.sizes = np.empty(0, np.int64)
+        self.flat, self.used = np.empty(1 << 16, "<u4"), 0
+
+    def _put(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        end = self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(end, 2 * len(self.flat)) - self.used, "<u4")))
+        self.flat[self.used : end] = ids
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = end
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([w.decode() for w in texts], add_special_tokens=False)]
+
+    def _put_alone(self, words: list[bytes]) -> None:
+        if words:
+            coded = self._encode(words)
+            self._put([self.numbers[w] for w in words], np.concatenate(coded), np.array([len(x) for x in coded], np.int64))
+
+    def _put_together(self, words: list[bytes]) -> None:
+        """Plain words are one piece each, so they are encoded many to a text and told apart by
+        the marks of word ends, which halves the cost of a word."""
+        chunks = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for chunk, ids in zip(chunks, self._encode([b" ".join(c) for c in chunks])):
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(chunk):
+                self._put([self.numbers[w] for w in chunk], ids, np.diff(ends, prepend=-1))
+            else:
+                self._put_alone(chunk)
+
+    def _learn(self) -> None:
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        easy, hard, made, counts, parts = [], [], [], [], []
+        for w in fresh:
+            if w.isalpha() or w[0] >= 0x80 and _plain(w.decode()):
+                easy.append(w)
+                continue
+            if w.isascii():
+                pieces = _PIECES.findall(w)
+            elif (m := _AFFIX.fullmatch(w)) and _plain(m[1].decode()):
+                pieces = m.groups()
+            else:
+                pieces = ()
+            if len(pieces) > 1:
+                made.append(w)
+                counts.append(len(pieces))
+                parts += pieces
+            else:
+                hard.append(w)
+        known = self.numbers
+        parts = [known[w] for w in parts]  # pieces may be new themselves
+        for w in known.fresh:
+            (easy if w.isalpha() or w[0] >= 0x80 else hard).append(w)
+        known.fresh = []
+        grow = np.zeros(len(known) - len(self.sizes), np.int64)
+        self.starts, self.sizes = np.concatenate((self.starts, grow)), np.concatenate((self.sizes, grow))
+        self._put_together(easy)
+        self._put_alone(hard)
+        if parts:
+            parts = np.array(parts, np.int64)
+            sizes = self.sizes[parts]
+            whole = np.add.reduceat(sizes, np.cumsum([0, *counts[:-1]]))
+            self._put([known[w] for w in made], _gather(self.flat, self.starts[parts], sizes), whole)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        if len(self.numbers) > WORDS_KEPT:
+            self._clear()
         split = [raw.lower().split() for raw in texts]
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        missing = [w for w in set().union(*split) if w not in known]
-        if missing:
-            self._learn(missing)
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        counts = [len(x) for x in split]
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        del split
+        if self.numbers.fresh:
+            self._learn()
+        sizes = self.sizes[at]
+        ids = _gather(self.flat, self.starts[at], sizes).tobytes()
+        ends = np.concatenate(([0], 4 * np.cumsum(sizes)))[np.cumsum([0, *counts])].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        for i, raw in enumerate(texts):
+            if self.special.search(raw):
+                out[i] = np.array(self.whole.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -128,7 +192,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = kept(f"encoder {path}", lambda: WordEncoder(path))
         for batch in slices(batches, most=4 << 20):
             rows: list[tuple] = []
             ids: list[bytes] = []
