@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import raw_texts, slices
+from metaweave.llm.common import kept, raw_texts, slices
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 32 << 20
@@ -106,9 +106,6 @@ def scan_text(automaton: ahocorasick.Automaton, raw: bytes) -> Scanned:
     return Scanned(len(words), int(hit.sum()), sorted(items), spans)
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
 def _automaton_of(spark: SparkSession, benchmark: DataFrame, window: int, max_benchmark_bytes: int) -> Callable[[], ahocorasick.Automaton]:
     """What gives the automaton in a task; it is built once a worker from broadcast patterns."""
     held = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -118,13 +115,7 @@ def _automaton_of(spark: SparkSession, benchmark: DataFrame, window: int, max_be
     found = spark.sparkContext.broadcast(patterns([(r["i"], (r["text"] or "").encode()) for r in rows], window))
     name = uuid.uuid4().hex
 
-    def get() -> ahocorasick.Automaton:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = build(found.value)
-        return _BUILT[name]
-
-    return get
+    return lambda: kept(name, lambda: build(found.value))
 
 
 def scan(
