@@ -1,24 +1,31 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
-Entities: e-mail addresses, phone numbers, card numbers, IPv4 addresses and names (after a
-title, or a known given name before a capitalised word).  A surrogate depends on the key,
-the entity and an attempt number only, so the same entity gets the same surrogate wherever
-it occurs (coreference), in the same format: separators and digit counts stay, a valid card
-number stays valid, a private address stays private, a title or given name keeps its
-gender, letters keep their script and case.
-
-Numbers and addresses are mapped by a keyed permutation of all values of their format, so
-distinct entities of one format cannot meet.  What remains possible (two names drawing the
-same surrogate, or a surrogate that is itself an entity of the corpus) is checked over the
-table of all distinct entities: of those that meet the smallest keeps its surrogate, the
-others and those that hit a real entity try again, until nothing meets.  The entities with
-a later attempt than the first are the only thing broadcast; there are few by design and
-more than ``max_exceptions`` raise a ValueError that asks for wider formats.
+Entities: e-mail addresses in any script, phone numbers, card numbers, IBANs, US social
+security numbers, IPv4 and IPv6 addresses, and names (after a title, or a known given name
+before a capitalised word). Names that follow neither aren't found.
+
+A surrogate depends on the key, the entity and an attempt number only, so an entity gets the
+same surrogate wherever it occurs, in the same format: separators and digit counts stay, a
+valid card number or IBAN stays valid, a private address stays private, letters keep their
+script and case. Spellings of one number with other separators are one entity. A name is made
+of its parts: a known given name becomes another of its gender and script, by a keyed
+permutation of the list; every other part becomes an invented word of its script. So "Dr.
+Smith" and "John Smith" keep one family name, and mails at one host keep one host.
+
+Numbers and addresses are mapped by a keyed permutation of all values of their format. What
+can still meet (two words or mails drawing the same, or a surrogate that is itself an entity
+of the corpus) is checked over the table of all distinct entities: of those that meet, the
+one with the fewest attempts and then the smallest keeps its surrogate, the others and those
+that hit a real entity try again. From the third attempt on the format grows by a letter or
+digit an attempt, so a format that is full ends too; after ``ROUNDS`` an entity gets a word
+from 128 bits of the key's hash. Entities with a later attempt reach their texts by a join on
+the place of the row; nothing is collected on the driver.
 
 Defined cases: null text stays null; empty text stays empty; entities repeat freely within
 and across rows; repeated rows give repeated rows; offsets count characters of the original
-text; overlapping candidates go to the first that starts, then to the order e-mail, card,
-address, phone, name; extra columns are ignored; an empty table gives an empty result.
+text; overlapping candidates go to the first that starts, then to the order e-mail, IBAN,
+card, IPv6, IPv4, SSN, phone, name; extra columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import slices
+from metaweave.llm.common import FEW_ROWS, LOCATOR, slices, with_locator
 from metaweave.plans.scratch import cut, release
 
-MAX_EXCEPTIONS = 1_000_000
+#: Attempts after which a surrogate no longer follows the format.
+ROUNDS = 16
 
 # Given names by gender and script, and titles by gender.
 GIVEN = {
@@ -59,12 +67,31 @@ SYLLABLES = {
     "greek": "βα βε βο δα δε γα γο κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε το".split(),
 }
 
+# Small letters that invented words and mails of other scripts are drawn from.
+LETTERS = {
+    "latin": "abcdefghijklmnopqrstuvwxyz",
+    "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "devanagari": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    "thai": "กขคงจฉชซดตถทธนบปผพฟมยรลวสหอ",
+    "hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "hangul": "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허고노도로모보소오조초코토포호",
+    "cjk": "一丁七三上下不世中丹主久之九也了二五井人今介仁代以仲任伊休会伯位住佐何作佳依信修倉",
+}
+
 _GENDER = {name.casefold(): key for key, names in GIVEN.items() for name in names}
 _TITLE_GENDER = {t: g for g, names in TITLES.items() for t in names}
 
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?P<gap>[ ]?)[A-Z0-9]{4}(?:(?P=gap)[A-Z0-9]{4}){1,6}(?:(?P=gap)[A-Z0-9]{1,3})?(?!\w)")
 _NUMBERS = re.compile(
     r"(?P<card>(?<![\d.+-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\d.]*\d))"
-    r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[a-fA-F:]*\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\w:]))"
+    rf"|(?P<ip>(?<![\d.]){_BYTE}(?:\.{_BYTE}){{3}}(?!\.?\d))"
+    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))"
 )
 _EMAIL = re.compile(r"[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}")
@@ -72,18 +99,18 @@ _PROPER = r"[^\W\d_a-zß-öø-ÿа-яα-ωά-ώ][^\W\d_]+(?:-[^\W\d_]+)?"
 _TITLE = "|".join(sorted(_TITLE_GENDER, key=len, reverse=True))
 _TITLED = re.compile(rf"\b(?P<title>{_TITLE})\.?[ ](?:(?:{_TITLE})\.?[ ])*(?P<name>{_PROPER}(?:[ ]{_PROPER})?)")
 _GIVEN = re.compile(rf"\b(?P<name>(?:{'|'.join(n for names in GIVEN.values() for n in names)})[ ]{_PROPER})\b")
-_ORDER = {"email": 0, "card": 1, "ip": 2, "phone": 3, "name": 4}
+_ORDER = {kind: i for i, kind in enumerate("email iban card ipv6 ip ssn phone name".split())}
 
 
-def find(text: str) -> list[tuple[int, int, str, str, str]]:
-    """``(start, end, type, entity, gender)`` of what is replaced, in order, not overlapping."""
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """``(start, end, type, mention)`` of what is replaced, in order, not overlapping."""
     found = []
     if "@" in text:
-        found += [(*m.span(), "email", m[0], "") for m in _EMAIL.finditer(text)]
+        found += [(*m.span(), "email", m[0]) for m in _EMAIL.finditer(text)]
     if any(c in text for c in "0123456789"):
-        found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "card", m[0], "") for m in _NUMBERS.finditer(text)]
-    found += [(*m.span("name"), "name", m["name"], _TITLE_GENDER[m["title"]]) for m in _TITLED.finditer(text)]
-    found += [(*m.span("name"), "name", m["name"], "") for m in _GIVEN.finditer(text)]
+        found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "card", m[0]) for m in _NUMBERS.finditer(text)]
+        found += [(*m.span(), "iban", m[0]) for m in _IBAN.finditer(text) if m["gap"] or _iban_valid(m[0])]
+    found += [(*m.span("name"), "name", m["name"]) for p in (_TITLED, _GIVEN) for m in p.finditer(text)]
     found.sort(key=lambda x: (x[0], _ORDER[x[2]], -x[1]))
     out, free = [], 0
     for x in found:
@@ -93,13 +120,16 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
-def identity(kind: str, entity: str) -> str:
-    """What two mentions of the same entity have in common."""
-    if kind == "email":
-        return entity.lower()
+def identities(kind: str, mention: str) -> list[tuple[str, str]]:
+    """``(type, id)`` of the entities that a mention is made of; the same for every spelling."""
     if kind == "name":
-        return " ".join(entity.casefold().split())
-    return entity
+        words = mention.casefold().split()
+        return [("word", w) for i, w in enumerate(words) if i or len(words) == 1 or w not in _GENDER]
+    if kind in ("email", "ipv6"):
+        return [(kind, mention.casefold())]
+    if kind == "ip":
+        return [(kind, mention)]
+    return [(kind, re.sub(r"[^\w+]", "", mention))]
 
 
 def _prf(key: bytes, *parts) -> int:
@@ -125,31 +155,45 @@ def _luhn(digits: str) -> bool:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
-def _fill(shape: str, digits: str) -> str:
-    it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+def _iban_valid(iban: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def _digits(entity: str) -> str:
-    return "".join(c for c in entity if c.isdigit())
+def _grown(attempt: int) -> int:
+    """By how many letters or digits the format grows."""
+    return max(0, attempt - 1)
 
 
-def _card(entity: str, key: bytes, tweak: str) -> str:
-    digits = _digits(entity)
-    n, valid = len(digits), _luhn(digits)
-    x = int(digits)
-    while True:  # a walk within the numbers that are valid, or within those that aren't
-        x = permute(x, 10**n, key, f"card{n}{tweak}")
-        if _luhn(out := f"{x:0{n}d}") == valid:
-            return _fill(entity, out)
+def _script(c: str) -> str:
+    name = unicodedata.name(c, "latin").split()[0].split("-")[0].lower()
+    return name if name in LETTERS else "latin"
+
+
+def _draw(like: str, key: bytes, *parts) -> str:
+    """A string with the letters of each script, digits and marks in the places of ``like``."""
+    out, seed = [], _prf(key, *parts)
+    for c in like:
+        pool = LETTERS[_script(c)] if c.isalpha() else "0123456789" if c.isdigit() else c
+        seed, i = divmod(seed, len(pool))
+        out.append(pool[i])
+        seed = seed or _prf(key, "more", *parts, len(out))
+    return "".join(out)
 
 
-def _phone(entity: str, key: bytes, tweak: str) -> str:
-    code = re.match(r"\+\d{1,3}(?=\D)", entity)
-    head = code[0] if code else ""
-    digits = _digits(entity[len(head) :])
-    x = permute(int(digits), 10 ** len(digits), key, f"phone{len(digits)}{head}{tweak}")
-    return head + _fill(entity[len(head) :], f"{x:0{len(digits)}d}")
+def _digits_of(digits: str, key: bytes, tweak: str, attempt: int) -> str:
+    more = _grown(attempt)
+    n = len(digits) + more
+    return f"{permute(int(digits) * 10**more, 10**n, key, f'{tweak}{n}#{attempt}'):0{n}d}"
+
+
+def _card(digits: str, key: bytes, attempt: int) -> str:
+    valid, out = _luhn(digits), digits
+    more = _grown(attempt)
+    out, n = digits + "0" * more, len(digits) + more
+    while True:  # a walk within the numbers that are valid, or within those that aren't
+        out = f"{permute(int(out), 10**n, key, f'card{n}#{attempt}'):0{n}d}"
+        if _luhn(out) == valid:
+            return out
 
 
 def _ip_kind(x: int) -> int:
@@ -158,171 +202,178 @@ def _ip_kind(x: int) -> int:
     return 2 if x >> 24 in (0, 127) or x >> 28 >= 0xE else 0
 
 
-def _ip(entity: str, key: bytes, tweak: str) -> str:
+def _ip(entity: str, key: bytes, attempt: int) -> str:
     x = int.from_bytes(bytes(map(int, entity.split("."))))
     kind = _ip_kind(x)
     while True:
-        x = permute(x, 1 << 32, key, "ip" + tweak)
-        if _ip_kind(x) == kind:
+        x = permute(x, 1 << 32, key, f"ip#{attempt}")
+        if _ip_kind(x) == kind or attempt > 2:  # a kind may be full
             return ".".join(map(str, x.to_bytes(4)))
 
 
-def _letters(part: str, key: bytes, tweak: str) -> str:
-    """A permutation of the strings with the same digits, small letters and marks in place."""
-    sizes = [10 if c.isdigit() and c.isascii() else 26 if c.isascii() and c.isalpha() else 0 for c in part]
-    size, x = 1, 0
-    for c, s in zip(part, sizes):
-        if s:
-            x = x * s + (int(c) if s == 10 else ord(c) - 97)
-            size *= s
-    x = permute(x, size, key, "letters" + "".join("9" if s == 10 else "a" if s else c for c, s in zip(part, sizes)) + tweak)
+def _ipv6(entity: str, key: bytes, attempt: int) -> str:
+    """Other hexadecimal digits in the same places; the leading group of special ranges stays."""
+    first, _, rest = entity.partition(":")
+    keep = first if first[:2] in ("fe", "fc", "fd", "ff") else ""
+    x = _prf(key, "ipv6", entity, attempt)
     out = []
-    for c, s in zip(reversed(part), reversed(sizes)):
-        if s:
-            x, v = divmod(x, s)
-            c = str(v) if s == 10 else chr(97 + v)
-        out.append(c)
-    return "".join(reversed(out))
+    for c in entity[len(keep) :]:
+        if c == ":":
+            out.append(c)
+        else:
+            x, i = divmod(x, 15)
+            out.append("123456789abcdef"[i])
+    return keep + "".join(out)
+
+
+def _iban(entity: str, key: bytes, attempt: int) -> str:
+    like = entity[4:] + "0" * min(_grown(attempt), 34 - len(entity))
+    body = _draw(like.replace("A", "a"), key, "iban", entity, attempt).upper()
+    check = 98 - int("".join(str(int(c, 36)) for c in body + entity[:2] + "00")) % 97
+    if not _iban_valid(entity):
+        check = (check + 1) % 97
+    return f"{entity[:2]}{check:02d}{body}"
+
+
+def _email(entity: str, key: bytes, attempt: int) -> str:
+    local, _, host = entity.rpartition("@")
+    name, _, top = host.rpartition(".")
+    more = LETTERS[_script(next((c for c in local if c.isalpha()), "a"))][0] * _grown(attempt)
+    return f"{_draw(local + more, key, 'mail', entity, attempt)}@{_draw(name, key, 'host', host, max(0, attempt - 4))}.{top}"
+
+
+def _word(entity: str, key: bytes, attempt: int) -> str:
+    """An invented word of the script, of four syllables or six letters, and more when it grows."""
+    script = _script(entity[0])
+    parts = SYLLABLES.get(script) or list(LETTERS[script])
+    x, out = _prf(key, "word", entity, attempt), ""
+    for _ in range((4 if script in SYLLABLES else 6) + _grown(attempt)):
+        x, i = divmod(x, len(parts))
+        out += parts[i]
+    return out
 
 
-def _email(entity: str, key: bytes, tweak: str) -> str:
-    local, _, domain = entity.lower().rpartition("@")
-    name, _, top = domain.rpartition(".")
-    whole = _letters(f"{local}@{name}", key, "@" + tweak)
-    out = f"{whole}.{top}"
-    return "".join(o.upper() if e.isupper() else o for o, e in zip(out, entity))
+def surrogate(kind: str, ident: str, key: bytes, attempt: int = 0) -> str:
+    """What stands for an entity, in the form of its id."""
+    if attempt >= ROUNDS:
+        last = "".join(SYLLABLES["latin"][i % 42] for i in _prf(key, kind, ident, attempt).to_bytes(16))
+        return last if kind == "word" else f"{last}@{last}.invalid" if kind == "email" else str(_prf(key, kind, ident, attempt))
+    if kind in ("phone", "ssn"):
+        code = ident[:2] if ident[0] == "+" else ""  # the zone of the country stays
+        return code + _digits_of(ident[len(code) :], key, kind + code, attempt)
+    return {"email": _email, "word": _word, "card": _card, "ip": _ip, "ipv6": _ipv6, "iban": _iban}[kind](ident, key, attempt)
 
 
-def _script(word: str) -> str:
-    name = unicodedata.name(word[0], "")
-    return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
+@lru_cache(maxsize=64)
+def _other_given(gender: str, script: str, key: bytes) -> dict[str, str]:
+    """A keyed ring of the given names of a gender and script: nobody keeps their name."""
+    names = sorted(GIVEN[gender, script], key=lambda n: _prf(key, "given", n))
+    return {n.casefold(): m for n, m in zip(names, names[1:] + names[:1])}
 
 
-def _like(word: str, shape: str) -> str:
-    return word.upper() if shape.isupper() and len(shape) > 1 else word
+def _shaped(out: str, mention: str) -> str:
+    """``out`` with the separators of the mention; digits beyond its length follow."""
+    it = iter(out)
+    text = "".join(next(it, "") if c.isalnum() or c == "+" else c for c in mention)
+    return text + "".join(it)
 
 
-def _name(entity: str, gender: str, key: bytes, tweak: str) -> str:
-    words = entity.split()
-    known = _GENDER.get(words[0].casefold())
-    script = known[1] if known else _script(words[0])
-    gender = known[0] if known else gender
-    seed = _prf(key, "name", identity("name", entity), tweak)
-    out = []
-    given = len(words) > 1
-    if given:
-        pool = GIVEN[(gender or "fm"[seed & 1], script)]
-        pool = [n for n in pool if n.casefold() != words[0].casefold()]
-        out.append(pool[(seed >> 1) % len(pool)])
-    parts = SYLLABLES[script]
-    x = seed >> 24
-    family = ""
-    for _ in range(4):
-        x, i = divmod(x, len(parts))
-        family += parts[i]
-    out.append(family.capitalize())
-    return " ".join(_like(o, w) for o, w in zip(out, words))
+def _cased(out: str, like: str) -> str:
+    if like.isupper() and len(like) > 1:
+        return out.upper()
+    return out.capitalize() if like[:1].isupper() else out
 
 
-def surrogate(kind: str, entity: str, gender: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one mention; mentions of one entity differ in case at most."""
-    tweak = f"#{attempt}"
-    if kind == "email":
-        return _email(entity, key, tweak)
+def replacement(kind: str, mention: str, key: bytes, attempts: dict[tuple[str, str], int]) -> str:
+    """The text that stands for a mention; ``attempts`` has entities with a later attempt than 0."""
+    draw = lambda k, i: surrogate(k, i, key, attempts.get((k, i), 0))
     if kind == "name":
-        return _name(entity, gender, key, tweak)
-    return {"card": _card, "phone": _phone, "ip": _ip}[kind](entity, key, tweak)
+        words = mention.split()
+        out = []
+        for i, w in enumerate(words):
+            known = _GENDER.get(w.casefold()) if not i and len(words) > 1 else None
+            out.append(_cased(_other_given(*known, key)[w.casefold()] if known else draw("word", w.casefold()), w))
+        return " ".join(out)
+    (k, ident), = identities(kind, mention)
+    out = draw(k, ident)
+    if kind == "email":
+        return "".join(o.upper() if e.isupper() else o for o, e in zip(out, mention)) + out[len(mention) :]
+    if kind in ("ip", "ipv6"):
+        return out.upper() if mention.upper() == mention and kind == "ipv6" else out
+    return _shaped(out, mention)
 
 
-_ENTITIES = "kind string, id string, gender string"
+_MENTIONS = "_dedup_file string, _dedup_row bigint, kind string, id string"
 
 
-def _distinct_entities(docs: DataFrame) -> DataFrame:
+def mentions(docs: DataFrame) -> DataFrame:
+    """``LOCATOR, kind, id``: the distinct entities of each row of ``docs`` (with ``LOCATOR``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            seen = {(k, identity(k, e), g) for t in batch.column("text").to_pylist() if t for _, _, k, e, g in find(t)}
+            places = zip(*(batch.column(c).to_pylist() for c in [*LOCATOR, "text"]))
+            seen = [(f, r, *x) for f, r, t in places if t for x in {x for _, _, k, m in find(t) for x in identities(k, m)}]
             if seen:
-                kind, ids, gender = zip(*seen)
-                yield pa.RecordBatch.from_pydict({"kind": list(kind), "id": list(ids), "gender": list(gender)})
-
-    # one gender per entity: the largest mark seen, so a titled mention settles an untitled one
-    return (
-        docs.select("text")
-        .mapInArrow(run, _ENTITIES)
-        .groupBy("kind", "id")
-        .agg(F.max("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed"))
-    )
-
+                yield pa.RecordBatch.from_pydict(dict(zip([*LOCATOR, "kind", "id"], map(list, zip(*seen)))))
 
-def _title_case(kind: str, ident: str) -> str:
-    return ident.title() if kind == "name" else ident
+    return docs.select(*LOCATOR, "text").mapInArrow(run, _MENTIONS)
 
 
 def resolve(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, id, gender, attempt, surrogate`` with all surrogates distinct and none real."""
-    shape = "kind string, id string, gender string, attempt int, surrogate string, as_id string"
+    """``kind, id, attempt, surrogate`` with all surrogates distinct and, but where a format is
+    full, none real."""
+    shape = "kind string, id string, attempt int, surrogate string"
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                r["surrogate"] = surrogate(r["kind"], _title_case(r["kind"], r["id"]), r["gender"], key, r["attempt"])
-                r["as_id"] = identity(r["kind"], r["surrogate"])
-            yield pa.RecordBatch.from_pylist(
-                rows, schema=pa.schema([("kind", pa.string()), ("id", pa.string()), ("gender", pa.string()), ("attempt", pa.int32()), ("surrogate", pa.string()), ("as_id", pa.string())])
-            )
-
-    real = entities.select("kind", F.col("id").alias("as_id"), F.lit(True).alias("real"))
-    cur = cut(entities.select("kind", "id", "gender", F.lit(0).alias("attempt")).mapInArrow(draw, shape), "surrogates")
-    while True:
-        first = cur.groupBy("kind", "as_id").agg(F.min(F.struct("attempt", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
+            kind, ident, attempt = (batch.column(c).to_pylist() for c in ("kind", "id", "attempt"))
+            made = [surrogate(k, i, key, a) for k, i, a in zip(kind, ident, attempt)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "id", "attempt")), pa.array(made, pa.string())], names=["kind", "id", "attempt", "surrogate"])
+
+    real = entities.select("kind", F.col("id").alias("surrogate"), F.lit(True).alias("real"))
+    cur = cut(entities.select("kind", "id", F.lit(0).alias("attempt")).mapInArrow(draw, shape), "surrogates")
+    for _ in range(ROUNDS):
+        first = cur.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "id")).alias("first"), F.count(F.lit(1)).alias("n"))
         marked = cut(
-            cur.join(first.where("n > 1").select("kind", "as_id", "first"), ["kind", "as_id"], "left")
-            .join(real, ["kind", "as_id"], "left")
+            cur.join(first.where("n > 1").select("kind", "surrogate", "first"), ["kind", "surrogate"], "left")
+            .join(real, ["kind", "surrogate"], "left")
             .withColumn("again", F.col("real").isNotNull() | (F.col("first").isNotNull() & (F.col("first.id") != F.col("id")))),
             "met",
         )
         release(cur)
         if marked.where("again").isEmpty():
-            return marked.select("kind", "id", "gender", "attempt", "surrogate")
-        redo = marked.where("again").select("kind", "id", "gender", (F.col("attempt") + 1).alias("attempt"))
-        cur = cut(
-            marked.where("not again").select("kind", "id", "gender", "attempt", "surrogate", "as_id").unionByName(redo.mapInArrow(draw, shape)),
-            "surrogates",
-        )
+            return marked.select("kind", "id", "attempt", "surrogate")
+        redo = marked.where("again").select("kind", "id", (F.col("attempt") + 1).alias("attempt"))
+        cur = cut(marked.where("not again").select("kind", "id", "attempt", "surrogate").unionByName(redo.mapInArrow(draw, shape)), "surrogates")
         release(marked)
+    return cur
 
 
 OUT = "doc_id bigint, text string, entities array<struct<start:int,end:int,kind:string,surrogate:string>>"
 
 
-def replace(docs: DataFrame, key: bytes, max_exceptions: int = MAX_EXCEPTIONS) -> DataFrame:
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, entities``: the rewritten text and what was replaced where."""
-    entities = cut(_distinct_entities(docs), "entities")
-    resolved = cut(resolve(entities, key), "resolved")
-    # also names whose mentions disagree on gender: a mention can't tell by itself
-    mixed = entities.where("mixed").select("kind", "id", "mixed")
-    odd = resolved.join(mixed, ["kind", "id"], "left").where("attempt > 0 OR mixed")
-    n = odd.count()
-    if n > max_exceptions:
-        raise ValueError(f"{n} entities need a later attempt; at most {max_exceptions} are broadcast")
-    rows = odd.select("kind", "id", "gender", "attempt").collect()
-    shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["id"]): (r["gender"], r["attempt"]) for r in rows})
+    located = with_locator(docs)
+    held = cut(mentions(located), "mentions")
+    later = cut(resolve(cut(held.select("kind", "id").distinct(), "entities"), key).where("attempt > 0").select("kind", "id", "attempt"), "later")
+    few = later.count() <= FEW_ROWS
+    own = held.join(F.broadcast(later) if few else later, ["kind", "id"]).groupBy(*LOCATOR).agg(F.collect_list(F.struct("kind", "id", "attempt")).alias("later"))
+    own = cut(own, "later")  # one row a document, as long as what it holds
+    rows = located.select(*LOCATOR, "doc_id", "text").join(F.broadcast(own) if own.count() <= FEW_ROWS else own, LOCATOR, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settled = shared.value
-
-        @lru_cache(maxsize=1 << 16)
-        def one(kind: str, entity: str, gender: str) -> str:
-            gender, attempt = settled.get((kind, identity(kind, entity)), (gender, 0))
-            return surrogate(kind, entity, gender, key, attempt)
+        @lru_cache(maxsize=1 << 14)
+        def plain(kind: str, mention: str) -> str:
+            return replacement(kind, mention, key, {})
 
         for batch in slices(batches):
             texts, marks = [], []
-            for text in batch.column("text").to_pylist():
+            for text, later in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist()):
+                attempts = {(x["kind"], x["id"]): x["attempt"] for x in later or ()}
                 out, at, own = [], 0, []
-                for a, b, kind, entity, gender in find(text) if text else ():
-                    put = one(kind, entity, gender)
+                for a, b, kind, mention in find(text) if text else ():
+                    put = replacement(kind, mention, key, attempts) if attempts else plain(kind, mention)
                     out += [text[at:a], put]
                     own.append({"start": a, "end": b, "kind": kind, "surrogate": put})
                     at = b
@@ -333,4 +384,4 @@ def replace(docs: DataFrame, key: bytes, max_exceptions: int = MAX_EXCEPTIONS) -
                 [batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string()), pa.array(marks, pa.list_(mark))], names=["doc_id", "text", "entities"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return rows.select("doc_id", "text", "later").mapInArrow(run, OUT)

@@ -92,32 +92,86 @@ def test_sweeps_are_best_fit_decreasing(lengths):
 # ---------------------------------------------------------------- 2 surrogates
 
 
+def replaced(spark, texts, key=b"k"):
+    return {r.doc_id: r for r in pii.replace(make(spark, texts, extra=True), key).collect()}
+
+
 def test_surrogates(spark):
     texts = [
         "Mr. John Smith (john.smith@mail.example.com, +1 (017) 555-7713) wrote to Ms Curie from 97.51.17.173.",
         "JOHN.SMITH@MAIL.EXAMPLE.COM and john.smith@mail.example.com; card 4111 1111 1111 1111, card 9807915762804490; 10.1.2.3",
         "Госпожа Елена Петрова; Herr Müller", None, "", "version 4.0 of 2024-01-02, 3.14",
+        "Dr. Smith, +10175557713, 4111-1111-1111-1111, 123-45-6789, DE89 3704 0044 0532 0130 00, fe80::1ff:2e3:a4b5, std::vector, other@mail.example.com",
     ]
-    got = {r.doc_id: r for r in pii.replace(make(spark, texts, extra=True), b"k").collect()}
+    got = replaced(spark, texts)
     assert got[3].text is None and got[4].text == "" and got[5].text == texts[5] and not got[5].entities
+    kinds = {k for t in texts for _, _, k, _ in pii.find(t or "")}
+    assert kinds == {"email", "card", "iban", "ipv6", "ip", "ssn", "phone", "name"} and "std::vector" in got[6].text
     for i, t in enumerate(texts):
-        for _, _, kind, entity, _ in pii.find(t or ""):
-            assert entity not in got[i].text, (kind, entity)
+        for _, _, kind, mention in pii.find(t or ""):
+            assert mention not in got[i].text, (kind, mention)
     mails = [e.surrogate for i in (0, 1) for e in got[i].entities if e.kind == "email"]
     assert len(mails) == 3 and len({m.lower() for m in mails}) == 1 and mails[1].isupper()
-    cards = [e.surrogate for e in got[1].entities if e.kind == "card"]
-    assert [pii._luhn(pii._digits(c)) for c in cards] == [True, pii._luhn("9807915762804490")] and cards[0].count(" ") == 3
-    names = {texts[e_i][e.start : e.end]: e.surrogate for e_i in (0, 2) for e in got[e_i].entities if e.kind == "name"}
+    of = lambda i, kind: [e.surrogate for e in got[i].entities if e.kind == kind]
+    assert of(6, "email")[0].partition("@")[2] == mails[0].lower().partition("@")[2]  # one host
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert [pii._luhn(digits(c)) for c in of(1, "card")] == [True, pii._luhn("9807915762804490")] and of(1, "card")[0].count(" ") == 3
+    assert digits(of(6, "card")[0]) == digits(of(1, "card")[0]) and of(6, "card")[0].count("-") == 3
+    assert digits(of(6, "phone")[0]) == digits(of(0, "phone")[0]) and of(0, "phone")[0].startswith("+1 (")
+    names = {texts[i][e.start : e.end]: e.surrogate for i in got for e in got[i].entities if e.kind == "name"}
     assert names["John Smith"].split()[0] in pii.GIVEN["m", "latin"] and names["Елена Петрова"].split()[0] in pii.GIVEN["f", "cyrillic"]
-    assert [e.surrogate for e in got[1].entities if e.kind == "ip"][0].startswith("10.")
+    assert names["Smith"] == names["John Smith"].split()[1]
+    assert of(1, "ip")[0].startswith("10.") and of(6, "ipv6")[0].startswith("fe80::")
+    assert pii._iban_valid(of(6, "iban")[0].replace(" ", "")) and of(6, "iban")[0][:2] == "DE" and of(6, "iban")[0].count(" ") == 5
+
+
+def test_surrogates_end_in_any_script(spark):
+    mails = ["имя@домен.рф", "é@ü.de", "名@例.中国", "_@-.de", "a@b.co", "ا@ب.eg"]
+    texts = [f"write to {m} please" for m in mails] * 2 + ["Herr 李明 and Frau Şahin"]
+    got = replaced(spark, texts)
+    for i, m in enumerate(mails):
+        (one,), (other,) = got[i].entities, got[i + len(mails)].entities
+        assert one.surrogate == other.surrogate != m and m not in got[i].text
+    assert len({got[i].entities[0].surrogate for i in range(len(mails))}) == len(mails)
+
+
+def plain_resolve(entities, key):
+    """The table of surrogates by the rule of the docstring, one round after the other."""
+    real, attempt = set(entities), dict.fromkeys(entities, 0)
+    for _ in range(pii.ROUNDS):
+        made = {e: (e[0], pii.surrogate(*e, key, attempt[e])) for e in entities}
+        first = {}
+        for e in sorted(entities, key=lambda e: (attempt[e], e[1])):
+            first.setdefault(made[e], e)
+        again = [e for e in entities if made[e] in real or first[made[e]] != e]
+        if not again:
+            return {e: made[e][1] for e in entities}
+        for e in again:
+            attempt[e] += 1
+    return {e: pii.surrogate(*e, key, attempt[e]) for e in entities}
 
 
 def test_surrogates_stay_distinct(spark):
-    rows = [("ip", f"10.0.0.{i}", "") for i in range(200)] + [("name", f"anna a{chr(97 + i % 26)}{chr(97 + i // 26)}", "f") for i in range(200)]
-    rows += [("phone", f"+1 {i:03d} 555-0000", "") for i in range(200)]
-    got = pii.resolve(spark.createDataFrame(rows, "kind string, id string, gender string"), b"k").collect()
-    made = [(r.kind, pii.identity(r.kind, r.surrogate)) for r in got]
-    assert len(set(made)) == len(rows) and not set(made) & {(k, i) for k, i, _ in rows}
+    """A full format (all 999-numbers), words that meet, and plain entities, against the plain rule."""
+    rows = [("ip", f"10.0.0.{i}") for i in range(200)] + [("word", f"a{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)]
+    rows += [("ssn", f"{i:03d}") for i in range(1000)] + [("email", f"{a}@{b}.de") for a in "abcdefghijklmnopqrstuvwxyz" for b in "xyz"]
+    got = {(r.kind, r.id): r.surrogate for r in pii.resolve(spark.createDataFrame(rows, "kind string, id string"), b"k").collect()}
+    assert got == plain_resolve(rows, b"k")
+    assert len({(k, v) for (k, _), v in got.items()}) == len(rows) and not {(k, v) for (k, _), v in got.items()} & set(rows)
+
+
+def test_surrogates_of_all_rows(spark):
+    """The rewritten texts against the plain table, with a mail that half of the rows hold."""
+    texts = [f"x@{c}.de and hot@mail.com" if i % 2 else f"{c}@y.de" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] * 3 + [None, ""]
+    entities = {x for t in texts for _, _, k, m in pii.find(t or "") for x in pii.identities(k, m)}
+    want = plain_resolve(sorted(entities), b"k")
+    got = replaced(spark, texts)
+    for i, t in enumerate(texts):
+        plain = t
+        for a, b, k, m in reversed(pii.find(t or "")):
+            plain = plain[:a] + want[k, m] + plain[b:]
+        assert got[i].text == plain
+    assert not replaced(spark, [])
 
 
 def test_permutation():
