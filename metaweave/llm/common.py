@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,7 +23,17 @@ FEW_ROWS = 1 << 17
 HOT_SHARE = 1 << 12
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each Arrow batch of this session, unless it has fewer already: some texts
+    are long, and a batch is held whole on both sides of a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a registered query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,7 +47,7 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most`` bytes of text, one row at least."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(name)).fill_null(0).to_pylist()
@@ -87,5 +100,14 @@ def kept(name: object, make: Callable[[], object]):
     """
     if not _HELD or _HELD[0][0] != name:
         _HELD.clear()
+        give_back()
         _HELD.append((name, make()))
     return _HELD[0][1]
+
+
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,10 +30,14 @@ from metaweave.plans.scratch import cut, release, remove, scratch_path
 #: Copies of one text that one task compares with the row that stays.
 SALT_ROWS = 512
 
-#: State on disk; without preallocated files, which cost megabytes in each of many partitions.
+#: State on disk; without preallocated files, which cost megabytes in each of many partitions,
+#: and with so much memory for all partitions of an executor.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
 }
 
 

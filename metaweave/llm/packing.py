@@ -41,7 +41,7 @@ from metaweave.plans.scratch import cut
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 #: Words that are encoded as one text.
 TOGETHER = 256
 
@@ -90,10 +90,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        special = [x.content.encode() for x in self.whole.get_added_tokens_decoder().values()]
+        special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)")
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.ends = np.array([x is not None and x.endswith("</w>") for x in names])
@@ -181,7 +180,9 @@ class WordEncoder:
         out = [ids[a:b] for a, b in zip(ends, ends[1:])]
         for i, raw in enumerate(texts):
             if self.special.search(raw):
-                out[i] = np.array(self.whole.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                self.tokenizer.encode_special_tokens = False
+                out[i] = self._encode([raw])[0].tobytes()
+                self.tokenizer.encode_special_tokens = True
         return out
 
 
@@ -193,7 +194,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(f"encoder {path}", lambda: WordEncoder(path))
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=1 << 20):
             rows: list[tuple] = []
             ids: list[bytes] = []
             for doc, coded in zip(batch.column("doc_id").to_pylist(), encode(raw_texts(batch))):

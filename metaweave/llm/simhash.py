@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import LOCATOR, hot_join, known_by, raw_texts, slices, with_locator
+from metaweave.llm.common import LOCATOR, hot_join, kept, known_by, raw_texts, slices, with_locator
 from metaweave.operators.components import star_components
 from metaweave.plans.scratch import cut, release
 
@@ -372,7 +372,8 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """``(node, held)``: the name of each text's shingle set and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        kept(None, lambda: None)
+        for batch in slices(batches):
             nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists(held)], names=["node", "held"])
 
@@ -403,7 +404,8 @@ def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
         return held[:most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        kept(None, lambda: None)
+        for batch in slices(batches):
             nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -521,20 +523,20 @@ def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """``key, u, v, size``: ``u < v`` is a pair of nodes that shares a shingle of both prefixes
+    """``key, u, v``: ``u < v`` is a pair of nodes that shares a shingle of both prefixes
     and may be similar; nodes of buckets over ``DENSE`` come singly, as ``u`` without ``v``."""
-    names = ["key", "u", "v", "size"]
+    names = ["key", "u", "v"]
 
     def found(rows: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         u, v = bucket_pairs(rows, starts, ends, similarity)
         pairs = _pairs(rows["node"][u], rows["node"][v])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=names)
 
     def over(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         n = len(rows["key"])
-        return pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["node"]), pa.nulls(n, pa.int64()), pa.array(rows["size"])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["node"]), pa.nulls(n, pa.int64())], names=names)
 
-    return by_key(buckets, found, "key bigint, u bigint, v bigint, size int", DENSE, over)
+    return by_key(buckets, found, "key bigint, u bigint, v bigint", DENSE, over)
 
 
 def _near_in_sketch(a: str, b: str, similarity: float) -> Column:
@@ -545,15 +547,22 @@ def _near_in_sketch(a: str, b: str, similarity: float) -> Column:
     return (small >= similarity * large - _EPS) & (bits <= _room(small, large, similarity))
 
 
+def in_sketch(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` that sizes and sketches leave room for."""
+    held = F.struct("size", *_SKETCH)
+    both = pairs.join(sketches.select(F.col("node").alias("u"), held.alias("x")), "u").join(sketches.select(F.col("node").alias("v"), held.alias("y")), "v")
+    return both.where(_near_in_sketch("x", "y", similarity)).select("u", "v")
+
+
 def star_pairs(dense: DataFrame, similarity: float) -> DataFrame:
     """Pairs of the nodes of each large bucket and its centres: a linear number."""
-    kept = ["node", "size", *_SKETCH]
-    centre = [F.max_by(F.struct(*kept), F.struct("shared", "node"))]
-    centre += [F.min_by(F.struct(*kept), F.xxhash64("node", F.lit(i))) for i in range(1, CENTRES)]
+    held = ["node", "size", *_SKETCH]
+    centre = [F.max_by(F.struct(*held), F.struct("shared", "node"))]
+    centre += [F.min_by(F.struct(*held), F.xxhash64("node", F.lit(i))) for i in range(1, CENTRES)]
     centres = cut(dense.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(*centre).alias("centres")), "centres")
     return (
         hot_join(dense, centres, "key")
-        .select(F.struct(*kept).alias("x"), F.explode("centres").alias("y"))
+        .select(F.struct(*held).alias("x"), F.explode("centres").alias("y"))
         .where((F.col("x.node") != F.col("y.node")) & _near_in_sketch("x", "y", similarity))
         .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
         .distinct()
@@ -628,15 +637,19 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     again = hot_join(rows.select(*LOCATOR, "node"), firsts, "node")
     extra = cut(again.where(" OR ".join(f"{c} <> first{c}" for c in LOCATOR)).select(*LOCATOR), "extra")
     once = known_by(rows, extra, LOCATOR, "left_anti")
+    sketches = cut(once.select("node", "size", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]), "sketches")
     buckets = once.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
     found = cut(close_pairs(buckets, similarity), "pairs")
     similar = lambda pairs: similar_pairs(pairs, docs, nodes, width, similarity)
-    links = similar(cut(found.where("v IS NOT NULL").select("u", "v").distinct(), "pairs"))
-    dense = found.where("v IS NULL").select("key", F.col("u").alias("node"), "size")
+    close = cut(in_sketch(found.where("v IS NOT NULL").select("u", "v").distinct(), sketches, similarity), "close")
+    links = similar(close)
+    dense = found.where("v IS NULL").select("key", F.col("u").alias("node"))
     if not dense.isEmpty():
         shared = dense.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-        sketches = once.select("node", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]).join(shared, "node")
-        links = dense_links(cut(dense.join(sketches, "node"), "dense"), links, similar, similarity)
+        dense = cut(dense.join(sketches.join(shared, "node"), "node"), "dense")
+        links = dense_links(dense, links, similar, similarity)
+        release(dense)
+    release(found, sketches, extra)
     return rows, links
 
 
