@@ -326,6 +326,8 @@ DENSE = 64
 CENTRES = 8
 #: Nodes of a large bucket that one cell of its pairs holds on either side.
 CELL = 2048
+#: Shingles that a bin of small components holds, about.
+BIN = 1 << 20
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Nodes to verify up to which their list is broadcast to the reading of the texts.
@@ -428,16 +430,45 @@ def _room(a, b, similarity: float):
     return (1 - similarity) / (1 + similarity) * (a + b) + _EPS
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node, held`` of the ends of the pairs, from a second look at their texts."""
     need = cut(nodes.select(*LOCATOR, "node").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "need")
-    texts = known_by(docs, need.drop("node"), LOCATOR, "left_semi", FEW_NODES)
-    sets = cut(shingle_sets(texts, width), "sets")
+    return cut(shingle_sets(known_by(docs, need.drop("node"), LOCATOR, "left_semi", FEW_NODES), width), "sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("all"))
-    links = cut(met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - _EPS).select("u", "v"), "similar")
-    release(need, sets)
-    return links
+    return met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - _EPS).select("u", "v")
+
+
+def similar_in_bins(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The same where many pairs share their ends: each set travels once, to the bin of its
+    component of candidates, and not once a pair. Components of more than ``BIN`` shingles are
+    joined pair by pair."""
+
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right["node"].to_pylist(), (x.values.to_numpy() for x in right["held"])))
+        out = []
+        for u, v in zip(left["u"].to_pylist(), left["v"].to_pylist()):
+            a, b = held[u], held[v]
+            met = len(np.intersect1d(a, b, assume_unique=True))
+            if met >= similarity * (len(a) + len(b) - met) - _EPS:
+                out.append((u, v))
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    parts = cut(star_components(pairs), "parts")
+    sizes = sets.select("node", F.size("held").alias("size")).join(parts, "node").groupBy("component").agg(F.sum("size").alias("size"))
+    sizes = cut(sizes, "sizes")
+    small = sizes.where(F.col("size") <= BIN)
+    bins = 1 + (small.agg(F.sum("size").alias("s")).first()["s"] or 0) // BIN
+    binned = cut(parts.join(small, "component").select("node", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")), "bins")
+    inside = pairs.join(binned.select(F.col("node").alias("u"), F.col("bin").alias("of")), "u")
+    found = inside.groupBy("of").cogroup(sets.join(binned, "node").groupBy("bin")).applyInArrow(run, "u bigint, v bigint")
+    large = pairs.join(binned.select(F.col("node").alias("u")), "u", "left_anti")
+    return found.unionByName(similar_pairs(large, sets, similarity))
 
 
 def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -640,9 +671,15 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     sketches = cut(once.select("node", "size", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]), "sketches")
     buckets = once.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
     found = cut(close_pairs(buckets, similarity), "pairs")
-    similar = lambda pairs: similar_pairs(pairs, docs, nodes, width, similarity)
+
+    def similar(pairs: DataFrame, check=similar_pairs) -> DataFrame:
+        sets = _sets_of(pairs, docs, nodes, width)
+        links = cut(check(pairs, sets, similarity), "similar")
+        release(sets)
+        return links
+
     close = cut(in_sketch(found.where("v IS NOT NULL").select("u", "v").distinct(), sketches, similarity), "close")
-    links = similar(close)
+    links = similar(close, similar_in_bins)
     dense = found.where("v IS NULL").select("key", F.col("u").alias("node"))
     if not dense.isEmpty():
         shared = dense.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))

@@ -298,7 +298,9 @@ def test_similarity_of_whole_sets(spark):
     assert sum((i, 60 + i) in got for i in range(60)) >= 54
 
 
-def test_all_similar_pairs(spark):
+@pytest.mark.parametrize("most", [3000, 1 << 20])
+def test_all_similar_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BIN", most)
     texts = []
     for s, n in enumerate([8, 20, 40, 100, 250, 700] * 4):
         w = words(n, s, 5000)
