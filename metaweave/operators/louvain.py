@@ -247,18 +247,24 @@ class Hierarchy:
         return self.levels.where(F.col("level") == max(x[0] for x in self.summary)).drop("level")
 
 
-def louvain(edges: DataFrame, setting: LouvainSettings = LouvainSettings(), mode: str = "auto", progress: Callable[[int, int, str], None] | None = None) -> Hierarchy:
-    """Cluster ``src, dst, weight`` (or canonical ``u, v, w``) level by level."""
+def louvain(edges: DataFrame, setting: LouvainSettings = LouvainSettings(), mode: str = "exact", progress: Callable[[int, int, str], None] | None = None) -> Hierarchy:
+    """Cluster ``src, dst, weight`` (or canonical ``u, v, w``) level by level.
+
+    ``mode`` is the caller's choice and never follows the size: ``exact`` refuses a graph of more
+    than ``exact_limit`` edges with a ValueError, ``distributed`` takes any.
+    """
+    if mode not in ("exact", "distributed"):
+        raise ValueError(f"unknown mode {mode!r}")
     base = cut(edges if {"u", "v", "w"} <= set(edges.columns) else canonical(edges), "canon")
     canon = base
+    if mode == "exact" and (n := canon.count()) > setting.exact_limit:
+        raise ValueError(f"{n} edges; the exact mode is for at most {setting.exact_limit}, use 'distributed'")
     final = cut(singletons(base), "final")
     size = final.count()
     levels, parents, summary = [], [], []
     last_q = modularity(base, final, setting.resolution).first()[0] or 0.0
     for level in range(1, setting.max_levels + 1):
-        small = canon.count() <= setting.exact_limit
-        exact = mode == "exact" or (mode == "auto" and small)
-        moved = cut(exact_moves(canon, setting) if exact else distributed_moves(canon, setting), "moved")
+        moved = cut(exact_moves(canon, setting) if mode == "exact" else distributed_moves(canon, setting), "moved")
         now = moved.select("comm").distinct().count()
         composed = cut(
             final.withColumnRenamed("comm", "c").join(moved.withColumnRenamed("node", "c"), "c").select("node", "comm"), "final"

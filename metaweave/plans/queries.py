@@ -318,14 +318,11 @@ def v9_neighbours(spark, sf_dir):
     return T.supply_graph(spark, sf_dir).neighbours("S:7", "supplies")
 
 
-@query(
-    """SELECT 'P:' || p_partkey AS id, 'no edges out' AS reason FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 20 = 0)"""
-)
+@query("SELECT 'C:' || c_custkey AS id, 'no first step' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def v17_missing_nodes(spark, sf_dir):
-    g = T.supply_graph(spark, sf_dir)
-    even = g.edges.where(F.substring(F.when(F.col("src").startswith("S"), F.col("src")).otherwise(F.col("dst")), 3, 20).cast("int") % 20 == 0)
-    g = Graph(g.nodes, even)
-    return V.missing_nodes(g, M.Homogeneous(M.node_set(M.endpoints(g, T.PSP, Traversal(allow_cycles=True)), T.PSP), None, T.PSP))
+    """Customers who never ordered: their only edges lead to nations."""
+    g, path = T.order_graph(spark, sf_dir), MetaPath(("customer", "order"), ("places",))
+    return V.missing_nodes(g, M.Homogeneous(M.node_set(M.endpoints(g, path), path), None, path))
 
 
 @query("SELECT 'error' AS severity, 9 AS checks, 9 AS passed UNION ALL SELECT 'info', 5, 5 UNION ALL SELECT 'warning', 3, 3")
@@ -414,20 +411,19 @@ def l16_level_edges(spark, sf_dir):
 
 @query()
 def l6_louvain_levels(spark, sf_dir):
-    """Planted blocks found again, level by level."""
-    canon = L.canonical(R.planted_partition(spark, 400, 8, 0.3, 0.01))
-    return L.louvain(canon, LouvainSettings(exclude_self=True), "exact").levels
+    """Suppliers by the parts they share, in ascending node order."""
+    return L.louvain(T.supplier_ties(spark, sf_dir), LouvainSettings(), "exact").levels
 
 
 @query()
 def l6_louvain_distributed(spark, sf_dir):
-    canon = L.canonical(R.planted_partition(spark, 200, 4, 0.3, 0.01))
-    return L.louvain(canon, LouvainSettings(exclude_self=True, max_iterations=8, max_levels=2), "distributed").levels
+    """The same by synchronous rounds."""
+    return L.louvain(T.supplier_ties(spark, sf_dir), LouvainSettings(exclude_self=True), "distributed").levels
 
 
 @query()
 def l6_scar_levels(spark, sf_dir):
-    """Sketch clustering of suppliers by the nations they share."""
+    """Sketch clustering of a planted partition of 120 nodes."""
     e = R.both_directions(R.planted_partition(spark, 120, 4, 0.4, 0.02))
     nodes = spark.range(120).select("id", F.lit("x").alias("type"))
     setting = SketchSettings(k=8, nk=2, louvain=LouvainSettings(exclude_self=True, max_iterations=6, max_levels=2))
@@ -764,17 +760,17 @@ def c25_overview(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), t AS (SELECT a.s AS u, b.s AS v FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 130),
+    """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), t AS (SELECT a.s AS u, b.s AS v FROM e a JOIN e b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2),
             n AS (SELECT s_suppkey AS node, s_nationkey::BIGINT % 5 AS comm FROM supplier), i AS (SELECT x.comm, u, v FROM t JOIN n x ON x.node = u JOIN n y ON y.node = v WHERE x.comm = y.comm),
             d AS (SELECT n.comm, n.node, count(i.u) AS d FROM n LEFT JOIN i ON i.u = n.node OR i.v = n.node GROUP BY 1, 2),
             tri AS (SELECT a.comm, count(*) AS c FROM i a JOIN i b ON a.v = b.u JOIN i c ON c.u = a.u AND c.v = b.v GROUP BY 1),
-            s AS (SELECT comm, count(*) AS members, sum(d) / 2 AS edges, avg(d) AS avg_degree, max(d) AS max_degree, var_pop(d) AS variance, sum(d * (d - 1) / 2) AS wedges FROM d GROUP BY 1)
-       SELECT comm, members, edges::BIGINT AS edges, round(avg_degree, 6) AS avg_degree, max_degree, 0::BIGINT AS min_degree, round(variance, 6) AS variance,
+            s AS (SELECT comm, count(*) AS members, sum(d) / 2 AS edges, avg(d) AS avg_degree, max(d) AS max_degree, 0::BIGINT AS min_degree, var_pop(d) AS variance, sum(d * (d - 1) / 2) AS wedges FROM d GROUP BY 1)
+       SELECT comm, members, edges::BIGINT AS edges, round(avg_degree, 6) AS avg_degree, max_degree, min_degree, round(variance, 6) AS variance,
               round(CASE WHEN members > 1 THEN 2 * edges / (members * (members - 1)) ELSE 0 END, 6)::DOUBLE AS density,
               round(CASE WHEN wedges > 0 THEN 3 * coalesce(c, 0) / wedges ELSE 0 END, 6)::DOUBLE AS clustering FROM s LEFT JOIN tri USING (comm)"""
 )
 def c26_subgraph_statistics(spark, sf_dir):
-    ties = T.supplier_ties(spark, sf_dir).where("w >= 130").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    ties = T.supplier_ties(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))
     assign = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_nationkey") % 5).cast("bigint").alias("comm"))
     return C.subgraph_statistics(ties, assign).withColumns({n: F.round(n, 6) for n in ("avg_degree", "variance", "density", "clustering")})
 
@@ -793,24 +789,23 @@ def supply_edges(spark, sf_dir):
 
 def supply_sets(spark, sf_dir):
     a = T.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).alias("set"), F.col("s_suppkey").alias("node"))
-    b = T.table(spark, sf_dir, "part").where("p_partkey % 50 < 3").select((F.col("p_partkey") % 50).alias("set"), F.col("p_partkey").alias("node"))
+    b = T.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("set"), F.col("p_partkey").alias("node"))
     return a, b
 
 
 @query(
-    f"""WITH {_CMS}, q AS (SELECT s_suppkey AS node, p_partkey AS item FROM supplier, part WHERE p_partkey % 100 = 1),
+    f"""WITH {_CMS}, q AS (SELECT src AS node, dst AS item FROM e),
         l AS (SELECT q.node, item, r, {_BK.replace("x *", "item *")} AS bucket FROM q, rows)
         SELECT node, item, min(coalesce(n, 0)) AS estimate FROM l LEFT JOIN c USING (node, r, bucket) GROUP BY 1, 2"""
 )
 def x1_count_min(spark, sf_dir):
     made = X.cms_build(supply_edges(spark, sf_dir), _D, _W, X.arithmetic_buckets)
-    items = T.table(spark, sf_dir, "part").where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("item"))
-    asked = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")).crossJoin(items)
+    asked = supply_edges(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("item"))
     return X.cms_lookup(made, asked, _D, _W, buckets=X.arithmetic_buckets)
 
 
 @query(
-    f"""WITH {_CMS}, m AS (SELECT node % 5 AS a, r, bucket, sum(n) AS n FROM c GROUP BY 1, 2, 3), q AS (SELECT a, p_partkey % 50 AS b, p_partkey AS item FROM (SELECT unnest(range(5)) AS a), part WHERE p_partkey % 50 < 3),
+    f"""WITH {_CMS}, m AS (SELECT node % 5 AS a, r, bucket, sum(n) AS n FROM c GROUP BY 1, 2, 3), q AS (SELECT a, p_partkey % 50 AS b, p_partkey AS item FROM (SELECT unnest(range(5)) AS a), part),
         l AS (SELECT a, b, item, r, {_BK.replace("x *", "item *")} AS bucket FROM q, rows), s AS (SELECT a, b, item, min(coalesce(n, 0)) AS v FROM l LEFT JOIN m USING (a, r, bucket) GROUP BY 1, 2, 3)
         SELECT a, b, sum(v)::BIGINT AS estimate FROM s GROUP BY 1, 2"""
 )
@@ -819,7 +814,7 @@ def x2_count_min_merged(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_CMS}, q AS (SELECT s_suppkey % 5 AS a, s_suppkey AS node, p_partkey % 50 AS b, p_partkey AS item FROM supplier, part WHERE p_partkey % 50 < 3),
+    f"""WITH {_CMS}, q AS (SELECT s_suppkey % 5 AS a, s_suppkey AS node, p_partkey % 50 AS b, p_partkey AS item FROM supplier, part),
         l AS (SELECT a, node, b, item, r, {_BK.replace("x *", "item *")} AS bucket FROM q, rows), s AS (SELECT a, b, node, item, min(coalesce(n, 0)) AS v FROM l LEFT JOIN c USING (node, r, bucket) GROUP BY 1, 2, 3, 4)
         SELECT a, b, sum(v)::BIGINT AS estimate FROM s GROUP BY 1, 2"""
 )
@@ -827,19 +822,33 @@ def x3_count_min_single(spark, sf_dir):
     return X.cms_edges_single(supply_edges(spark, sf_dir), *supply_sets(spark, sf_dir), _D, _W, X.arithmetic_buckets)
 
 
-@query()
+_H32 = "(({0} * 2654435761 + 12345) % 4294967291)"
+_BOTTOM = f"""e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+    n AS (SELECT src AS node, {_H32.format("dst")} AS h FROM e UNION SELECT node, {_H32.format("node")} FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)),
+    s AS (SELECT node, h FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY h) AS r FROM n) WHERE r <= 64),
+    br AS (SELECT p_partkey % 50 AS b, {_H32.format("p_partkey")} AS h, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY {_H32.format("p_partkey")}) AS r, count(*) OVER (PARTITION BY p_partkey % 50) AS nb FROM part),
+    bs AS (SELECT b, nb, list(h ORDER BY h) AS hb FROM br WHERE r <= 64 GROUP BY 1, 2)"""
+_BSIZE = "(CASE WHEN len({0}) < 64 THEN len({0}) ELSE 63 * 4294967295.0::DOUBLE / {0}[64] END)"
+_BEST = f"""u AS (SELECT *, list_sort(list_distinct(list_concat(ha, hb)))[1:64] AS hu FROM l, bs),
+    x AS (SELECT a, b, greatest(0.0, {_BSIZE.format("ha")} + nb - {_BSIZE.format("hu")})::DOUBLE AS v FROM u)"""
+
+
+@query(
+    f"""WITH {_BOTTOM}, d AS (SELECT DISTINCT s_suppkey % 5 AS a, h FROM s JOIN supplier ON s_suppkey = node), dr AS (SELECT a, h, row_number() OVER (PARTITION BY a ORDER BY h) AS r FROM d),
+        l AS (SELECT a, list(h ORDER BY h) AS ha FROM dr WHERE r <= 64 GROUP BY 1), {_BEST} SELECT a, b, round(v, 4) AS estimate FROM x"""
+)
 def x4_bottomk_union(spark, sf_dir):
-    return X.bottomk_edges_union(supply_edges(spark, sf_dir), *supply_sets(spark, sf_dir), 64)
+    return X.bottomk_edges_union(supply_edges(spark, sf_dir), *supply_sets(spark, sf_dir), 64, A.affine_hash).withColumn("estimate", F.round("estimate", 4))
 
 
-@query()
+@query(f"WITH {_BOTTOM}, l AS (SELECT s_suppkey % 5 AS a, node, list(h ORDER BY h) AS ha FROM s JOIN supplier ON s_suppkey = node GROUP BY 1, 2), {_BEST} SELECT a, b, round(sum(v), 3) AS estimate FROM x GROUP BY 1, 2")
 def x5_bottomk_sum(spark, sf_dir):
-    return X.bottomk_edges_sum(supply_edges(spark, sf_dir), *supply_sets(spark, sf_dir), 64)
+    return X.bottomk_edges_sum(supply_edges(spark, sf_dir), *supply_sets(spark, sf_dir), 64, A.affine_hash).withColumn("estimate", F.round("estimate", 3))
 
 
 _GT = """e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), na AS (SELECT s_suppkey % 5 AS a, count(*) AS na FROM supplier GROUP BY 1),
-    nb AS (SELECT p_partkey % 50 AS b, count(*) AS nb FROM part WHERE p_partkey % 50 < 3 GROUP BY 1),
-    g AS (SELECT src % 5 AS a, dst % 50 AS b, count(*) AS weight, count(DISTINCT dst) AS targets FROM e WHERE dst % 50 < 3 GROUP BY 1, 2)"""
+    nb AS (SELECT p_partkey % 50 AS b, count(*) AS nb FROM part GROUP BY 1),
+    g AS (SELECT src % 5 AS a, dst % 50 AS b, count(*) AS weight, count(DISTINCT dst) AS targets FROM e GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_GT} SELECT a, b, weight, round(weight / targets, 6) AS multiplicity, round(weight / (na * nb), 6) AS density FROM g JOIN na USING (a) JOIN nb USING (b)")
@@ -965,18 +974,32 @@ def event_moves(spark, sf_dir):
     return moves, e.select(F.col("user_id").alias("node")).distinct()
 
 
-@query(
-    f"""WITH {_MV}, s AS (SELECT unnest([100, 500, 1000]) AS step), n AS (SELECT DISTINCT user_id AS node FROM events), l AS (SELECT step, node, max_by(to_comm, move) AS comm FROM s JOIN mv ON move <= step GROUP BY 1, 2)
-        SELECT step, node, coalesce(comm, node) AS comm FROM n CROSS JOIN s LEFT JOIN l USING (step, node)"""
-)
+_STATES = f"""{_MV}, c AS (SELECT count(*) AS k FROM mv), s AS (SELECT unnest([k // 4, k // 2, k])::INT AS step FROM c), n AS (SELECT DISTINCT user_id AS node FROM events),
+    l AS (SELECT step, node, max_by(to_comm, move) AS comm FROM s JOIN mv ON move <= step GROUP BY 1, 2), st AS (SELECT step, node, coalesce(comm, node) AS comm FROM n CROSS JOIN s LEFT JOIN l USING (step, node))"""
+
+
+def log_steps(moves) -> list[int]:
+    """A quarter, a half and the whole of the log."""
+    k = moves.count()
+    return [k // 4, k // 2, k]
+
+
+@query(f"WITH {_STATES} SELECT step, node, comm FROM st")
 def r1_replayed_states(spark, sf_dir):
-    return replay.states(*event_moves(spark, sf_dir), [100, 500, 1000])
+    moves, nodes = event_moves(spark, sf_dir)
+    return replay.states(moves, nodes, log_steps(moves))
 
 
-@query()
+@query(
+    f"""WITH {_STATES}, t AS (SELECT step, comm AS a, node % 10 AS b, count(*)::DOUBLE AS n FROM st GROUP BY 1, 2, 3),
+        f AS (SELECT *, sum(n) OVER (PARTITION BY step, a) AS na, sum(n) OVER (PARTITION BY step, b) AS nb, sum(n) OVER (PARTITION BY step) AS nt FROM t),
+        i AS (SELECT step, count(DISTINCT a) AS communities, sum(n / nt * log2(n * nt / (na * nb))) AS mi, -sum(n / nt * log2(na / nt)) AS ha, -sum(n / nt * log2(nb / nt)) AS hb FROM f GROUP BY 1)
+        SELECT step, communities, round(CASE WHEN ha < 1e-12 AND hb < 1e-12 THEN 1.0 WHEN ha < 1e-12 OR hb < 1e-12 THEN 0.0 ELSE least(1.0, greatest(0.0, 2 * mi / (ha + hb))) END, 6) AS nmi FROM i"""
+)
 def r1_convergence(spark, sf_dir):
     moves, nodes = event_moves(spark, sf_dir)
-    return replay.convergence(moves, nodes, nodes.select("node", (F.col("node") % 10).alias("comm")), [100, 500, 1000])
+    found = replay.convergence(moves, nodes, nodes.select("node", (F.col("node") % 10).alias("comm")), log_steps(moves))
+    return found.select("step", "communities", *r6("nmi"))
 
 
 @query()
