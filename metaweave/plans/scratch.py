@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder of the session; a private one is set only where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="metaweave-"))
         root = _OWN_DIR[0]
