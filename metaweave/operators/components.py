@@ -3,7 +3,8 @@
 Every round replaces each vertex's links by links to the smallest vertex it knows
 (large star), then points all smaller neighbours at the smallest one (small star).  The
 edge list never grows, the number of rounds is logarithmic in practice even for long
-chains, and the minimum per vertex is a partial aggregate, so a hub costs one row a task.
+chains, and the minimum per vertex is a partial aggregate. The joins ship every link of a hub;
+adaptive execution splits such skewed partitions.
 """
 
 from __future__ import annotations

@@ -124,8 +124,7 @@ def _estimate(node_layers: Column, comm_layers: Column, members: Column, k: int,
 def community_weights(sketches: DataFrame, own: DataFrame, assign: DataFrame, k: int, nk: int = 1, space: int = A.MAX_HASH) -> DataFrame:
     """``node, comm, w``: full nodes by inclusion-exclusion against every community, others exact.
 
-    Communities are shipped to the full nodes in blocks of a range join by community, which
-    Spark broadcasts while they are small.
+    Full nodes meet every community (a cross join), as the rule of the estimate asks for.
     """
     comms = community_sketches(own, assign, k, nk)
     big = sketches.where(A.full("layers", k)).crossJoin(comms.withColumnRenamed("layers", "c"))
