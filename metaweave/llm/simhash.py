@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,8 +327,8 @@ DENSE = 64
 CENTRES = 8
 #: Nodes of a large bucket that one cell of its pairs holds on either side.
 CELL = 2048
-#: Shingles that a bin of small components holds, about.
-BIN = 1 << 20
+#: Shingles that one cell of pairs to verify holds, about.
+BIN = 1 << 19
 #: Longs of a parity sketch.
 SKETCH = 8
 #: Nodes to verify up to which their list is broadcast to the reading of the texts.
@@ -430,26 +431,63 @@ def _room(a, b, similarity: float):
     return (1 - similarity) / (1 + similarity) * (a + b) + _EPS
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node, held`` of the ends of the pairs, from a second look at their texts."""
-    need = cut(nodes.select(*LOCATOR, "node").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "need")
-    return cut(shingle_sets(known_by(docs, need.drop("node"), LOCATOR, "left_semi", FEW_NODES), width), "sets")
+def deal(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``cell, u, v``: the pairs dealt into cells that hold about ``BIN`` shingles of texts, so that a
+    text travels once to each cell that needs it and not once a pair.
 
+    ``sizes`` has ``node, size``. A pair lies with the end that has fewer partners. Pairs of small
+    components share cells, a large component has several cells of its own; a cell whose texts
+    still come to over ``4 * BIN`` shingles is cut into a grid of both ends.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ends = cut(ends.join(sizes, "node"), "ends")
+    total = ends.agg(F.sum("size").alias("size")).first()["size"] or 0
+    if total <= BIN:
+        return pairs.select(F.lit(0).cast("long").alias("cell"), "u", "v")
+    cells = 1 + total // BIN
+    ends = cut(ends.join(star_components(pairs), "node"), "ends")
+    parts = cut(ends.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")), "parts")
+    ends = cut(hot_join(ends, parts, "component").drop("n"), "ends")
+    known = ends.withColumnRenamed("degree", "n")
+    left = known.select(F.col("node").alias("u"), "n", F.col("size").alias("u_size"), "component", F.ceil(F.col("weight") / BIN).alias("slots"))
+    right = known.select(F.col("node").alias("v"), "n", F.col("size").alias("v_size"))
+    met = cut(hot_join(pairs, left, "u").withColumnRenamed("n", "u_n"), "met")
+    own = F.when(F.col("u_n") <= F.col("n"), F.col("u")).otherwise(F.col("v"))
+    home = F.xxhash64("component", F.pmod(F.xxhash64("own", F.lit(1)), F.greatest("slots", F.lit(1))))
+    dealt = hot_join(met, right, "v").withColumn("own", own).withColumn("cell", F.pmod(home, F.lit(cells)))
+    dealt = cut(dealt.select("cell", "u", "v", "own", "u_size", "v_size"), "dealt")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u_size").alias("size")), F.struct(F.col("v").alias("node"), F.col("v_size").alias("size"))))
+    loads = dealt.select("cell", ends.alias("end")).distinct().groupBy("cell").agg(F.sum("end.size").alias("load"))
+    over = cut(loads.where(F.col("load") > 4 * BIN).select("cell", F.ceil(F.col("load") / BIN).alias("grid")), "over")
+    if not over.isEmpty():
+        other = F.when(F.col("own") == F.col("u"), F.col("v")).otherwise(F.col("u"))
+        finer = F.xxhash64("cell", F.pmod(F.xxhash64("own", F.lit(2)), F.col("grid")), F.pmod(F.xxhash64(other, F.lit(3)), F.col("grid")))
+        dealt = cut(dealt.join(over, "cell", "left").withColumn("cell", F.when(F.col("grid").isNull(), F.col("cell")).otherwise(finer)), "finer")
+    return dealt.select("cell", "u", "v")
+
+
+def _packed(texts: DataFrame) -> DataFrame:
+    """``cell, node, raw``: the texts in compressed form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
+        for batch in slices(batches):
+            raw = pa.array([pack(x) for x in raw_texts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("node"), raw], names=["cell", "node", "raw"])
+
+    return texts.select("cell", "node", "text").mapInArrow(run, "cell bigint, node bigint, raw binary")
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
-    met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("met"), (F.size("a") + F.size("b")).alias("all"))
-    return met.where(F.col("met") >= similarity * (F.col("all") - F.col("met")) - _EPS).select("u", "v")
 
+def similar_pairs(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Those of the written pairs ``u, v`` whose whole shingle sets have that Jaccard similarity or more.
 
-def similar_in_bins(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The same where many pairs share their ends: each set travels once, to the bin of its
-    component of candidates, and not once a pair. Components of more than ``BIN`` shingles are
-    joined pair by pair."""
+    ``nodes`` says where a text of each node stands in ``docs``; whole texts travel to the cells
+    of :func:`deal` and become sets there.
+    """
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        held = dict(zip(right["node"].to_pylist(), (x.values.to_numpy() for x in right["held"])))
+        unpack = zstandard.ZstdDecompressor().decompress
+        held = {n: shingle_set(unpack(x), width)[1] for n, x in zip(right["node"].to_pylist(), right["raw"].to_pylist())}
         out = []
         for u, v in zip(left["u"].to_pylist(), left["v"].to_pylist()):
             a, b = held[u], held[v]
@@ -459,16 +497,11 @@ def similar_in_bins(pairs: DataFrame, sets: DataFrame, similarity: float) -> Dat
         u, v = zip(*out) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    parts = cut(star_components(pairs), "parts")
-    sizes = sets.select("node", F.size("held").alias("size")).join(parts, "node").groupBy("component").agg(F.sum("size").alias("size"))
-    sizes = cut(sizes, "sizes")
-    small = sizes.where(F.col("size") <= BIN)
-    bins = 1 + (small.agg(F.sum("size").alias("s")).first()["s"] or 0) // BIN
-    binned = cut(parts.join(small, "component").select("node", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")), "bins")
-    inside = pairs.join(binned.select(F.col("node").alias("u"), F.col("bin").alias("of")), "u")
-    found = inside.groupBy("of").cogroup(sets.join(binned, "node").groupBy("bin")).applyInArrow(run, "u bigint, v bigint")
-    large = pairs.join(binned.select(F.col("node").alias("u")), "u", "left_anti")
-    return found.unionByName(similar_pairs(large, sets, similarity))
+    dealt = deal(pairs, sizes)
+    need = dealt.select("cell", F.explode(F.array("u", "v")).alias("node")).distinct()
+    need = cut(need.join(nodes.select("node", *LOCATOR), "node"), "need")
+    texts = _packed(known_by(docs.select(*LOCATOR, "text"), need, LOCATOR, "inner", FEW_NODES))
+    return dealt.groupBy("cell").cogroup(texts.groupBy("cell")).applyInArrow(run, "u bigint, v bigint")
 
 
 def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -672,14 +705,11 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     buckets = once.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
     found = cut(close_pairs(buckets, similarity), "pairs")
 
-    def similar(pairs: DataFrame, check=similar_pairs) -> DataFrame:
-        sets = _sets_of(pairs, docs, nodes, width)
-        links = cut(check(pairs, sets, similarity), "similar")
-        release(sets)
-        return links
+    def similar(pairs: DataFrame) -> DataFrame:
+        return pairs if pairs.isEmpty() else cut(similar_pairs(pairs, sketches.select("node", "size"), docs, nodes, width, similarity), "similar")
 
     close = cut(in_sketch(found.where("v IS NOT NULL").select("u", "v").distinct(), sketches, similarity), "close")
-    links = similar(close, similar_in_bins)
+    links = similar(close)
     dense = found.where("v IS NULL").select("key", F.col("u").alias("node"))
     if not dense.isEmpty():
         shared = dense.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
