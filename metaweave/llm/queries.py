@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import decontaminate, divergence, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
+from metaweave.llm import concat_packing, decontaminate, divergence, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
 from metaweave.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op13_concat_packing": op13_concat_packing,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
