@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm import concat_packing, decontaminate, divergence, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, warc
+from metaweave.llm import concat_packing, decontaminate, divergence, exact_dedup, ngram, packing, pii, secrets, sharding, simhash, toxicity, upkeep, warc
 from metaweave.llm.common import table
 
 
@@ -75,6 +75,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_aggregate_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = upkeep.document_changes(table(spark, sf_dir, "documents"))
+    return upkeep.maintain(changes, ["source", "lang"], "batch", "n_chars", "by", last=upkeep.BATCHES - 1)
+
+
 def op13_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_aggregate_upkeep": op12_aggregate_upkeep,
     "op13_concat_packing": op13_concat_packing,
 }
 
@@ -161,4 +167,38 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
         WHERE part = 'pair' OR rank <= 50
     """,
+    "op12_aggregate_upkeep": """
+        WITH RECURSIVE bits(i, k, v) AS (
+            SELECT i, 0, i::BIGINT FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, xor(v >> 1, 3988292384 * (v & 1)) FROM bits WHERE k < 8
+        ), crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+        x AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_chars FROM documents),
+        y AS (
+            SELECT source, lang, n_chars, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(1, length(id) + 1), lambda i: ascii(id[i])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+            ), 4294967295) AS h FROM x, crc
+        ),
+        z AS (SELECT source, lang, n_chars, h % 20 AS b, (h // 20) % 4 AS q FROM y),
+        e AS (
+            SELECT source, lang, n_chars AS v, b AS a, b + q AS z FROM z
+            UNION ALL SELECT source, lang, n_chars + q, b + q, 99 FROM z WHERE q % 3 = 0
+        ),
+        s AS (
+            SELECT t AS batch, source, lang, count(*) AS n_rows, count(DISTINCT v) AS n_distinct, coalesce(sum(v), 0)::BIGINT AS total,
+                   min(v) AS least, max(v) AS greatest, (list(v ORDER BY v) FILTER (v IS NOT NULL))[(count(v) + 1) // 2] AS median
+            FROM e, range(20) AS r(t) WHERE a <= t AND t < z GROUP BY ALL
+        ),
+        w AS (
+            SELECT t AS batch, z.source, z.lang, coalesce(n_rows, 0) AS n_rows, coalesce(n_distinct, 0) AS n_distinct, coalesce(total, 0) AS total, least, greatest, median
+            FROM (SELECT DISTINCT source, lang FROM z) AS z JOIN range(20) AS r(t) ON true LEFT JOIN s ON s.batch = t AND s.source = z.source AND s.lang = z.lang
+        )
+        SELECT * FROM (
+            SELECT batch::INTEGER AS batch, source, lang,
+                   coalesce(lag(n_rows) OVER g, 0) AS old_n_rows, n_rows AS new_n_rows, coalesce(lag(n_distinct) OVER g, 0) AS old_n_distinct, n_distinct AS new_n_distinct,
+                   coalesce(lag(total) OVER g, 0) AS old_total, total AS new_total, lag(least) OVER g AS old_least, least AS new_least,
+                   lag(greatest) OVER g AS old_greatest, greatest AS new_greatest, lag(median) OVER g AS old_median, median AS new_median
+            FROM w WINDOW g AS (PARTITION BY source, lang ORDER BY batch)
+        )
+        WHERE old_n_rows <> new_n_rows OR old_n_distinct <> new_n_distinct OR old_total <> new_total OR old_least IS DISTINCT FROM new_least
+           OR old_greatest IS DISTINCT FROM new_greatest OR old_median IS DISTINCT FROM new_median
+    """,
 }
