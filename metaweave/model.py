@@ -152,6 +152,7 @@ class LouvainSettings:
     max_community_size: int = 0
     seed: int = 42
     exact_limit: int = 1_000_000
+    mode: str = "exact"
 
 
 @dataclass(frozen=True)

@@ -5,8 +5,11 @@ in its node's degree.  Modularity is always computed from the assignment, never
 place.  Local moving comes in two modes built on the same step operators:
 
 * ``exact``: the whole (small) graph in one grouped task, nodes in ascending order;
-* ``distributed``: synchronous rounds of joins in which only the nodes of one hash parity
-  move, singletons merge towards the smaller label only, and the best partition seen wins.
+* ``distributed``: synchronous rounds of joins.  Every node proposes its best move; the
+  proposals are dealt into nested random sets, each about half of the next, and the exact
+  change of modularity of each whole set, with all that its moves do to one another, comes
+  from sums per community and per edge between movers.  The best set is applied, so the
+  modularity never falls, however many neighbours move at once.
 """
 
 from __future__ import annotations
@@ -189,49 +192,146 @@ def relabelled(assign: DataFrame) -> DataFrame:
     return assign.join(names, "comm").select("node", F.col("name").alias("comm"))
 
 
-def distributed_moves(canon: DataFrame, setting: LouvainSettings, weigh: Callable[[DataFrame], DataFrame] | None = None, degree: DataFrame | None = None) -> DataFrame:
-    """Synchronous rounds; ``weigh(assign)`` gives ``node, comm, w`` (exact weights by default)."""
+#: Nested sets of a round: a proposal is in set ``i`` if its slot is at least ``i``.
+SLOTS = 40
+#: Rounds in a row without a gain worth it after which a level is settled.
+STILL = 3
+
+
+def proposals(state: DataFrame, weights: DataFrame, m2: float, setting: LouvainSettings = LouvainSettings(), loops: DataFrame | None = None) -> DataFrame:
+    """``node, k, old, new, delta``: each node's best move, if alone it raises the modularity.
+
+    ``state`` is ``node, k, comm``, ``weights`` is ``node, comm, w`` with self loops in a node's own
+    community (``loops`` is ``node, loop``).  The move is chosen by the gain of ``setting``; ``delta``
+    is the exact change of modularity.
+    """
+    totals = state.groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"))
+    listed = weights.select("node", "comm", "w").unionByName(state.select("node", "comm", F.lit(0.0).alias("w")))
+    listed = listed.groupBy("node", "comm").agg(F.sum("w").alias("w"))
+    rows = listed.join(state.select("node", "k", F.col("comm").alias("old")), "node").join(totals, "comm")
+    own = F.col("comm") == F.col("old")
+    loop = F.lit(0.0)
+    if loops is not None:
+        rows, loop = rows.join(loops, "node", "left"), F.coalesce("loop", F.lit(0.0))
+    share = setting.resolution / m2 * F.col("k")
+    exact = F.when(own, F.col("w") - loop - share * (F.col("tot") - F.col("k"))).otherwise(F.col("w") - share * F.col("tot"))
+    gain = exact if setting.exclude_self else F.col("w") - share * F.col("tot")
+    rows = rows.select("node", "k", "old", "comm", "members", own.alias("own"), exact.alias("exact"), gain.alias("gain"))
+    if setting.max_community_size:
+        rows = rows.where(F.col("own") | (F.col("members") < setting.max_community_size))
+    best = F.min(F.when(~F.col("own"), F.struct((-F.col("gain")).alias("less"), F.col("comm"), F.col("exact"))))
+    stay = F.max(F.when(F.col("own"), F.struct("exact", "gain")))
+    found = rows.groupBy("node", "k", "old").agg(best.alias("b"), stay.alias("s")).where("b is not null")
+    found = found.where((-F.col("b.less") > setting.min_gain) & (F.col("b.exact") - F.col("s.exact") > 1e-12))
+    if setting.require_improvement:
+        found = found.where(-F.col("b.less") > F.col("s.gain"))
+    return found.select("node", "k", "old", F.col("b.comm").alias("new"), ((F.col("b.exact") - F.col("s.exact")) * (2.0 / m2)).alias("delta"))
+
+
+def joint_gains(canon: DataFrame, movers: DataFrame, m2: float, resolution: float = 1.0) -> list[tuple[int, float]]:
+    """``(slot, change)``: the exact change of modularity if all movers (``node, k, old, new, delta,
+    slot``) of at least that slot move at once, for each slot that occurs, highest first.
+
+    Two movers count on each other's present place.  So beside the sum of their own changes,
+    with ``s`` = [same new] + [same old] - [one's new is the other's old] - [and the reverse], an
+    edge between them adds ``2 w s / 2m``, and all pairs take away, for the degrees that join and
+    leave each community, ``((joining - leaving)^2 - sum of k^2) / (2m)^2``.
+    """
+    own = movers.groupBy("slot").agg(F.sum("delta").alias("x"))
+    touched = F.explode(F.array(F.struct(F.col("new").alias("comm"), F.col("k").alias("f")), F.struct(F.col("old").alias("comm"), (-F.col("k")).alias("f")))).alias("t")
+    flows = movers.select("slot", touched).select("slot", "t.comm", "t.f").groupBy("comm", "slot").agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("f")).alias("sq"))
+    down = W.partitionBy("comm").orderBy(F.desc("slot"))  # at most SLOTS rows a community
+    flows = flows.withColumn("all", F.sum("f").over(down))
+    pushed = F.col("all") * F.col("all") - (F.col("all") - F.col("f")) * (F.col("all") - F.col("f")) - F.col("sq")
+    crowd = flows.groupBy("slot").agg((F.sum(pushed) * (-resolution / (m2 * m2))).alias("x"))
+    a = movers.select(F.col("node").alias("u"), F.col("old").alias("ou"), F.col("new").alias("nu"), F.col("slot").alias("su"))
+    b = movers.select(F.col("node").alias("v"), F.col("old").alias("ov"), F.col("new").alias("nv"), F.col("slot").alias("sv"))
+    same = lambda x, y: (F.col(x) == F.col(y)).cast("int")
+    s = same("nu", "nv") + same("ou", "ov") - same("nu", "ov") - same("ou", "nv")
+    met = canon.where("u <> v").join(a, "u").join(b, "v").select(F.least("su", "sv").alias("slot"), (F.col("w") * s).alias("ws")).where("ws <> 0")
+    ties = met.groupBy("slot").agg((F.sum("ws") * (2.0 / m2)).alias("x"))
+    sums = own.unionByName(crowd).unionByName(ties).groupBy("slot").agg(F.sum("x").alias("x")).collect()  # at most SLOTS rows
+    out, total = [], 0.0
+    for slot, x in sorted(((r["slot"], r["x"]) for r in sums), reverse=True):
+        total += x
+        out.append((slot, total))
+    return out
+
+
+def applied(assign: DataFrame, moves: DataFrame) -> DataFrame:
+    """``assign`` (with node and comm) after ``moves`` (``node, new``)."""
+    others = [c for c in assign.columns if c != "comm"]
+    return assign.join(moves.select("node", "new"), "node", "left").select(*others, F.coalesce("new", "comm").alias("comm"))
+
+
+def _dealt(movers: DataFrame, turn: int, setting: LouvainSettings) -> DataFrame:
+    """``slot`` for each proposal: half get 0, a quarter 1 and so on, dealt anew each turn."""
+    draw = F.xxhash64(F.col("node"), F.lit(turn), F.lit(setting.seed))
+    part = (F.shiftrightunsigned(draw, 11) + 1) / F.lit(float(1 << 53))
+    return movers.withColumn("slot", F.least(F.lit(SLOTS - 1), F.floor(-F.log2(part))).cast("int"))
+
+
+def distributed_moves(
+    canon: DataFrame,
+    setting: LouvainSettings,
+    weigh: Callable[[DataFrame], DataFrame] | None = None,
+    degree: DataFrame | None = None,
+    trace: list[tuple[int, int, float]] | None = None,
+) -> DataFrame:
+    """``node, comm`` after synchronous rounds, at most ``2 * max_iterations``.
+
+    ``weigh(assign)`` gives ``node, comm, w``, the exact weights by default; with estimated ones the
+    changes are estimates, and the partition of the largest modularity wins.  ``trace`` gets
+    ``(turn, moves, modularity)`` of each round.  Tables of a round go when the next has read them.
+    """
     adj = adjacency(canon)
+    exact = weigh is None
     weigh = weigh or (lambda assign: community_weights(adj, assign))
-    k = cut(degree if degree is not None else degrees(canon), "degrees")
+    state = cut((degree if degree is not None else degrees(canon)).select("node", "k", F.col("node").alias("comm")), "state")
     loops = canon.where("u = v").select(F.col("u").alias("node"), F.col("w").alias("loop"))
-    m2 = k.agg(F.sum("k").alias("s")).first()["s"] or 0.0
-    assign = cut(k.select("node", F.col("node").alias("comm")), "assign")
+    m2 = state.agg(F.sum("k").alias("s")).first()["s"] or 0.0
     if not m2:
-        return assign
+        return state.select("node", "comm")
 
     def quality(a: DataFrame) -> float:
-        return modularity(canon, a, setting.resolution).first()[0] or 0.0
+        return modularity(canon, a.select("node", "comm"), setting.resolution).first()[0] or 0.0
 
-    best, best_q, still = assign, quality(assign), 0
+    q = quality(state)
+    best, best_q, still = state, q, 0
     for turn in range(2 * setting.max_iterations):
-        totals = k.join(assign, "node").groupBy("comm").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"))
-        mine = assign.withColumn("w", F.lit(0.0))
-        weights = weigh(assign).unionByName(mine.select("node", "comm", "w")).groupBy("node", "comm").agg(F.sum("w").alias("w"))
-        found = gains(weights, k, totals, assign, m2, setting, loops)
-        moves = best_moves(found, setting)
-        sizes = totals.select("comm", "members")
-        moves = (
-            moves.join(sizes, "comm")
-            .join(sizes.withColumnsRenamed({"comm": "old", "members": "old_members"}), "old")
-            .where(F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2)
-            .where("members > 1 OR old_members > 1 OR comm < old")
-            .select("node", F.col("comm").alias("new"))
-        )
-        nxt = cut(assign.join(moves, "node", "left").select("node", F.coalesce("new", "comm").alias("comm"), F.col("new").isNotNull().alias("moved")), "assign")
-        moved = nxt.where("moved").count()
-        nxt_assign = nxt.drop("moved")
-        still = still + 1 if not moved else 0
-        if moved:
-            q = quality(nxt_assign)
-            if q > best_q:
-                best, best_q = nxt_assign, q
-            elif turn > 4 and q < best_q - 0.05:
-                break
-        assign = nxt_assign
-        if still == 2:
+        found = proposals(state, weigh(state.select("node", "comm")), m2, setting, loops)
+        dealt = cut(_dealt(found, turn, setting), "movers")
+        movers = _within_size(dealt, state, setting.max_community_size) if setting.max_community_size else dealt
+        gained = joint_gains(canon, movers, m2, setting.resolution)
+        slot, gain = max(gained, key=lambda x: x[1], default=(0, 0.0))
+        if not gained or gain <= 0:
+            release(dealt)
+            still = STILL if not gained else still + 1
+        else:
+            chosen = movers.where(F.col("slot") >= slot)
+            nxt = cut(applied(state, chosen), "state")
+            q = q + gain if exact else quality(nxt)
+            if trace is not None:
+                trace.append((turn, chosen.count(), q))
+            still = still + 1 if gain <= setting.min_gain else 0
+            release(dealt, *([state] if state is not best else []))
+            if q > best_q or exact:
+                if best is not state:
+                    release(best)
+                best, best_q = nxt, q
+            state = nxt
+        if still >= STILL:
             break
-    return cut(relabelled(best), "moved")
+    out = cut(relabelled(best.select("node", "comm")), "moved")
+    release(best, *([state] if state is not best else []))
+    return out
+
+
+def _within_size(movers: DataFrame, state: DataFrame, most: int) -> DataFrame:
+    """Of the joiners of each community those for which there is room, whoever leaves."""
+    size = state.groupBy(F.col("comm").alias("new")).agg(F.count(F.lit(1)).alias("members"))
+    place = F.row_number().over(W.partitionBy("new").orderBy(F.desc("slot"), "node"))
+    return movers.withColumn("place", place).where(F.col("place") <= most).join(size, "new").where(F.col("members") + F.col("place") <= most).drop("place", "members")
 
 
 @dataclass(frozen=True)
@@ -247,12 +347,13 @@ class Hierarchy:
         return self.levels.where(F.col("level") == max(x[0] for x in self.summary)).drop("level")
 
 
-def louvain(edges: DataFrame, setting: LouvainSettings = LouvainSettings(), mode: str = "exact", progress: Callable[[int, int, str], None] | None = None) -> Hierarchy:
+def louvain(edges: DataFrame, setting: LouvainSettings = LouvainSettings(), mode: str | None = None, progress: Callable[[int, int, str], None] | None = None) -> Hierarchy:
     """Cluster ``src, dst, weight`` (or canonical ``u, v, w``) level by level.
 
-    ``mode`` is the caller's choice and never follows the size: ``exact`` refuses a graph of more
+    ``mode`` (by default that of ``setting``) is the caller's choice and never follows the size: ``exact`` refuses a graph of more
     than ``exact_limit`` edges with a ValueError, ``distributed`` takes any.
     """
+    mode = mode or setting.mode
     if mode not in ("exact", "distributed"):
         raise ValueError(f"unknown mode {mode!r}")
     base = cut(edges if {"u", "v", "w"} <= set(edges.columns) else canonical(edges), "canon")

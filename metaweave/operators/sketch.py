@@ -121,14 +121,25 @@ def _estimate(node_layers: Column, comm_layers: Column, members: Column, k: int,
     return A.intersection_size(A.cardinality(node_layers, k, space), members.cast("double"), A.cardinality(union, k, space))
 
 
-def community_weights(sketches: DataFrame, own: DataFrame, assign: DataFrame, k: int, nk: int = 1, space: int = A.MAX_HASH) -> DataFrame:
-    """``node, comm, w``: full nodes by inclusion-exclusion against every community, others exact.
+def met(sketches: DataFrame, own: DataFrame, assign: DataFrame) -> DataFrame:
+    """``node, comm``: the communities of the neighbours that a sketch holds, by an index from
+    hash to owner to community; at most as many a node as its sketch has hashes."""
+    held = sketches.select("node", F.posexplode("layers").alias("layer", "h")).select("node", "layer", F.explode("h").alias("hash"))
+    index = own.join(assign, "node").select("layer", "hash", "comm")
+    return held.join(index, ["layer", "hash"]).select("node", "comm").distinct()
 
-    Full nodes meet every community (a cross join), as the rule of the estimate asks for.
+
+def community_weights(sketches: DataFrame, own: DataFrame, assign: DataFrame, k: int, nk: int = 1, space: int = A.MAX_HASH, every: bool = False) -> DataFrame:
+    """``node, comm, w``: exact for nodes whose sketch isn't full, by inclusion-exclusion for full ones.
+
+    Full nodes get an estimate for each community that they have :func:`met`.  ``every`` asks for
+    all communities instead, nodes x communities: beyond those met the estimate says nothing of
+    edges, it is the member count wherever no hash of a community is below the node's largest.
     """
-    comms = community_sketches(own, assign, k, nk)
-    big = sketches.where(A.full("layers", k)).crossJoin(comms.withColumnRenamed("layers", "c"))
-    estimated = big.select("node", "comm", _estimate(F.col("layers"), F.col("c"), F.col("members"), k, space).alias("w"))
+    comms = community_sketches(own, assign, k, nk).withColumnRenamed("layers", "c")
+    big = sketches.where(A.full("layers", k))
+    pairs = big.crossJoin(comms) if every else big.join(met(big, own, assign), "node").join(comms, "comm")
+    estimated = pairs.select("node", "comm", _estimate(F.col("layers"), F.col("c"), F.col("members"), k, space).alias("w"))
     exact = (
         adjacency(sketches, own, k)
         .join(assign.withColumnRenamed("node", "other"), "other")
@@ -164,10 +175,11 @@ def super_adjacency(adj: DataFrame, assign: DataFrame) -> DataFrame:
     return adj.join(a, "node").join(b, "other").groupBy("u", "v").agg(F.sum(w).alias("w"))
 
 
-def reconstruct(sketches: DataFrame, own: DataFrame, k: int, nk: int = 1, threshold: float = 0.0, space: int = A.MAX_HASH) -> DataFrame:
-    """``src, dst, weight``: all pairs above the threshold for full nodes, exact for others."""
+def reconstruct(sketches: DataFrame, own: DataFrame, k: int, nk: int = 1, threshold: float = 0.0, space: int = A.MAX_HASH, every: bool = False) -> DataFrame:
+    """``src, dst, weight`` above the threshold: for full nodes the estimate to each neighbour that
+    the sketch holds (``every``: to each node, nodes x nodes), exact for others."""
     single = own.select("node", F.col("node").alias("comm")).distinct()
-    w = community_weights(sketches, own, single, k, nk, space)
+    w = community_weights(sketches, own, single, k, nk, space, every)
     targets = sketches.select(F.col("node").alias("comm"))
     return (
         w.join(targets, "comm", "left_semi")

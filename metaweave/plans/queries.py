@@ -423,11 +423,49 @@ def l6_louvain_distributed(spark, sf_dir):
 
 @query()
 def l6_scar_levels(spark, sf_dir):
-    """Sketch clustering of a planted partition of 120 nodes."""
-    e = R.both_directions(R.planted_partition(spark, 120, 4, 0.4, 0.02))
-    nodes = spark.range(120).select("id", F.lit("x").alias("type"))
-    setting = SketchSettings(k=8, nk=2, louvain=LouvainSettings(exclude_self=True, max_iterations=6, max_levels=2))
-    return scar.scar(nodes, e, ["x", "x"], setting).levels
+    """Customers by the nation that they share, on sketches, with the default settings."""
+    nodes, edges = customers_by_nation(spark, sf_dir)
+    return scar.scar(nodes, edges, ["customer", "nation", "customer"], SketchSettings(louvain=LouvainSettings(exclude_self=True))).levels
+
+
+_EXACT = f"""{_GAINS.replace("c.w - k.k * tot.tot / m2 AS gain", "c.w - k.k * (tot.tot - CASE WHEN a.comm = c.comm THEN k.k ELSE 0 END) / m2 AS gain")},
+    own AS (SELECT a.node, a.comm, -k.k * (tot.tot - k.k) / m2 + coalesce((SELECT w FROM c WHERE c.node = a.node AND c.comm = a.comm), 0) AS stay FROM a JOIN k USING (node) JOIN tot USING (comm), m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, comm) AS r FROM g WHERE comm <> old),
+    moves AS (SELECT r.node, r.old, r.comm AS new, (r.gain - own.stay) * 2 / m2 AS delta FROM r JOIN own USING (node), m WHERE r.r = 1 AND r.gain > 1e-6 AND r.gain - own.stay > 1e-12),
+    after AS (SELECT a.node, coalesce(new, comm) AS comm FROM a LEFT JOIN moves USING (node))"""
+
+
+def ties_proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame, float]:
+    canon, assign = ties_and_partition(spark, sf_dir)
+    state = L.degrees(canon).join(assign, "node")
+    m2 = state.agg(F.sum("k").alias("s")).first()["s"] or 1.0
+    return canon, L.proposals(state, L.community_weights(L.adjacency(canon), assign), m2, LouvainSettings(exclude_self=True)), m2
+
+
+@query(f"WITH {_EXACT} SELECT node, old, new, round(delta, 9) AS delta FROM moves")
+def l5_proposals(spark, sf_dir):
+    """The best move of each supplier, with the exact change of modularity."""
+    return ties_proposals(spark, sf_dir)[1].select("node", "old", "new", F.round("delta", 9).alias("delta"))
+
+
+@query(f"WITH {_EXACT} SELECT node, comm FROM after")
+def l7_applied_moves(spark, sf_dir):
+    return L.applied(ties_and_partition(spark, sf_dir)[1], ties_proposals(spark, sf_dir)[1])
+
+
+@query(
+    f"""WITH {_EXACT}, q(when_, x) AS (
+            SELECT 'before', (SELECT sum(CASE WHEN x.comm = y.comm THEN 2 * w ELSE 0 END) FROM t JOIN a x ON x.node = u JOIN a y ON y.node = v) / m2
+                - (SELECT sum(s * s) FROM (SELECT sum(k) AS s FROM k JOIN a USING (node) GROUP BY comm)) / (m2 * m2) FROM m
+            UNION ALL SELECT 'after', (SELECT sum(CASE WHEN x.comm = y.comm THEN 2 * w ELSE 0 END) FROM t JOIN after x ON x.node = u JOIN after y ON y.node = v) / m2
+                - (SELECT sum(s * s) FROM (SELECT sum(k) AS s FROM k JOIN after USING (node) GROUP BY comm)) / (m2 * m2) FROM m)
+        SELECT (SELECT count(*) FROM moves) AS moves, round((SELECT x FROM q WHERE when_ = 'after') - (SELECT x FROM q WHERE when_ = 'before'), 9) AS change"""
+)
+def l6_joint_gain(spark, sf_dir):
+    """The change of modularity if all suppliers make their best move at once, without doing it."""
+    canon, moves, m2 = ties_proposals(spark, sf_dir)
+    (_, change), *_ = L.joint_gains(canon, moves.withColumn("slot", F.lit(0)), m2) or [(0, 0.0)]
+    return moves.agg(F.count(F.lit(1)).alias("moves")).withColumn("change", F.round(F.lit(change), 9))
 
 
 # hierarchies over customers: key mod 20, 10, 5 and nation, region, all
@@ -494,12 +532,17 @@ _SK = f"""{_REACH}, b AS (SELECT node, other, h, row_number() OVER (PARTITION BY
     sk AS (SELECT node, list(h ORDER BY h) AS hs FROM c WHERE j <= {{k}} GROUP BY 1)"""
 
 
-def customer_sketches(spark, sf_dir, k: int):
+def customers_by_nation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers, and nations by negative numbers, with an edge from each customer to its nation."""
     c = T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nodes = c.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("type")).unionAll(
         c.select((-1 - F.col("c_nationkey")).cast("bigint").alias("id"), F.lit("nation").alias("type")).distinct()
     )
-    edges = c.select(F.col("c_custkey").alias("src"), (-1 - F.col("c_nationkey")).cast("bigint").alias("dst"))
+    return nodes, c.select(F.col("c_custkey").alias("src"), (-1 - F.col("c_nationkey")).cast("bigint").alias("dst"))
+
+
+def customer_sketches(spark, sf_dir, k: int):
+    nodes, edges = customers_by_nation(spark, sf_dir)
     return S.sketch_graph(nodes, edges, ["customer", "nation", "customer"], k, 1, A.affine_hash)
 
 
@@ -519,10 +562,11 @@ def b11_cardinalities(spark, sf_dir):
     return found.select("node", F.round(A.cardinality("layers", _K), 6).alias("n"))
 
 
-@query(f"WITH {_SK.format(k=4096, k1=4097)} SELECT sk.node, h.other FROM sk JOIN h ON h.node = sk.node WHERE h.other <> sk.node")
+@query(f"WITH {_REACH}, n AS (SELECT node, count(*) AS n FROM h WHERE other <> node GROUP BY 1) SELECT h.node, h.other FROM h JOIN n ON n.node = h.node WHERE h.other <> h.node AND n < 64")
 def b16_exact_adjacency(spark, sf_dir):
-    found, own = customer_sketches(spark, sf_dir, 4096)
-    return S.adjacency(found, own, 4096)
+    """Only of customers whose sketch of 64 isn't full."""
+    found, own = customer_sketches(spark, sf_dir, 64)
+    return S.adjacency(found, own, 64)
 
 
 @query(f"WITH {_SK.format(k=_K, k1=_K + 1)}, d AS (SELECT CASE WHEN len(hs) >= {_K} THEN ({_K} - 1) * 4294967295.0::DOUBLE / hs[{_K}] ELSE len(hs) END AS d FROM sk) SELECT round(sum(d) / 2, 4) AS total_weight FROM d")
@@ -573,10 +617,27 @@ def b3_merged_pairs(spark, sf_dir):
 def b19_estimated_weights(spark, sf_dir):
     found, _ = customer_sketches(spark, sf_dir, _K)
     own, assign = customer_owners(spark, sf_dir)
-    w = S.community_weights(found.where(A.full("layers", _K)), own, assign, _K)
+    w = S.community_weights(found.where(A.full("layers", _K)), own, assign, _K, every=True)
     return w.select("node", "comm", F.round("w", 4).alias("w"))
 
 
+@query(
+    f"""WITH {_SK.format(k=_K, k1=_K + 1)}, o AS (SELECT c_custkey AS node, c_custkey % 200 AS comm, (c_custkey * 2654435761 + 12345) % 4294967291 AS h FROM customer),
+        r2 AS (SELECT comm, h, row_number() OVER (PARTITION BY comm ORDER BY h) AS i, count(*) OVER (PARTITION BY comm) AS members FROM o),
+        c2 AS (SELECT comm, members, list(h ORDER BY h) AS hc FROM r2 WHERE i <= {_K} GROUP BY 1, 2),
+        n AS (SELECT DISTINCT x.node, o.comm FROM (SELECT node, unnest(hs) AS h FROM sk WHERE len(hs) >= {_K}) x JOIN o ON o.h = x.h),
+        j AS (SELECT node, comm, members, hs, list_sort(list_distinct(list_concat(hs, hc)))[1:{_K}] AS hu FROM n JOIN sk USING (node) JOIN c2 USING (comm)),
+        e AS (SELECT sk.node, o.comm, count(*)::DOUBLE AS w FROM sk JOIN h ON h.node = sk.node AND h.other <> sk.node JOIN o ON o.node = h.other WHERE len(hs) < {_K} GROUP BY 1, 2)
+        SELECT node, comm, round(greatest(0.0, ({_K} - 1) * 4294967295.0::DOUBLE / hs[{_K}] + members - ({_K} - 1) * 4294967295.0::DOUBLE / hu[{_K}]), 4) AS w FROM j
+        UNION ALL SELECT node, comm, w FROM e"""
+)
+def b19_met_weights(spark, sf_dir):
+    """Weights to the communities of the neighbours in the sketches, found by the index of owners."""
+    found, own = customer_sketches(spark, sf_dir, _K)
+    assign = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") % 200).alias("comm"))
+    return S.community_weights(found, own, assign, _K).select("node", "comm", F.round("w", 4).alias("w"))
+
+
 @query(
     f"""WITH {_REACH}, p AS (SELECT h.node % 10 AS a, h.other % 10 AS b, count(*)::DOUBLE AS w FROM h WHERE h.node <> h.other GROUP BY 1, 2),
         q AS (SELECT least(a, b) AS u, greatest(a, b) AS v, max(w) AS w FROM p GROUP BY 1, 2) SELECT u, v, CASE WHEN u = v THEN w / 2 ELSE w END AS w FROM q"""
@@ -599,6 +660,16 @@ def b25_reconstructed_graph(spark, sf_dir):
     return S.reconstruct(found, own, 4096)
 
 
+@query(
+    f"""WITH {_SK.format(k=_K, k1=_K + 1)}, f AS (SELECT node, unnest(hs) AS h FROM sk)
+        SELECT f.node AS src, c_custkey AS dst, 1.0::DOUBLE AS weight FROM f JOIN customer ON (c_custkey * 2654435761 + 12345) % 4294967291 = f.h"""
+)
+def b25_estimated_graph(spark, sf_dir):
+    """Full sketches: each neighbour that a sketch holds, by inclusion-exclusion."""
+    found, own = customer_sketches(spark, sf_dir, _K)
+    return S.reconstruct(found, own, _K).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 # ---------------------------------------------------------------- comparison
 
 _AB = "a AS (SELECT c_custkey AS node, c_custkey % 7 AS comm FROM customer), b AS (SELECT c_custkey AS node, c_nationkey::BIGINT AS comm FROM customer)"

@@ -83,7 +83,7 @@ def _materialised(graph: Graph, path: MetaPath, values: dict, progress: Progress
 
 
 def _sketched(graph: Graph, path: MetaPath, values: dict, progress: Progress | None) -> louvain.Hierarchy:
-    return scar.scar(graph.nodes, graph.edges, list(path.node_types), _checked(SketchSettings, values))
+    return scar.scar(graph.nodes, graph.edges, list(path.node_types), _checked(SketchSettings, values), progress=progress)
 
 
 #: name -> run(graph, path, settings, progress)
