@@ -20,7 +20,7 @@ from metaweave.operators import sketch as S
 from metaweave.operators import validate as V
 from metaweave.sources import generate as R
 from metaweave.sources import tables as T
-from metaweave.streaming import replay
+from metaweave.streaming import replay, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,6 +575,18 @@ def b18_total_weight(spark, sf_dir):
     return S.total_weight(S.degrees(found, own, _K)).select(F.round("total_weight", 4).alias("total_weight"))
 
 
+@query(
+    f"""WITH d AS (SELECT DISTINCT l_suppkey AS node, {_HASH.format("l_partkey")} AS h FROM lineitem),
+        r AS (SELECT node, h, row_number() OVER (PARTITION BY node ORDER BY h) AS i FROM d)
+        SELECT node, array_to_string(list(h ORDER BY h), ',') AS hashes FROM r WHERE i <= {_K} GROUP BY 1"""
+)
+def b14_streamed_sketches(spark, sf_dir):
+    """Sketches of the parts of each supplier, kept over a stream of the lines."""
+    lines = T.table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("node"), F.lit(0).alias("layer"), A.affine_hash("l_partkey").alias("hash"))
+    return sketches.streamed_sketches(spark, rows, _K).select("node", shown("hashes").alias("hashes"))
+
+
 _OWN = "o AS (SELECT c_custkey AS node, c_custkey % 10 AS comm, (c_custkey * 2654435761 + 12345) % 4294967291 AS h FROM customer)"
 
 
@@ -1073,6 +1085,50 @@ def r1_convergence(spark, sf_dir):
     return found.select("step", "communities", *r6("nmi"))
 
 
+_USER_TIES = """nx AS (SELECT node AS a, lead(node) OVER (ORDER BY move) AS b FROM mv), t AS (SELECT least(a, b) AS u, greatest(a, b) AS v, count(*)::DOUBLE AS w FROM nx WHERE b IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT node, sum(w) AS k FROM (SELECT u AS node, w FROM t UNION ALL SELECT v, w FROM t) GROUP BY 1), m AS (SELECT sum(k) AS m2 FROM k)"""
+
+
+def user_ties(moves) -> DataFrame:
+    """``u <= v, w``: users that follow one another in the log."""
+    a = moves.select("move", F.col("node").alias("a"))
+    b = moves.select((F.col("move") - 1).alias("move"), F.col("node").alias("b"))
+    return a.join(b, "move").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+@query(
+    f"""WITH {_MV}, {_USER_TIES},
+        p AS (SELECT node, node AS comm, 0 AS s FROM k UNION ALL SELECT node, to_comm, move FROM mv SEMI JOIN k USING (node)),
+        sp AS (SELECT *, lead(s) OVER (PARTITION BY node ORDER BY s) AS t FROM p),
+        o AS (SELECT greatest(x.s, y.s) AS s, least(x.t, y.t) AS t, w FROM t AS e JOIN sp x ON x.node = e.u JOIN sp y ON y.node = e.v AND y.comm = x.comm
+              WHERE e.u <> e.v AND x.s < coalesce(y.t, 1e15) AND y.s < coalesce(x.t, 1e15)),
+        i AS (SELECT s AS step, 2 * w AS i FROM o UNION ALL SELECT t, -2 * w FROM o WHERE t IS NOT NULL UNION ALL SELECT 0, 2 * w FROM t WHERE u = v),
+        f AS (SELECT comm, step, sum(x) AS x FROM (SELECT comm, s AS step, k AS x FROM sp JOIN k USING (node) UNION ALL SELECT comm, t, -k FROM sp JOIN k USING (node) WHERE t IS NOT NULL) GROUP BY 1, 2),
+        g AS (SELECT step, x, sum(x) OVER (PARTITION BY comm ORDER BY step) AS tot FROM f),
+        c AS (SELECT step, i, 0.0 AS q FROM i UNION ALL SELECT step, 0.0, tot * tot - (tot - x) * (tot - x) FROM g UNION ALL SELECT move, 0.0, 0.0 FROM mv),
+        s AS (SELECT step, sum(i) AS i, sum(q) AS q FROM c GROUP BY 1)
+        SELECT step::BIGINT AS step, round(sum(i) OVER (ORDER BY step) / m2 - sum(q) OVER (ORDER BY step) / (m2 * m2), 8) AS modularity FROM s, m"""
+)
+def r2_modularity_of_every_move(spark, sf_dir):
+    """After each event of the log, in one pass."""
+    moves, _ = event_moves(spark, sf_dir)
+    return replay.modularity_every(moves, user_ties(moves)).select("step", F.round("modularity", 8).alias("modularity"))
+
+
+@query(
+    f"""WITH {_MV}, {_USER_TIES}, c AS (SELECT count(*) AS n FROM mv), s AS (SELECT unnest([n // 4, n // 2, n])::INT AS step FROM c),
+        l AS (SELECT step, node, max_by(to_comm, move) AS comm FROM s JOIN mv ON move <= step GROUP BY 1, 2),
+        st AS (SELECT step, node, k, coalesce(comm, node) AS comm FROM k CROSS JOIN s LEFT JOIN l USING (step, node)),
+        i AS (SELECT x.step, sum(CASE WHEN x.comm = y.comm THEN 2 * w ELSE 0 END) AS i FROM t JOIN st x ON x.node = u JOIN st y ON y.node = v AND y.step = x.step GROUP BY 1),
+        q AS (SELECT step, sum(s * s) AS q FROM (SELECT step, comm, sum(k) AS s FROM st GROUP BY 1, 2) GROUP BY 1)
+        SELECT step, round(i / m2 - q / (m2 * m2), 8) AS modularity FROM i JOIN q USING (step), m"""
+)
+def r2_modularity_of_some_steps(spark, sf_dir):
+    """The same by the whole state after a quarter, a half and all of the log."""
+    moves, _ = event_moves(spark, sf_dir)
+    return replay.modularity_steps(moves, user_ties(moves), log_steps(moves)).select("step", F.round("modularity", 8).alias("modularity"))
+
+
 @query()
 def g1_pagerank(spark, sf_dir):
     ties = T.supplier_ties(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))
