@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaweave.functions import arrays as A
+from metaweave.operators import ordered as O
+from metaweave.operators.ranks import at_places, interpolated
+from metaweave.plans.scratch import cut
 
 # ---------------------------------------------------------------- count-min
 
@@ -56,11 +59,25 @@ def cms_edges_merged(edges: DataFrame, a: DataFrame, b: DataFrame, depth: int, w
 
 
 def cms_edges_single(edges: DataFrame, a: DataFrame, b: DataFrame, depth: int, width: int, buckets=cms_buckets) -> DataFrame:
-    """``a, b, estimate``: every node of a asked for every node of b."""
-    sketches = cms_build(edges, depth, width, buckets)
-    asked = a.select(F.col("set").alias("a"), "node").crossJoin(b.select(F.col("set").alias("b"), F.col("node").alias("item")))
-    found = cms_lookup(sketches, asked.select("node", "item").distinct(), depth, width, "node", buckets)
-    return asked.join(found, ["node", "item"]).groupBy("a", "b").agg(F.sum("estimate").alias("estimate"))
+    """``a, b, estimate``: every node of a asked for every node of b.
+
+    Items with the same bucket in every row are asked once for all.  A node meets, row by row,
+    only the items whose counters so far are not zero; the rest adds nothing.
+    """
+    sketches = cms_build(edges, depth, width, buckets).join(a.select("node").distinct(), "node", "left_semi")
+    at = b.select(F.col("set").alias("b"), F.col("node").alias("item"))
+    places = at.select("item").distinct().select("item", F.explode(buckets("item", depth, width)).alias("p")).select("item", "p.row", "p.bucket")
+    vectors = places.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "bucket"))), lambda x: x["bucket"]).alias("vector"))
+    asked = at.join(vectors, "item").groupBy("b", "vector").agg(F.count(F.lit(1)).alias("many"))
+    met = asked.select("vector").distinct()
+    for row in range(depth):
+        counter = sketches.where(F.col("row") == row).select("node", F.col("bucket").alias("_bucket"), F.col("n").alias("_n"))
+        met = met.withColumn("_bucket", F.get("vector", F.lit(row)))
+        met = met.join(counter, ["_bucket"] if row == 0 else ["node", "_bucket"])
+        met = met.select("vector", "node", F.col("_n").alias("least") if row == 0 else F.least("least", "_n").alias("least"))
+    found = met.join(asked, "vector").join(a.select(F.col("set").alias("a"), "node"), "node").groupBy("a", "b").agg(F.sum(F.col("least") * F.col("many")).alias("estimate"))
+    pairs = a.select(F.col("set").alias("a")).distinct().crossJoin(b.select(F.col("set").alias("b")).distinct())  # the sets are the question
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("estimate", F.lit(0)).alias("estimate"))
 
 
 # ---------------------------------------------------------------- bottom-k
@@ -166,19 +183,19 @@ def degree_errors(found: DataFrame) -> DataFrame:
 
 def place_median(df: DataFrame, value: str) -> DataFrame:
     """The value at place floor(n / 2) of the sorted rows."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    counted = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    placed = counted.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).crossJoin(F.broadcast(n))
-    return placed.where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("median"))
+    held = cut(df.select(value), "values")
+    found = at_places(held, value, [held.where(F.col(value).isNotNull()).count() // 2])
+    kind = dict(held.dtypes)[value]
+    return held.agg(F.lit(next(iter(found.values()), None)).cast(kind).alias("median"))
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """mean, population deviation, extremes and interpolated percentiles."""
-    p = lambda q, name: F.percentile(value, F.lit(q)).alias(name)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
-        p(0.25, "p25"), p(0.5, "p50"), p(0.75, "p75"), p(0.9, "p90"), p(0.95, "p95"), p(0.99, "p99"),
-    )
+    held = cut(df.select(value), "values")
+    names = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = dict(zip(names, interpolated(held, value, list(names.values()))))
+    basic = held.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return basic.select("*", *[F.lit(x).cast("double").alias(n) for n, x in found.items()])
 
 
 def best_k(found: DataFrame) -> DataFrame:
@@ -188,8 +205,10 @@ def best_k(found: DataFrame) -> DataFrame:
 
 def moments(df: DataFrame, value: str) -> DataFrame:
     """mean, true median, population deviation, skewness, excess kurtosis."""
-    return df.agg(
-        F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"),
+    held = cut(df.select(value), "values")
+    (median,) = interpolated(held, value, [0.5])
+    return held.agg(
+        F.avg(value).alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_pop(value).alias("std"),
         F.coalesce(F.skewness(value), F.lit(0.0)).alias("skewness"), F.coalesce(F.kurtosis(value), F.lit(0.0)).alias("kurtosis"),
     )
 
@@ -200,13 +219,13 @@ def distances(both: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     For the first three each side is shifted by its minimum plus 1e-10 and normalised.
     """
     keys = list(by)
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    shift = lambda c: F.col(c) - F.min(c).over(whole) + 1e-10
-    rows = both.withColumn("sa", shift("a")).withColumn("sb", shift("b"))
-    rows = rows.withColumn("p", F.col("sa") / F.sum("sa").over(whole)).withColumn("q", F.col("sb") / F.sum("sb").over(whole))
+    held = cut(both.select(*keys, "idx", "a", "b"), "aligned")
+    few = held.groupBy(*keys).agg(F.min("a").alias("la"), F.min("b").alias("lb"), F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.count(F.lit(1)).alias("n"))
+    rows = held.join(few, keys) if keys else held.crossJoin(F.broadcast(few))  # one row
+    side = lambda x, low, total: (F.col(x) - F.col(low) + 1e-10) / (F.col(total) - F.col("n") * (F.col(low) - 1e-10))
+    rows = rows.select(*keys, "idx", "a", "b", side("a", "la", "ta").alias("p"), side("b", "lb", "tb").alias("q"))
     m = (F.col("p") + F.col("q")) / 2
-    run = whole.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("cdf", F.abs(F.sum("p").over(run) - F.sum("q").over(run)))
+    rows = O.running_sums(rows, keys, "idx", {"pp": "p", "qq": "q"}).withColumn("cdf", F.abs(F.col("pp") - F.col("qq")))
     kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("q")))
     js = (F.sum(F.col("p") * F.log(F.col("p") / m)) + F.sum(F.col("q") * F.log(F.col("q") / m))) / 2
     norm = F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))
@@ -227,7 +246,8 @@ def over_samples(found: DataFrame, keys: list[str], value: str) -> DataFrame:
 def trend(series: DataFrame, order: str, value: str) -> DataFrame:
     """Second half against first half, with a band of 0.01."""
     n = series.agg(F.count(F.lit(1)).alias("n"))
-    placed = series.withColumn("i", F.row_number().over(W.orderBy(order)) - 1).crossJoin(F.broadcast(n))  # one row a step of a run
+    numbered = O.running_sums(series.select(order, value, F.lit(1).alias("_one")), [], order, {"_i": "_one"})
+    placed = numbered.withColumn("i", F.col("_i") - 1).crossJoin(F.broadcast(n))  # one row
     early = F.avg(F.when(F.col("i") < F.floor(F.col("n") / 2), F.col(value)))
     late = F.avg(F.when(F.col("i") >= F.floor(F.col("n") / 2), F.col(value)))
     s = placed.agg(early.alias("early"), late.alias("late"))

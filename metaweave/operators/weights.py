@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaweave.model import Aggregation
+from metaweave.operators.ranks import at_places
+from metaweave.plans.scratch import cut
 
 
 def strengths(edges: DataFrame) -> DataFrame:
@@ -67,17 +70,11 @@ def valid_weight(name: str = "weight"):
 def statistics(edges: DataFrame, points=(0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row: count, sum, mean, min, max, population variance and deviation, percentiles.
 
-    A percentile is the value at place floor(p * n) of the sorted weights.  Equal weights are
-    counted first, so only distinct values are ranked.
+    A percentile is the value at place floor(p * n) of the sorted weights, found by refining
+    histograms; nothing is sorted.
     """
-    counted = edges.groupBy("weight").agg(F.count(F.lit(1)).alias("c"))
-    n = edges.agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("c").over(W.orderBy("weight").rowsBetween(W.unboundedPreceding, 0))
-    placed = counted.withColumn("upto", upto).crossJoin(F.broadcast(n))
-    at = [
-        F.min(F.when(F.col("upto") > F.floor(F.lit(p) * F.col("n")), F.col("weight"))).alias(f"p{round(p * 100)}") for p in points
-    ]
-    basic = edges.agg(
+    held = cut(edges.select(F.col("weight").cast("double").alias("weight")), "weights")
+    basic = held.agg(
         F.count(F.lit(1)).alias("count"),
         F.sum("weight").alias("sum"),
         F.avg("weight").alias("mean"),
@@ -86,7 +83,10 @@ def statistics(edges: DataFrame, points=(0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> D
         F.var_pop("weight").alias("variance"),
         F.stddev_pop("weight").alias("stddev"),
     )
-    return basic.crossJoin(placed.agg(*at))
+    n = held.where("weight is not null").count()
+    at = {f"p{round(p * 100)}": math.floor(p * n) for p in points}
+    found = at_places(held, "weight", at.values())
+    return basic.select("*", *[F.lit(found.get(place)).cast("double").alias(name) for name, place in at.items()])
 
 
 def bucket(name: str = "weight"):
