@@ -11,6 +11,7 @@ from metaweave.functions import arrays as A
 from metaweave.model import Aggregation, Graph, LouvainSettings, MetaPath, SketchSettings, Traversal
 from metaweave.operators import accuracy as X
 from metaweave.operators import compare as C
+from metaweave.operators import degree_study, legacy
 from metaweave.operators import hierarchy as H
 from metaweave.operators import layout as G
 from metaweave.operators import louvain as L
@@ -20,7 +21,7 @@ from metaweave.operators import sketch as S
 from metaweave.operators import validate as V
 from metaweave.sources import generate as R
 from metaweave.sources import tables as T
-from metaweave.streaming import replay, sketches
+from metaweave.streaming import debug, replay, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -682,6 +683,61 @@ def b25_estimated_graph(spark, sf_dir):
     return S.reconstruct(found, own, _K).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
+_SIZE = "CASE WHEN len(hs) >= {k} THEN ({k} - 1) * 4294967295.0::DOUBLE / hs[{k}] ELSE len(hs) END"
+_UNIONS = """o AS (SELECT c_custkey AS node, c_custkey % 200 AS comm, (c_custkey * 2654435761 + 12345) % 4294967291 AS h FROM customer),
+    d AS (SELECT sk.node, comm, hs, {size} AS d FROM sk JOIN o USING (node)),
+    x AS (SELECT DISTINCT comm, unnest(hs) AS h FROM d), y AS (SELECT comm, h, row_number() OVER (PARTITION BY comm ORDER BY h) AS i FROM x),
+    cu AS (SELECT comm, list(h ORDER BY h) AS hu FROM y WHERE i <= {k} GROUP BY 1), ct AS (SELECT comm, sum(d) AS tot FROM d GROUP BY 1)"""
+
+
+def _unions(k: int) -> str:
+    return f"{_SK.format(k=k, k1=k + 1)}, {_UNIONS.format(k=k, size=_SIZE.format(k=k))}"
+
+
+@query(
+    f"""WITH {_unions(64)},
+        n AS (SELECT DISTINCT z.node, o.comm FROM (SELECT node, unnest(hs) AS h FROM sk WHERE len(hs) >= 64) z JOIN o ON o.h = z.h),
+        f AS (SELECT node, comm, d.d, tot, list_sort(list_distinct(list_concat(hs, hu)))[64] AS kth FROM n JOIN (SELECT node, hs, d FROM d) d USING (node) JOIN cu USING (comm) JOIN ct USING (comm) WHERE len(hu) >= 64),
+        a AS (SELECT sk.node, h.other FROM sk JOIN h ON h.node = sk.node AND h.other <> sk.node WHERE len(hs) < 64)
+        SELECT node, comm, round(greatest(0.0, d + tot - 63 * 4294967295.0::DOUBLE / kth), 4) AS w FROM f
+        UNION ALL SELECT a.node, o.comm, count(*)::DOUBLE FROM a JOIN o ON o.node = a.other GROUP BY 1, 2
+        UNION ALL SELECT a.other, o.comm, count(*)::DOUBLE FROM a JOIN o ON o.node = a.node JOIN cu USING (comm) JOIN sk ON sk.node = a.other WHERE len(hu) < 64 AND len(hs) >= 64 GROUP BY 1, 2"""
+)
+def b20_legacy_weights(spark, sf_dir):
+    """Weights to communities by the older rule."""
+    found, own = customer_sketches(spark, sf_dir, 64)
+    assign = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") % 200).alias("comm"))
+    return legacy.community_weights(found, own, assign, 64).select("node", "comm", F.round("w", 4).alias("w"))
+
+
+@query()
+def l13b_legacy_phases(spark, sf_dir):
+    """Customers by nation, in at most three phases that end in one community."""
+    nodes, edges = customers_by_nation(spark, sf_dir)
+    return legacy.phases(nodes, edges, ["customer", "nation", "customer"]).levels
+
+
+@query(
+    f"""WITH {_unions(_K)} SELECT comm, round(tot, 4) AS by_sum, round(CASE WHEN len(hu) >= {_K} THEN ({_K} - 1) * 4294967295.0::DOUBLE / hu[{_K}] ELSE tot END, 4) AS by_union
+        FROM cu JOIN ct USING (comm)"""
+)
+def x12_community_degrees(spark, sf_dir):
+    found, own = customer_sketches(spark, sf_dir, _K)
+    assign = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") % 200).alias("comm"))
+    return degree_study.community_degrees(found, own, assign, _K).select("comm", F.round("by_sum", 4).alias("by_sum"), F.round("by_union", 4).alias("by_union"))
+
+
+@query(
+    f"""WITH {_unions(_K)}, f AS (SELECT sk.node, hs, d, {_K - 1} * 4294967295.0::DOUBLE AS one FROM sk JOIN d USING (node, hs)),
+        w AS (SELECT f.node, d AS by_sketch, d + 1 - one / (CASE WHEN list_contains(hs, o.h) OR o.h > hs[{_K}] THEN hs[{_K}] ELSE greatest(hs[{_K - 1}], o.h) END) AS w FROM f JOIN o ON o.node <> f.node)
+        SELECT node, round(any_value(by_sketch), 4) AS by_sketch, round(sum(CASE WHEN w > 0.1 THEN w ELSE 0 END), 4) AS by_edges FROM w GROUP BY 1"""
+)
+def x13_degrees_by_edges(spark, sf_dir):
+    """Degrees of customers beside the sum of estimated edges to all others."""
+    found, own = customer_sketches(spark, sf_dir, _K)
+    return degree_study.degrees_by_edges(found, own, _K).select("node", F.round("by_sketch", 4).alias("by_sketch"), F.round("by_edges", 4).alias("by_edges"))
+
+
 # ---------------------------------------------------------------- comparison
 
 _AB = "a AS (SELECT c_custkey AS node, c_custkey % 7 AS comm FROM customer), b AS (SELECT c_custkey AS node, c_nationkey::BIGINT AS comm FROM customer)"
@@ -1129,6 +1185,73 @@ def r2_modularity_of_some_steps(spark, sf_dir):
     return replay.modularity_steps(moves, user_ties(moves), log_steps(moves)).select("step", F.round("modularity", 8).alias("modularity"))
 
 
+_KEPT = """tot AS (SELECT step, comm, sum(k) AS tot, count(*) AS members FROM st JOIN k USING (node) GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_STATES}, {_USER_TIES}, {_KEPT}
+        SELECT step, comm, tot AS kept, tot AS counted, members AS members_kept, members AS members_counted, true AS in_step FROM tot"""
+)
+def x23_sync_check(spark, sf_dir):
+    """Totals kept from move to move beside those of states built anew."""
+    moves, _ = event_moves(spark, sf_dir)
+    return debug.sync_check(moves, user_ties(moves), log_steps(moves))
+
+
+@query(
+    f"""WITH {_STATES}, z AS (SELECT step, comm, count(*) AS n FROM st GROUP BY 1, 2),
+        g AS (SELECT step, count(*) AS communities, sum(n)::BIGINT AS nodes, min(n) AS smallest, max(n) AS largest, avg(n) AS mean_size,
+              count(*) FILTER (n <= 2) AS very_small, count(*) FILTER (n BETWEEN 3 AND 10) AS small, count(*) FILTER (n BETWEEN 11 AND 50) AS medium, count(*) FILTER (n > 50) AS large FROM z GROUP BY 1)
+        SELECT step, communities, nodes, smallest, largest, round(mean_size, 6) AS mean_size, very_small, small, medium, large,
+               very_small > communities // 4 AS fragmented, largest > nodes // 4 AS giant, communities > nodes // 2 AS fine_grained FROM g"""
+)
+def x23_health(spark, sf_dir):
+    moves, nodes = event_moves(spark, sf_dir)
+    return debug.health(replay.states(moves, nodes, log_steps(moves))).withColumn("mean_size", F.round("mean_size", 6))
+
+
+def _move_gains(ties: str, name: str) -> str:
+    """Common table expressions of the gains of all moves over the edges ``ties``."""
+    return f"""{name}k AS (SELECT node, sum(w) AS k FROM (SELECT u AS node, w FROM {ties} UNION ALL SELECT v, w FROM {ties}) GROUP BY 1), {name}m AS (SELECT sum(k) AS m2 FROM {name}k),
+        {name}p AS (SELECT node, node AS comm, 0 AS s FROM {name}k UNION ALL SELECT node, to_comm, move FROM mv SEMI JOIN {name}k USING (node)),
+        {name}s AS (SELECT *, lead(s) OVER (PARTITION BY node ORDER BY s) AS t FROM {name}p),
+        {name}a AS (SELECT u AS node, v AS other, w FROM {ties} WHERE u <> v UNION ALL SELECT v, u, w FROM {ties} WHERE u <> v),
+        {name}w AS (SELECT move, sum(w) AS w FROM mv JOIN {name}a USING (node) JOIN {name}s x ON x.node = other AND x.comm = to_comm AND x.s < move AND (x.t IS NULL OR x.t >= move) GROUP BY 1),
+        {name}f AS (SELECT comm, 2 * s AS pos, k FROM {name}s JOIN {name}k USING (node) UNION ALL SELECT comm, 2 * t, -k FROM {name}s JOIN {name}k USING (node) WHERE t IS NOT NULL
+                    UNION ALL SELECT to_comm, 2 * move - 1, 0 FROM mv SEMI JOIN {name}k USING (node)),
+        {name}t AS (SELECT comm, pos, sum(sum(k)) OVER (PARTITION BY comm ORDER BY pos) AS tot FROM {name}f GROUP BY 1, 2),
+        {name}g AS (SELECT mv.move, mv.node, to_comm AS comm, coalesce(w, 0) AS w, k, tot, coalesce(w, 0) - k * tot / m2 AS gain
+                    FROM mv JOIN {name}k USING (node) JOIN {name}t ON {name}t.comm = to_comm AND pos = 2 * mv.move - 1 LEFT JOIN {name}w ON {name}w.move = mv.move, {name}m)"""
+
+
+@query(f"WITH {_MV}, {_USER_TIES}, {_move_gains('t', 'e')} SELECT move::BIGINT AS step, node, comm, w, k, tot, round(gain, 6) AS gain FROM eg")
+def x23_move_gains(spark, sf_dir):
+    """What each move of the log gains just before it is made."""
+    moves, _ = event_moves(spark, sf_dir)
+    return debug.move_gains(moves, user_ties(moves)).withColumn("gain", F.round("gain", 6))
+
+
+@query(
+    f"""WITH {_MV}, {_USER_TIES}, ends AS (SELECT DISTINCT u AS node, v AS other FROM t WHERE u <> v UNION SELECT v, u FROM t WHERE u <> v),
+        held AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY {_HASH.format("other")}) AS i FROM ends),
+        ts AS (SELECT DISTINCT least(node, other) AS u, greatest(node, other) AS v, 1.0::DOUBLE AS w FROM held WHERE i <= {_K}),
+        {_move_gains('t', 'e')}, {_move_gains('ts', 'h')}
+        SELECT e.move::BIGINT AS step, e.node, e.comm, e.w AS w_exact, e.k AS k_exact, round(e.gain, 6) AS gain_exact, h.w AS w_sketched, h.k AS k_sketched, round(h.gain, 6) AS gain_sketched
+        FROM eg e JOIN hg h USING (move)"""
+)
+def x23_gain_differences(spark, sf_dir):
+    """The same moves on the graph of the neighbours that users' sketches hold."""
+    moves, _ = event_moves(spark, sf_dir)
+    ties = user_ties(moves)
+    edges = ties.where("u <> v").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    held = S.packed(S.smallest(both.select(F.col("src").alias("node"), F.lit(0).alias("layer"), A.affine_hash("dst").alias("hash")), _K))
+    own = both.select(F.col("src").alias("node")).distinct().select("node", F.lit(0).alias("layer"), A.affine_hash("node").alias("hash"))
+    sketched = L.canonical(S.reconstruct(S.wide(held, 1), own, _K)).withColumn("w", F.round("w", 6))
+    found = debug.gain_differences(debug.move_gains(moves, ties), debug.move_gains(moves, sketched))
+    return found.select("step", "node", "comm", "w_exact", "k_exact", F.round("gain_exact", 6).alias("gain_exact"), "w_sketched", "k_sketched", F.round("gain_sketched", 6).alias("gain_sketched"))
+
+
 @query()
 def g1_pagerank(spark, sf_dir):
     ties = T.supplier_ties(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"))
@@ -1140,10 +1263,41 @@ def g6_scaled_positions(spark, sf_dir):
     return G.fit_square(supplier_layouts(spark, sf_dir)[0]).select("id", *r6("x", "y"))
 
 
+_STRONGEST = f"""{_TIES}, b AS (SELECT node, min_by(other, (-w, other)) AS other FROM adj GROUP BY 1), e AS (SELECT node AS a, other AS b FROM b UNION SELECT other, node FROM b)"""
+
+
+def strongest_ties(spark, sf_dir) -> DataFrame:
+    """Each supplier with the one it shares most parts with."""
+    adj = L.adjacency(T.supplier_ties(spark, sf_dir))
+    best = F.min(F.struct((-F.col("w")).alias("less"), "other")).alias("b")
+    return adj.groupBy(F.col("node").alias("src")).agg(best).select("src", F.col("b.other").alias("dst"))
+
+
+@query(
+    f"""WITH RECURSIVE {_STRONGEST}, r(src, dst, hops) AS (SELECT DISTINCT a, a, 0 FROM e UNION SELECT r.src, e.b, hops + 1 FROM r JOIN e ON e.a = r.dst WHERE hops < 40),
+        n AS (SELECT DISTINCT a FROM e), s AS (SELECT src, dst, min(hops) AS hops FROM r GROUP BY 1, 2)
+        SELECT x.a AS src, y.a AS dst, coalesce(hops, 10) AS hops FROM n x CROSS JOIN n y LEFT JOIN s ON s.src = x.a AND s.dst = y.a"""
+)
+def g3_hop_distances(spark, sf_dir):
+    """Between suppliers along strongest ties."""
+    return G.hop_distances(strongest_ties(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {_STRONGEST}, d AS (SELECT a AS id, count(*) AS d FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM d),
+        r(i, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / n FROM d, c
+            UNION ALL SELECT i + 1, e.b, any_value(0.15 / n) + 0.85 * sum(rank / d) FROM r JOIN e ON e.a = r.id JOIN d ON d.id = r.id, c WHERE i < 15 GROUP BY i, e.b)
+        SELECT id, round(rank, 9) AS rank FROM r WHERE i = 15"""
+)
+def g1_pagerank_rounds(spark, sf_dir):
+    """Fifteen rounds along strongest ties."""
+    return G.pagerank(strongest_ties(spark, sf_dir), tolerance=-1.0, rounds=15).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query()
 def g7_coordinates(spark, sf_dir):
-    edges = R.planted_partition(spark, 60, 3, 0.5, 0.05)
-    return G.coordinates(edges)
+    """Suppliers drawn by their strongest ties."""
+    return G.coordinates(strongest_ties(spark, sf_dir))
 
 
 _CL = "n AS (SELECT s_suppkey AS node FROM supplier WHERE s_nationkey = 3)"
