@@ -14,9 +14,9 @@ A query finds the shard by its key, the context by successor search, its childre
 the pointers, and the child by successor search between them.
 
 Smoothing is interpolated absolute discounting down to the add-half unigram:
-``p(w|ctx) = max(c - D, 0) / c(ctx) + backoff(ctx) * p(w|shorter ctx)``; n-grams seen once
-are pruned above level 1 and their mass goes to the back-off weight, so each context still
-sums to one.  Counting is over all training documents and all their tokens.
+``p(w|ctx) = max(c - D, 0) / c(ctx) + backoff(ctx) * p(w|shorter ctx)``, with D from the
+n-grams seen once and twice.  Every n-gram is kept, those seen once too.  Counting is over all
+training documents and all their tokens.
 
 Tokens: A-Z become lower case, words are ``[^\\x20\\x09-\\x0D]+``, then one end per text.
 Documents whose crc32(doc_id as text) mod ``folds`` equals ``held`` don't train.
@@ -47,7 +47,6 @@ from metaweave.llm.common import fold, kept, raw_texts, slices
 from metaweave.plans.scratch import cut, release, scratch_path
 
 ORDER = 3
-LEAST = 2
 SHARD_NODES = 2_000_000
 #: Steps of the probability grid, from 10**-FLOOR to 1.
 GRID, FLOOR = 4095, 10.0
@@ -234,6 +233,8 @@ class Shard:
     last_context: int
     nodes: int
     offset: int = 0
+    #: back-off weights of contexts that go on in another shard
+    edges: dict[int, float] = field(default_factory=dict)
     opened: dict = field(default_factory=dict, repr=False, compare=False)
 
     def open(self) -> dict:
@@ -308,6 +309,8 @@ class Trie:
             last[has] = s["pointers"].access(rank[has] + 1).astype(np.int64)
             weight = np.ones(len(heads))
             weight[has] = restore(s["back"][rank[has]])
+            for edge, value in shard.edges.items():
+                weight[heads == _U(edge)] = value
             live = np.flatnonzero(has[head_of] & (tok < _U(int(s["width"][0]))))
             x = rank[head_of[live]].astype(_U) * _U(int(s["width"][0])) + tok[live]
             at = s["children"].find(x, first[head_of[live]], last[head_of[live]])
@@ -393,8 +396,8 @@ def _blocks(keys: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
     )
 
 
-def sum_blocks(blocks: DataFrame, parts: int, least: int = 1) -> DataFrame:
-    """``key, n`` of all keys with ``n >= least``; a row ``-1, how many`` a task for those without.
+def sum_blocks(blocks: DataFrame, parts: int) -> DataFrame:
+    """``key, n`` of all keys.
 
     A part holds about ``PART_KEYS`` keys, all of which its task has in hand.
     """
@@ -405,11 +408,6 @@ def sum_blocks(blocks: DataFrame, parts: int, least: int = 1) -> DataFrame:
             return
         keys, n = _merged(held)
         held.clear()
-        often = n >= least
-        once = len(n) - int(often.sum())
-        keys, n = keys[often], n[often]
-        if once:
-            keys, n = np.append(keys, -1), np.append(n, once)
         for a in range(0, len(keys), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 17)]), pa.array(n[a : a + (1 << 17)])], names=["key", "n"])
 
@@ -474,28 +472,26 @@ def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterat
 
 
 def _count_level(rows: DataFrame, trie: Trie, level: int, parts: int) -> DataFrame:
-    """Counts of (context node << 32 | token) whose parts were all seen ``LEAST`` times."""
+    """Counts of (context node << 32 | token)."""
     shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, ids, starts in _id_slices(batches):
-            known = np.where(trie_counts(trie, ids) >= LEAST, ids, -1)
-            node, before = known, before_each(known, starts)
+            before = before_each(ids, starts)
             for shorter in range(2, level):
-                node = trie.look(shorter, before, known)[0]
-                before = before_each(node, starts)
-            live = (before >= 0) & (node >= 0)
+                before = before_each(trie.look(shorter, before, ids)[0], starts)
+            live = before >= 0
             if live.any():
-                held.append(np.unique((before[live] << 32) | known[live], return_counts=True))
+                held.append(np.unique((before[live] << 32) | ids[live], return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_KEYS:
                 yield _blocks(*_merged(held), parts)
                 held.clear()
         if held:
             yield _blocks(*_merged(held), parts)
 
-    return sum_blocks(rows.where("train").select("ids").mapInArrow(run, _BLOCKS), parts, LEAST)
+    return sum_blocks(rows.where("train").select("ids").mapInArrow(run, _BLOCKS), parts)
 
 
 def trie_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
@@ -515,7 +511,6 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(trie)
     parts = max(1, -(-nodes // SHARD_NODES))
-    columns = ["key", "n"] if level == 1 else ["key", "n", "of_context", "children"]
     target = _uri(out_dir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,6 +520,7 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
         table = pa.Table.from_batches(held)
         key, n = table["key"].to_numpy(), table["n"].to_numpy()
         sections: dict[str, np.ndarray] = {}
+        edges: list[list[int]] = []
 
         def add(name: str, values: np.ndarray, universe: int) -> None:
             sections.update({f"{name}.{k}": v for k, v in ef_build(values, universe).items()})
@@ -539,10 +535,12 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
             rank = np.repeat(np.arange(len(heads)), np.diff(np.append(begin, len(key))))
             width = int(token.max()) + 1
             total = shared.value.counts(level - 1, heads).astype(np.float64)
-            kept, children = table["of_context"].to_numpy()[begin], table["children"].to_numpy()[begin]
+            kept, children = np.add.reduceat(n, begin), np.diff(np.append(begin, len(key)))
+            ends = [0, -1] if len(heads) > 1 else [0]
+            edges = [[int(x[i]) for x in (heads, kept, children, total)] for i in ends]
             sections["width"] = np.array([width], np.int64)
             sections["prob"] = quantise((n - discount) / total[rank])
-            sections["back"] = quantise(np.clip(1 - (kept - discount * children) / total, 1e-9, 1))
+            sections["back"] = quantise(left_over(kept, children, total, discount))
             add("contexts", heads, int(heads[-1]) + 1)
             add("pointers", np.append(begin, len(key)), len(key) + 1)
             add("children", rank.astype(_U) * _U(width) + token.astype(_U), len(heads) * width)
@@ -556,11 +554,11 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
         with store.open_output_stream(attempt, compression=None) as f:
             f.write(raw)
         store.move(attempt, f"{base}/{name}")
-        row = {"name": [name], "directory": [directory], "first": [str(first)], "last": [str(last)], "nodes": [len(key)]}
+        row = {"name": [name], "directory": [directory], "first": [str(first)], "last": [str(last)], "nodes": [len(key)], "edges": [json.dumps(edges)]}
         yield pa.RecordBatch.from_pydict(row)
 
-    ranged = rows.select(*columns).repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = ranged.mapInArrow(run, "name string, directory string, first string, last string, nodes bigint").collect()
+    ranged = rows.select("key", "n").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    found = ranged.mapInArrow(run, "name string, directory string, first string, last string, nodes bigint, edges string").collect()
     shards = sorted((Shard(level, f"{target}/{r['name']}", r["directory"], int(r["first"]), int(r["last"]), r["nodes"]) for r in found), key=lambda s: s.first)
     at = 0
     for before, s in zip([None, *shards], shards):
@@ -568,9 +566,33 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
         at += s.nodes
         if level > 1 and (before is None or before.last_context != s.first >> 32):
             s.first = s.first >> 32 << 32  # the context starts here
+    _share_edges(shards, {f"{target}/{r['name']}": json.loads(r["edges"]) for r in found}, discount)
     return shards
 
 
+def left_over(kept, children, total, discount: float):
+    """Of a context's mass, what its children leave to shorter contexts."""
+    return np.clip(1 - (kept - discount * children) / total, 1e-9, 1)
+
+
+def _share_edges(shards: list[Shard], edges: dict[str, list[list[int]]], discount: float) -> None:
+    """Back-off weights of the contexts whose children lie in more than one shard.
+
+    A shard knows its own children only; the first and last context of each shard, two rows a
+    file, are added up here.
+    """
+    sums: dict[int, list[int]] = {}
+    for s in shards:
+        for context, kept, children, total in edges[s.path]:
+            had = sums.setdefault(context, [0, 0, total, 0])
+            sums[context] = [had[0] + kept, had[1] + children, total, had[3] + 1]
+    for s in shards:
+        for context, *_ in edges[s.path]:
+            kept, children, total, many = sums[context]
+            if many > 1:
+                s.edges[context] = float(restore(quantise(left_over(kept, children, float(total), discount))))
+
+
 @dataclass
 class Trained:
     trie: Trie
@@ -599,21 +621,14 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
     nodes = trie.distinct
     for level in range(2, order + 1) if trie.tokens else ():
         grams = cut(_count_level(rows, trie, level, 1 + trie.tokens // PART_KEYS), "grams")
-        kept = grams.where("key >= 0")
-        seen = grams.agg(
-            F.sum(F.when(F.col("key") < 0, F.col("n"))).alias("once"),
-            F.sum(((F.col("key") >= 0) & (F.col("n") == 2)).cast("bigint")).alias("twice"),
-            F.sum((F.col("key") >= 0).cast("bigint")).alias("kept"),
-        ).first()
+        seen = grams.agg(*[F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in (1, 2)], F.count(F.lit(1)).alias("nodes")).first()
         once, twice, nodes = (x or 0 for x in seen)
         if not nodes:
             break
         if nodes >= 1 << 31:
             raise OverflowError(f"level {level} has {nodes} nodes")
         discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-        context = F.shiftright("key", 32)
-        sums = kept.groupBy(context.alias("context")).agg(F.sum("n").alias("of_context"), F.count(F.lit(1)).alias("children"))
-        trie.levels.append(_write_shards(kept.withColumn("context", context).join(sums, "context"), level, trie, discount, nodes, out_dir))
+        trie.levels.append(_write_shards(grams, level, trie, discount, nodes, out_dir))
         release(grams)
     return Trained(trie, rows)
 
@@ -622,7 +637,7 @@ def log_probabilities(trie: Trie, ids: np.ndarray, starts: np.ndarray) -> tuple[
     """Counts of the tokens, and log10 of the unigram's and of the whole model's probability."""
     c = trie_counts(trie, ids) if trie.levels else np.zeros(len(ids), np.int64)
     p = unigram = (c + 0.5) / (trie.tokens + 0.5 * (trie.distinct + 1))
-    node = token = np.where(c >= LEAST, ids, -1)  # others are in no longer n-gram
+    node = token = ids
     for level in range(2, len(trie.levels) + 1):
         node, prob, back = trie.look(level, before_each(node, starts), token)
         p = prob + back * p

@@ -387,12 +387,9 @@ def plain_model(texts, order):
     total, distinct = sum(counts[0].values()), len(counts[0])
     kept, discounts = [counts[0]], [0.0]
     for n in range(2, order + 1):
-        ok = {g: c for g, c in counts[n - 1].items() if all(counts[0][x,] >= 2 for x in g)}
-        if n > 2:
-            ok = {g: c for g, c in ok.items() if g[:-1] in kept[n - 2] and g[1:] in kept[n - 2]}
-        once, twice = sum(c == 1 for c in ok.values()), sum(c == 2 for c in ok.values())
+        once, twice = (sum(c == k for c in counts[n - 1].values()) for k in (1, 2))
         discounts.append(min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5)
-        kept.append({g: c for g, c in ok.items() if c >= 2})
+        kept.append(counts[n - 1])
 
     def p(w, context):
         if not context:
@@ -428,6 +425,21 @@ def test_model_against_counts(spark, monkeypatch, shard):
         assert abs(got[i].score - score(t)) < 0.003 * got[i].n_tokens + 1e-3
 
 
+def test_a_twin_seen_once_raises_the_score(spark):
+    ids = range(200)
+    held = next(i for i in ids if zlib.crc32(str(i).encode()) % 5 == 1)
+    seen = next(i for i in ids if zlib.crc32(str(i).encode()) % 5 == 0)
+    texts = [" ".join(words(50, i, 500)) for i in ids]
+    alone = {r.doc_id: r.score for r in ngram.train_and_score(make(spark, texts)).collect()}
+    texts[seen] = texts[held]
+    twin = {r.doc_id: r.score for r in ngram.train_and_score(make(spark, texts)).collect()}
+    assert twin[held] > alone[held] + 50 * 1.0
+
+
+def test_model_of_an_empty_table(spark):
+    assert ngram.train_and_score(make(spark, ["a"]).limit(0)).collect() == []
+
+
 def test_model_without_training(spark):
     docs = make(spark, ["a b", None], ids=[i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:2])
     assert {(r.held_out, r.train_tokens, r.base_score, r.score) for r in ngram.train_and_score(docs).collect()} == {(True, 0, 0.0, 0.0)}
