@@ -47,21 +47,21 @@ _EDGES = f"WITH {_P} SELECT 'S:' || s AS src, 'P:' || p AS dst, w AS weight FROM
 
 @query(_EDGES)
 def s1_k2_edge_list(spark, sf_dir):
-    path = scratch_path(spark, "edges") + ".txt"
+    path = scratch_path(spark, "edges.txt")
     sinks.write(homogeneous(spark, sf_dir), path)
     return text.read_edges(spark, path)
 
 
 @query(_EDGES)
 def s10_k3_plain_edge_list(spark, sf_dir):
-    path = scratch_path(spark, "edges") + ".edgelist"
+    path = scratch_path(spark, "edges.edgelist")
     sinks.write(homogeneous(spark, sf_dir), path)
     return text.read_edges(spark, path, strict=False)
 
 
 @query(_EDGES)
 def k1_k4_csv(spark, sf_dir):
-    path = scratch_path(spark, "edges") + ".csv"
+    path = scratch_path(spark, "edges.csv")
     sinks.write(homogeneous(spark, sf_dir), path)
     rows = spark.read.csv(path, header=True, schema="a string, b string, weight double")
     return rows.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
@@ -69,7 +69,7 @@ def k1_k4_csv(spark, sf_dir):
 
 @query(_EDGES)
 def k5_json(spark, sf_dir):
-    path = scratch_path(spark, "edges") + ".json"
+    path = scratch_path(spark, "edges.json")
     sinks.write(homogeneous(spark, sf_dir), path)
     rows = spark.read.schema("kind string, src string, dst string, weight double").json(path)
     return rows.where("kind = 'edge'").drop("kind")
