@@ -40,8 +40,8 @@ from metaweave.plans.scratch import cut
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 1 << 17
+#: Distinct words whose ids a worker keeps; in fewer, rare words drive out frequent ones too often.
+WORDS_KEPT = 1 << 19
 #: Words that are encoded as one text.
 TOGETHER = 256
 
@@ -134,7 +134,7 @@ class WordEncoder:
         fresh, self.numbers.fresh = self.numbers.fresh, []
         easy, hard, made, counts, parts = [], [], [], [], []
         for w in fresh:
-            if w.isalpha() or w[0] >= 0x80 and _plain(w.decode()):
+            if w.isalpha() or not w.isascii() and _plain(w.decode()):
                 easy.append(w)
                 continue
             if w.isascii():
