@@ -105,6 +105,13 @@ def kept(name: object, make: Callable[[], object]):
     return _HELD[0][1]
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as it does
+    whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Hand memory that this worker has freed back to the system."""
     gc.collect()

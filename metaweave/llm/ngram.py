@@ -40,10 +40,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import fold, kept, raw_texts, slices
+from metaweave.llm.common import fold, forget_shuffles, kept, raw_texts, slices
 from metaweave.plans.scratch import cut, release, scratch_path
 
 ORDER = 3
@@ -53,6 +53,8 @@ GRID, FLOOR = 4095, 10.0
 WORDS_KEPT = 1 << 19
 #: N-grams that a task gathers before it hands them on, and that one of the tasks which add up has in hand.
 HELD_KEYS, PART_KEYS = 1_000_000, 2_000_000
+#: Keys looked at for each edge between ranges of n-grams.
+EDGE_KEYS = 64
 #: Of a text, in the mean, for the number of parts that words are counted in.
 BYTES_A_TOKEN = 6
 _U = np.uint64
@@ -233,13 +235,15 @@ class Shard:
     last_context: int
     nodes: int
     offset: int = 0
+    #: path and directory of the file of probabilities
+    scores: tuple[str, str] | None = None
     #: back-off weights of contexts that go on in another shard
     edges: dict[int, float] = field(default_factory=dict)
     opened: dict = field(default_factory=dict, repr=False, compare=False)
 
     def open(self) -> dict:
         if not self.opened:
-            sections = map_sections(self.path, self.directory)
+            sections = map_sections(self.path, self.directory) | (map_sections(*self.scores) if self.scores else {})
             names = ("hashes",) if self.level == 1 else ("contexts", "pointers", "children")
             self.opened = {n: _group(sections, n) for n in names} | {k: v for k, v in sections.items() if "." not in k}
         return self.opened
@@ -382,11 +386,14 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first)
 
 
-def _blocks(keys: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A block for each of the parts that the ascending keys hash to."""
-    part = ((keys.view(_U) * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(parts)
-    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
-    keys, n, part = keys[order], n[order], part[order]
+def _blocks(keys: np.ndarray, n: np.ndarray, parts: int | np.ndarray) -> pa.RecordBatch:
+    """A block for each of the parts that the ascending keys hash to, or of the ranges between edges."""
+    if isinstance(parts, np.ndarray):
+        part = np.searchsorted(parts, keys, "right")
+    else:
+        part = ((keys.view(_U) * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(parts)
+        order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+        keys, n, part = keys[order], n[order], part[order]
     first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     ends = np.append(first[1:], len(keys))
     packed = [pack_block(keys[a:b], n[a:b]) for a, b in zip(first, ends)]
@@ -471,27 +478,74 @@ def _id_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterat
             at = end
 
 
-def _count_level(rows: DataFrame, trie: Trie, level: int, parts: int) -> DataFrame:
-    """Counts of (context node << 32 | token)."""
+def _level_keys(trie: Trie, level: int, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The n-grams of a level as (context node << 32 | token), in the order of the texts."""
+    before = before_each(ids, starts)
+    for shorter in range(2, level):
+        before = before_each(trie.look(shorter, before, ids)[0], starts)
+    live = before >= 0
+    return (before[live] << 32) | ids[live]
+
+
+def _range_edges(rows: DataFrame, trie: Trie, level: int) -> np.ndarray:
+    """Keys that cut a level into ranges of about ``PART_KEYS`` tokens, by the keys of some texts.
+
+    They decide how large the shards are, not what is in them.
+    """
+    parts = 1 + trie.tokens // PART_KEYS
+    if parts == 1:
+        return np.empty(0, np.int64)
+    share = min(1.0, 4 * EDGE_KEYS * parts / trie.tokens)
     shared = rows.sparkSession.sparkContext.broadcast(trie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        for _, ids, starts in _id_slices(batches):
+            keys = _level_keys(shared.value, level, ids, starts)
+            picked = np.random.default_rng(len(keys)).random(len(keys)) < min(1.0, EDGE_KEYS * parts / trie.tokens / share)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[picked])], names=["key"])
+
+    some = rows.where("train").where(F.pmod(F.xxhash64("doc_id", F.size("ids")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    table = some.select("ids").mapInArrow(run, "key bigint").toArrow()  # about EDGE_KEYS a part
+    keys = np.sort(table["key"].to_numpy())
+    return np.unique(keys[np.linspace(0, len(keys), parts + 1)[1:-1].astype(np.int64)]) if len(keys) > parts else keys
+
+
+def _count_level(rows: DataFrame, trie: Trie, level: int, out_dir: str) -> tuple[list[dict], int, int]:
+    """Count the n-grams of a level and write them range by range, without probabilities.
+
+    The task that adds up a range writes its shard, so n-grams are shuffled once, in packed
+    blocks.  Gives the rows of the shards, and how many n-grams were seen once and twice.
+    """
+    edges = _range_edges(rows, trie, level)
+    shared = rows.sparkSession.sparkContext.broadcast(trie)
+    target = _uri(out_dir)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, ids, starts in _id_slices(batches):
-            before = before_each(ids, starts)
-            for shorter in range(2, level):
-                before = before_each(trie.look(shorter, before, ids)[0], starts)
-            live = before >= 0
-            if live.any():
-                held.append(np.unique((before[live] << 32) | ids[live], return_counts=True))
+            keys = _level_keys(shared.value, level, ids, starts)
+            if len(keys):
+                held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_KEYS:
-                yield _blocks(*_merged(held), parts)
+                yield _blocks(*_merged(held), edges)
                 held.clear()
         if held:
-            yield _blocks(*_merged(held), parts)
+            yield _blocks(*_merged(held), edges)
 
-    return sum_blocks(rows.where("train").select("ids").mapInArrow(run, _BLOCKS), parts)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [unpack_block(*(batch.column(c)[i].as_py() for c in ("rows", "keys", "counts"))) for batch in batches for i in range(batch.num_rows)]
+        if not held:
+            return
+        keys, n = _merged(held)
+        held.clear()
+        for a in range(0, len(keys), SHARD_NODES):
+            key, c = keys[a : a + SHARD_NODES], n[a : a + SHARD_NODES]
+            sections, edge = _level_sections(key, c, shared.value, level)
+            yield _write_file(target, level, int(key[0]), int(key[-1] >> 32), len(key), sections, edge, int((c == 1).sum()), int((c == 2).sum()))
+
+    blocks = rows.where("train").select("ids").mapInArrow(count, _BLOCKS)
+    found = blocks.repartitionById(len(edges) + 1, "part").drop("part").mapInArrow(write, _FILE).collect()  # a row a shard
+    return [r.asDict() for r in found], sum(r["once"] for r in found), sum(r["twice"] for r in found)
 
 
 def trie_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
@@ -506,59 +560,62 @@ def _narrowest(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: float, nodes: int, out_dir: str) -> list[Shard]:
-    """Range-partition the nodes of a level, write a file a partition, and list the files."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(trie)
-    parts = max(1, -(-nodes // SHARD_NODES))
+_FILE = "name string, directory string, first string, last string, nodes bigint, edges string, once bigint, twice bigint"
+
+
+def _sequences(**given: tuple[np.ndarray, int]) -> dict[str, np.ndarray]:
+    return {f"{name}.{k}": v for name, (values, universe) in given.items() for k, v in ef_build(values, universe).items()}
+
+
+def _level_sections(key: np.ndarray, n: np.ndarray, trie: Trie, level: int) -> tuple[dict[str, np.ndarray], list[list[int]]]:
+    """The sections of a shard without its probabilities, and ``context, kept, children, total`` of
+    its first and last context, which may go on in other shards."""
+    context, token = key >> 32, key & 0xFFFFFFFF
+    heads, begin = np.unique(context, return_index=True)
+    sizes = np.diff(np.append(begin, len(key)))
+    rank = np.repeat(np.arange(len(heads)), sizes)
+    width = int(token.max()) + 1
+    total, kept = trie.counts(level - 1, heads), np.add.reduceat(n, begin)
+    edges = [[int(x[i]) for x in (heads, kept, sizes, total)] for i in ([0, -1] if len(heads) > 1 else [0])]
+    sections = {"width": np.array([width], np.int64), "counts": _narrowest(n)}
+    sequences = _sequences(
+        contexts=(heads, int(heads[-1]) + 1),
+        pointers=(np.append(begin, len(key)), len(key) + 1),
+        children=(rank.astype(_U) * _U(width) + token.astype(_U), len(heads) * width),
+    )
+    return sections | sequences, edges
+
+
+def _write_file(target: str, level: int, first: int, last: int, nodes: int, sections: dict[str, np.ndarray], edges: list, once: int = 0, twice: int = 0) -> pa.RecordBatch:
+    raw, directory = pack_sections(sections)
+    store, base = pafs.FileSystem.from_uri(target)
+    store.create_dir(base, recursive=True)
+    name = f"level{level}-{first:016x}"
+    attempt = f"{base}/{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(attempt, compression=None) as f:
+        f.write(raw)
+    store.move(attempt, f"{base}/{name}")
+    row = {"name": name, "directory": directory, "first": str(first), "last": str(last), "nodes": nodes, "edges": json.dumps(edges), "once": once, "twice": twice}
+    return pa.RecordBatch.from_pylist([row])
+
+
+def _write_words(rows: DataFrame, nodes: int, out_dir: str) -> list[Shard]:
+    """Level 1: range-partition the hashes of words and write a file a partition."""
     target = _uri(out_dir)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        key, n = table["key"].to_numpy(), table["n"].to_numpy()
-        sections: dict[str, np.ndarray] = {}
-        edges: list[list[int]] = []
-
-        def add(name: str, values: np.ndarray, universe: int) -> None:
-            sections.update({f"{name}.{k}": v for k, v in ef_build(values, universe).items()})
-
-        if level == 1:
-            hashes = key.view(_U) ^ _SIGN
-            add("hashes", hashes, 1 << 64)
-            first, last = int(hashes[0]), 0
-        else:
-            context, token = key >> 32, key & 0xFFFFFFFF
-            heads, begin = np.unique(context, return_index=True)
-            rank = np.repeat(np.arange(len(heads)), np.diff(np.append(begin, len(key))))
-            width = int(token.max()) + 1
-            total = shared.value.counts(level - 1, heads).astype(np.float64)
-            kept, children = np.add.reduceat(n, begin), np.diff(np.append(begin, len(key)))
-            ends = [0, -1] if len(heads) > 1 else [0]
-            edges = [[int(x[i]) for x in (heads, kept, children, total)] for i in ends]
-            sections["width"] = np.array([width], np.int64)
-            sections["prob"] = quantise((n - discount) / total[rank])
-            sections["back"] = quantise(left_over(kept, children, total, discount))
-            add("contexts", heads, int(heads[-1]) + 1)
-            add("pointers", np.append(begin, len(key)), len(key) + 1)
-            add("children", rank.astype(_U) * _U(width) + token.astype(_U), len(heads) * width)
-            first, last = int(key[0]), int(heads[-1])
-        sections["counts"] = _narrowest(n)
-        raw, directory = pack_sections(sections)
-        store, base = pafs.FileSystem.from_uri(target)
-        store.create_dir(base, recursive=True)
-        name = f"level{level}-{first:016x}"
-        attempt = f"{base}/{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(attempt, compression=None) as f:
-            f.write(raw)
-        store.move(attempt, f"{base}/{name}")
-        row = {"name": [name], "directory": [directory], "first": [str(first)], "last": [str(last)], "nodes": [len(key)], "edges": [json.dumps(edges)]}
-        yield pa.RecordBatch.from_pydict(row)
+        if held:
+            table = pa.Table.from_batches(held)
+            hashes, n = table["key"].to_numpy().view(_U) ^ _SIGN, table["n"].to_numpy()
+            yield _write_file(target, 1, int(hashes[0]), 0, len(n), {"counts": _narrowest(n)} | _sequences(hashes=(hashes, 1 << 64)), [])
 
+    parts = max(1, -(-nodes // SHARD_NODES))
     ranged = rows.select("key", "n").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    found = ranged.mapInArrow(run, "name string, directory string, first string, last string, nodes bigint, edges string").collect()
+    return _listed([r.asDict() for r in ranged.mapInArrow(run, _FILE).collect()], 1, target)
+
+
+def _listed(found: list[dict], level: int, target: str) -> list[Shard]:
     shards = sorted((Shard(level, f"{target}/{r['name']}", r["directory"], int(r["first"]), int(r["last"]), r["nodes"]) for r in found), key=lambda s: s.first)
     at = 0
     for before, s in zip([None, *shards], shards):
@@ -566,6 +623,32 @@ def _write_shards(rows: DataFrame, level: int, trie: Trie | None, discount: floa
         at += s.nodes
         if level > 1 and (before is None or before.last_context != s.first >> 32):
             s.first = s.first >> 32 << 32  # the context starts here
+    return shards
+
+
+def _with_probabilities(spark: SparkSession, found: list[dict], level: int, trie: Trie, discount: float, out_dir: str) -> list[Shard]:
+    """The shards, each with a second file of quantised probabilities, now that the discount is
+    known; a task a shard."""
+    target, shared = _uri(out_dir), spark.sparkContext.broadcast(trie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sections = map_sections(f"{target}/{r['name']}", r["directory"])
+                contexts, pointers = _group(sections, "contexts"), _group(sections, "pointers")
+                heads = contexts.access(np.arange(contexts.n)).astype(np.int64)
+                begin = pointers.access(np.arange(pointers.n)).astype(np.int64)
+                n, sizes = sections["counts"].astype(np.int64), np.diff(begin)
+                total = shared.value.counts(level - 1, heads).astype(np.float64)
+                prob = quantise((n - discount) / np.repeat(total, sizes))
+                back = quantise(left_over(np.add.reduceat(n, begin[:-1]), sizes, total, discount))
+                yield _write_file(f"{target}/scores", level, int(r["first"]), int(r["last"]), r["nodes"], {"prob": prob, "back": back}, [])
+
+    rows = spark.createDataFrame(found, _FILE).repartition(len(found))
+    scores = {r["name"]: (f"{target}/scores/{r['name']}", r["directory"]) for r in rows.mapInArrow(run, _FILE).collect()}
+    shards = _listed(found, level, target)
+    for s in shards:
+        s.scores = scores[s.path.rpartition("/")[2]]
     _share_edges(shards, {f"{target}/{r['name']}": json.loads(r["edges"]) for r in found}, discount)
     return shards
 
@@ -615,21 +698,21 @@ def train(docs: DataFrame, order: int = ORDER, folds: int = 5, held: int = 1, ou
     if trie.tokens:
         if trie.distinct >= 1 << 31:
             raise OverflowError(f"level 1 has {trie.distinct} nodes")
-        trie.levels.append(_write_shards(words, 1, None, 0.0, trie.distinct, out_dir))
+        trie.levels.append(_write_words(words, trie.distinct, out_dir))
     release(words)
+    del words
+    forget_shuffles(spark)
     rows = cut(token_ids(docs, trie, own), "ids")
-    nodes = trie.distinct
     for level in range(2, order + 1) if trie.tokens else ():
-        grams = cut(_count_level(rows, trie, level, 1 + trie.tokens // PART_KEYS), "grams")
-        seen = grams.agg(*[F.sum((F.col("n") == k).cast("bigint")).alias(f"n{k}") for k in (1, 2)], F.count(F.lit(1)).alias("nodes")).first()
-        once, twice, nodes = (x or 0 for x in seen)
+        found, once, twice = _count_level(rows, trie, level, out_dir)
+        nodes = sum(r["nodes"] for r in found)
         if not nodes:
             break
         if nodes >= 1 << 31:
             raise OverflowError(f"level {level} has {nodes} nodes")
         discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
-        trie.levels.append(_write_shards(grams, level, trie, discount, nodes, out_dir))
-        release(grams)
+        trie.levels.append(_with_probabilities(spark, found, level, trie, discount, out_dir))
+        forget_shuffles(spark)
     return Trained(trie, rows)
 
 
