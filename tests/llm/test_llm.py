@@ -414,6 +414,7 @@ def plain_model(texts, order):
 @pytest.mark.parametrize("shard", [50, 2_000_000])
 def test_model_against_counts(spark, monkeypatch, shard):
     monkeypatch.setattr(ngram, "SHARD_NODES", shard)
+    monkeypatch.setattr(ngram, "PART_KEYS", 10 * shard)
     texts = [" ".join(words(60, s, 30)) for s in range(40)] + EDGE[:7]
     got = {r.doc_id: r for r in ngram.train_and_score(make(spark, texts, extra=True)).collect()}
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
