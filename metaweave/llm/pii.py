@@ -1,8 +1,12 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Entities: e-mail addresses in any script, phone numbers, card numbers, IBANs, US social
-security numbers, IPv4 and IPv6 addresses, and names (after a title, or a known given name
-before a capitalised word). Names that follow neither aren't found.
+security numbers, IPv4 and IPv6 addresses, and names. A name starts after a title or with a
+known given name and takes all capitalised parts that follow in its line, with particles,
+initials and apostrophes; in capitals throughout, or small throughout after a title, it takes
+further given names and one part more. Wherever a part of a name found in a document occurs
+in that document again, it is replaced too: capitalised, and in small letters if the name was
+found so. Names that follow neither a title nor a known given name aren't found.
 
 A surrogate depends on the key, the entity and an attempt number only, so an entity gets the
 same surrogate wherever it occurs, in the same format: separators and digit counts stay, a
@@ -10,7 +14,8 @@ valid card number or IBAN stays valid, a private address stays private, letters
 script and case. Spellings of one number with other separators are one entity. A name is made
 of its parts: a known given name becomes another of its gender and script, by a keyed
 permutation of the list; every other part becomes an invented word of its script. So "Dr.
-Smith" and "John Smith" keep one family name, and mails at one host keep one host.
+Smith" and "John Smith" keep one family name, and mails at one host keep one host. Forms of
+one family name for men and women are one entity, and their surrogates have the same endings.
 
 Numbers and addresses are mapped by a keyed permutation of all values of their format. What
 can still meet (two words or mails drawing the same, or a surrogate that is itself an entity
@@ -33,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -67,6 +72,13 @@ SYLLABLES = {
     "greek": "βα βε βο δα δε γα γο κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε το".split(),
 }
 
+# Particles within names, which stay, and endings of family names (for women, for men; case-folded).
+PARTICLES = "von van der den de del della di da dos das du la le ter ten zu zur bin ibn al el y e".split()
+ENDINGS = [
+    ("ская", "ский"), ("цкая", "цкий"), ("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"),
+    ("ova", "ov"), ("eva", "ev"), ("ska", "ski"), ("ου", "οσ"), ("η", "ησ"),
+]
+
 # Small letters that invented words and mails of other scripts are drawn from.
 LETTERS = {
     "latin": "abcdefghijklmnopqrstuvwxyz",
@@ -92,14 +104,40 @@ _NUMBERS = re.compile(
     r"|(?P<ipv6>(?<![\w:.])(?=[a-fA-F:]*\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\w:]))"
     rf"|(?P<ip>(?<![\d.]){_BYTE}(?:\.{_BYTE}){{3}}(?!\.?\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\w+])\+\d{9,14}(?!\d)"
+    r"|(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?|\(?0\d{1,4}\)?)[ ./-]\d{5,8}(?!\d)"  # area code and number
+    r"|(?<![\w+])(?:\+\d{1,3}[ .-]\d|0\d)(?:[ .-]\d{2}){4}(?!\d)"  # pairs
+    r"|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){3,4}(?!\d))"
 )
 _EMAIL = re.compile(r"[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}")
-_PROPER = r"[^\W\d_a-zß-öø-ÿа-яα-ωά-ώ][^\W\d_]+(?:-[^\W\d_]+)?"
-_TITLE = "|".join(sorted(_TITLE_GENDER, key=len, reverse=True))
-_TITLED = re.compile(rf"\b(?P<title>{_TITLE})\.?[ ](?:(?:{_TITLE})\.?[ ])*(?P<name>{_PROPER}(?:[ ]{_PROPER})?)")
-_GIVEN = re.compile(rf"\b(?P<name>(?:{'|'.join(n for names in GIVEN.values() for n in names)})[ ]{_PROPER})\b")
-_ORDER = {kind: i for i, kind in enumerate("email iban card ipv6 ip ssn phone name".split())}
+def _any(words: Iterable[str]) -> str:
+    return f"(?:{'|'.join(sorted(words, key=len, reverse=True))})"
+
+
+_SMALL = "a-zß-öø-ÿа-яёα-ωά-ώ"
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+_CAPITAL = rf"[^\W\d_{_SMALL}]"
+_GAP = r"[ \t\u00a0]+"
+_MARK = r"(?:[^\W\d_]['’])?"
+_TITLE = _any(_TITLE_GENDER)
+_PROPER = rf"(?!{_TITLE}\b){_MARK}{_CAPITAL}{_LETTER}+(?:-{_LETTER}+)*"
+_LOUD = rf"{_MARK}{_CAPITAL}{{2,}}(?:-{_CAPITAL}+)*(?!{_LETTER})"
+_QUIET = rf"{_MARK}{_LETTER}{{2,}}(?:-{_LETTER}+)*"
+
+
+_NAMES = [n for names in GIVEN.values() for n in names]
+_LINK = rf"{_GAP}(?:{_CAPITAL}\.{_GAP})*(?:{_any(PARTICLES)}{_GAP})*"
+_RUN = rf"(?:{_any(PARTICLES)}{_GAP})*{_PROPER}(?:{_LINK}{_PROPER})*"
+_LOUD_REST = rf"(?:{_any(n.upper() for n in _NAMES)}{_GAP})*(?:{_any(p.upper() for p in PARTICLES)}{_GAP})*{_LOUD}"
+_QUIET_NAME = rf"(?:{_any(n.lower() for n in _NAMES)}{_GAP})+(?:{_any(PARTICLES)}{_GAP})*{_QUIET}"
+_TITLED = re.compile(rf"\b{_TITLE}\.?{_GAP}(?:{_TITLE}\.?{_GAP})*(?:{_CAPITAL}\.{_GAP})*(?P<name>{_RUN}|{_QUIET_NAME})")
+_LOUD_TITLED = re.compile(rf"\b{_any(t.upper() for t in _TITLE_GENDER)}\.{_GAP}(?P<name>{_LOUD_REST})")
+_GIVEN = re.compile(rf"\b(?P<name>{_any(_NAMES)}(?:{_LINK}{_PROPER})+)")
+_LOUD_GIVEN = re.compile(rf"\b(?P<name>{_any(n.upper() for n in _NAMES)}{_GAP}{_LOUD_REST})")
+_CAPITALS = re.compile(rf"{_CAPITAL}\w+")
+_STARTS = {form for n in [*_NAMES, *_TITLE_GENDER] for form in (n, n.upper())}
+_PART = re.compile(rf"{_LETTER}{{2,}}")
+_ORDER = {kind: i for i, kind in enumerate("email iban card ipv6 ip ssn phone name given".split())}
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -110,7 +148,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if any(c in text for c in "0123456789"):
         found += [(*m.span(), m.lastgroup if m.lastgroup != "sep" else "card", m[0]) for m in _NUMBERS.finditer(text)]
         found += [(*m.span(), "iban", m[0]) for m in _IBAN.finditer(text) if m["gap"] or _iban_valid(m[0])]
-    found += [(*m.span("name"), "name", m["name"]) for p in (_TITLED, _GIVEN) for m in p.finditer(text)]
+    if not _STARTS.isdisjoint(_CAPITALS.findall(text)):
+        names = [(*m.span("name"), "name", m["name"]) for p in (_TITLED, _GIVEN, _LOUD_TITLED, _LOUD_GIVEN) for m in p.finditer(text)]
+        found += names + (_again(text, names) if names else [])
     found.sort(key=lambda x: (x[0], _ORDER[x[2]], -x[1]))
     out, free = [], 0
     for x in found:
@@ -120,11 +160,74 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def _parts(name: str) -> list[tuple[int, int, str]]:
+    """``(start, end, role)`` of the words of a name; the role is given, family or particle.
+
+    A known given name is one unless it ends the name.
+    """
+    spans = [m.span() for m in _PART.finditer(name)]
+    out = []
+    for i, (a, b) in enumerate(spans):
+        word = name[a:b].casefold()
+        last = i == len(spans) - 1
+        out.append((a, b, "family" if last else "given" if word in _GENDER else "particle" if word in PARTICLES else "family"))
+    return out
+
+
+def _plain(text: str) -> str:
+    """Composed small letters without stress marks."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).replace("\u0301", ""))
+    return text.casefold()
+
+
+def _family(word: str) -> str:
+    """The id of a family name: plain letters, with the ending for men."""
+    word = _plain(word)
+    for women, men in ENDINGS:
+        if word.endswith(women) and len(word) > len(women) + 2:
+            return word[: -len(women)] + men
+    return word
+
+
+def _men(word: str) -> str:
+    """The ending for men that the id of a family name has."""
+    return next((men for _, men in ENDINGS if word.endswith(men) and len(word) > len(men) + 2), "")
+
+
+def _again(text: str, names: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Every mention of a single part of the names found in this text."""
+    role, quiet = {}, set()
+    for *_, name in names:
+        for a, b, kind in _parts(name):
+            if kind == "particle":
+                continue
+            word = _family(name[a:b]) if kind == "family" else name[a:b].casefold()
+            role[word] = "name" if kind == "family" or role.get(word) == "name" else "given"
+            if name[a:b].islower():
+                quiet.add(word)
+    whole, held = _plain(text), _plain(" ".join(n for *_, n in names))
+    stems = [_plain(w.removesuffix(_men(w))) for w in role]
+    if all(whole.count(stem) <= held.count(stem) for stem in stems):
+        return []
+    out = []
+    for m in _PART.finditer(text):
+        word = m[0].casefold()
+        kind = role.get(word)
+        if kind is None:
+            word = _family(word)
+            kind = "name" if role.get(word) == "name" else None
+        if kind and (not m[0].islower() or word in quiet):
+            out.append((*m.span(), kind, m[0]))
+    return out
+
+
 def identities(kind: str, mention: str) -> list[tuple[str, str]]:
     """``(type, id)`` of the entities that a mention is made of; the same for every spelling."""
     if kind == "name":
-        words = mention.casefold().split()
-        return [("word", w) for i, w in enumerate(words) if i or len(words) == 1 or w not in _GENDER]
+        return [("word", _family(mention[a:b])) for a, b, role in _parts(mention) if role == "family"]
+    if kind == "given":
+        return []
     if kind in ("email", "ipv6"):
         return [(kind, mention.casefold())]
     if kind == "ip":
@@ -186,14 +289,23 @@ def _digits_of(digits: str, key: bytes, tweak: str, attempt: int) -> str:
     return f"{permute(int(digits) * 10**more, 10**n, key, f'{tweak}{n}#{attempt}'):0{n}d}"
 
 
+def _check_digit(body: str) -> int:
+    return next(d for d in range(10) if _luhn(f"{body}{d}"))
+
+
 def _card(digits: str, key: bytes, attempt: int) -> str:
-    valid, out = _luhn(digits), digits
+    """A permutation of what precedes the check digit, and of how far that digit is off, if it is."""
+    body, off = digits[:-1], (int(digits[-1]) - _check_digit(digits[:-1])) % 10
     more = _grown(attempt)
-    out, n = digits + "0" * more, len(digits) + more
-    while True:  # a walk within the numbers that are valid, or within those that aren't
-        out = f"{permute(int(out), 10**n, key, f'card{n}#{attempt}'):0{n}d}"
-        if _luhn(out) == valid:
-            return out
+    n, start = len(body) + more, int(body) * 10**more
+    tweak = f"card{n}#{attempt}"
+    if off:
+        start, step = divmod(permute(start * 9 + off - 1, 9 * 10**n, key, f"{tweak}off"), 9)
+        off = step + 1
+    else:
+        start = permute(start, 10**n, key, tweak)
+    body = f"{start:0{n}d}"
+    return f"{body}{(_check_digit(body) + off) % 10}"
 
 
 def _ip_kind(x: int) -> int:
@@ -250,7 +362,7 @@ def _word(entity: str, key: bytes, attempt: int) -> str:
     for _ in range((4 if script in SYLLABLES else 6) + _grown(attempt)):
         x, i = divmod(x, len(parts))
         out += parts[i]
-    return out
+    return out + _men(entity)
 
 
 def surrogate(kind: str, ident: str, key: bytes, attempt: int = 0) -> str:
@@ -271,6 +383,20 @@ def _other_given(gender: str, script: str, key: bytes) -> dict[str, str]:
     return {n.casefold(): m for n, m in zip(names, names[1:] + names[:1])}
 
 
+def _given(mention: str, key: bytes) -> str:
+    return _cased(_other_given(*_GENDER[mention.casefold()], key)[mention.casefold()], mention)
+
+
+def _like(out: str, mention: str) -> str:
+    """The form for women of ``out`` where the mention has it."""
+    word = _plain(mention)
+    if _family(word) != word:
+        for women, men in ENDINGS:
+            if word.endswith(women) and out.endswith(men):
+                return out[: -len(men)] + women
+    return f"{out[:-1]}ς" if out.endswith("σ") else out
+
+
 def _shaped(out: str, mention: str) -> str:
     """``out`` with the separators of the mention; digits beyond its length follow."""
     it = iter(out)
@@ -281,19 +407,24 @@ def _shaped(out: str, mention: str) -> str:
 def _cased(out: str, like: str) -> str:
     if like.isupper() and len(like) > 1:
         return out.upper()
-    return out.capitalize() if like[:1].isupper() else out
+    return out.capitalize() if like[:1].isupper() else out.lower()
 
 
 def replacement(kind: str, mention: str, key: bytes, attempts: dict[tuple[str, str], int]) -> str:
     """The text that stands for a mention; ``attempts`` has entities with a later attempt than 0."""
     draw = lambda k, i: surrogate(k, i, key, attempts.get((k, i), 0))
     if kind == "name":
-        words = mention.split()
-        out = []
-        for i, w in enumerate(words):
-            known = _GENDER.get(w.casefold()) if not i and len(words) > 1 else None
-            out.append(_cased(_other_given(*known, key)[w.casefold()] if known else draw("word", w.casefold()), w))
-        return " ".join(out)
+        out, at = "", 0
+        for a, b, role in _parts(mention):
+            put = mention[a:b]
+            if role == "family":
+                put = _cased(_like(draw("word", _family(put)), put), put)
+            elif role == "given":
+                put = _given(put, key)
+            out, at = out + mention[at:a] + put, b
+        return out + mention[at:]
+    if kind == "given":
+        return _given(mention, key)
     (k, ident), = identities(kind, mention)
     out = draw(k, ident)
     if kind == "email":
