@@ -237,6 +237,19 @@ def distances(both: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def weight_distances(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``communities, mae, wasserstein, cosine, pearson`` of two tables ``comm, weight``.
+
+    Only communities with a weight in both count, in the order of their ids; a repeated
+    community has the sum of its weights. Without a common one, ``communities`` is 0 and the
+    mean error null.
+    """
+    total = lambda df, name: df.where("weight IS NOT NULL").groupBy(F.col("comm").alias("idx")).agg(F.sum("weight").cast("double").alias(name))
+    both = cut(total(a, "a").join(total(b, "b"), "idx"), "weights")
+    errors = both.agg(F.count(F.lit(1)).alias("communities"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"))
+    return errors.crossJoin(distances(both).select("wasserstein", "cosine", "pearson"))  # one row each
+
+
 def over_samples(found: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and sample deviation (0 for one value), without NaN and infinities."""
     kept = found.where(~F.isnan(value) & (F.abs(value) != float("inf")))

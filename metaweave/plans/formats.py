@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaweave.functions import arrays as A
+from metaweave.operators import accuracy as X
 from metaweave.operators import compare as C
 from metaweave.operators import hierarchy as H
 from metaweave.operators import layout as G
@@ -16,7 +17,7 @@ from metaweave.operators import validate as V
 from metaweave.operators import weights as N
 from metaweave.plans import queries as Q
 from metaweave.plans.queries import query
-from metaweave.plans.scratch import scratch_path
+from metaweave.plans.scratch import cut, scratch_path
 from metaweave.sources import sinks, text
 from metaweave.sources import tables as T
 from metaweave.streaming import replay
@@ -178,9 +179,109 @@ def s18_s20_upload(spark, sf_dir):
     return text.upload_summary(spark, edges, types, types).drop("bytes").crossJoin(ids)
 
 
+def path_file(spark, sf_dir) -> str:
+    regions = T.table(spark, sf_dir, "region").orderBy("r_regionkey")
+    return _file(spark, regions.select(F.col("r_regionkey").cast("string").alias("value")), "path")
+
+
+@query("SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS at, 'Type_' || r_regionkey AS type FROM region")
+def s3_path(spark, sf_dir):
+    found = text.read_path(spark, path_file(spark, sf_dir)).node_types
+    return spark.createDataFrame(list(enumerate(found)), "at int, type string")
+
+
+@query("SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS at, r_regionkey::INT AS type FROM region UNION ALL SELECT -1, 0")
+def s7_numbered_path(spark, sf_dir):
+    """The types of the file; at -1 those of a file that isn't there."""
+    found = [*enumerate(text.read_numbered_path(spark, path_file(spark, sf_dir))), *((-1, t) for t in text.read_numbered_path(spark, scratch_path(spark, "none")))]
+    return spark.createDataFrame(found, "at int, type int")
+
+
+@query(
+    f"""WITH {_P}, e AS (SELECT 'S:' || s AS a, 'P:' || p AS b, w FROM p)
+        SELECT a AS src, b AS dst, 'Type_0_to_Type_1' AS etype, w AS weight FROM e UNION ALL SELECT b, a, 'Type_1_to_Type_0', w FROM e"""
+)
+def s4_three_files(spark, sf_dir):
+    ends = [T.table(spark, sf_dir, t).select(F.concat(F.lit(f"{c}:"), key, F.lit(f" {i}")).alias("value")) for i, (t, c, key) in enumerate((("supplier", "S", "s_suppkey"), ("part", "P", "p_partkey")))]
+    edges = scratch_path(spark, "edges.txt")
+    sinks.write(homogeneous(spark, sf_dir), edges)
+    graph, _ = text.load_graph(spark, edges, _file(spark, ends[0].unionAll(ends[1]), "properties"), path_file(spark, sf_dir), directed=False)
+    return graph.edges.select("src", "dst", "etype", "weight")
+
+
+#: Entries of one document where a format holds whole documents.
+_DOCUMENT = 1000
+
+
+def _documents(spark, rows: DataFrame, key: str, value, tag: str) -> str:
+    """One text file for every ``_DOCUMENT`` keys, of what ``value`` makes of its rows."""
+    part = F.floor(F.col(key) / _DOCUMENT).alias("part")
+    path = scratch_path(spark, tag)
+    rows.groupBy(part).agg(value.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+def supplier_documents(spark, sf_dir):
+    one, s = F.concat(F.lit("S:"), "s_suppkey"), T.table(spark, sf_dir, "supplier")
+    node = F.struct(one.alias("key"), F.create_map(F.lit("type"), F.lit("supplier"), F.lit("name"), F.col("s_name")).alias("value"))
+    edge = F.struct(one.alias("from"), F.concat(F.lit("N:"), "s_nationkey").alias("to"), F.lit("of").alias("type"), F.col("s_acctbal").cast("double").alias("weight"))
+    whole = F.to_json(F.struct(F.map_from_entries(F.collect_list(node)).alias("nodes"), F.collect_list(edge).alias("edges")))
+    return text.read_graph_json(spark, _documents(spark, s, "s_suppkey", whole, "graph-json"))
+
+
+@query("SELECT 'S:' || s_suppkey AS id, 'supplier' AS type, s_name AS name FROM supplier")
+def s8_graph_json_nodes(spark, sf_dir):
+    return supplier_documents(spark, sf_dir).nodes.select("id", "type", F.col("props")["name"].alias("name"))
+
+
+@query("SELECT 'S:' || s_suppkey AS src, 'N:' || s_nationkey AS dst, 'of' AS etype, s_acctbal::DOUBLE AS weight FROM supplier")
+def s8_graph_json_edges(spark, sf_dir):
+    return supplier_documents(spark, sf_dir).edges.select("src", "dst", "etype", "weight")
+
+
+@query("SELECT (row_number() OVER (ORDER BY r_name) - 1)::INT AS at, r_name AS type, CASE WHEN r_name < (SELECT max(r_name) FROM region) THEN 'to_' || r_name END AS leaves_by FROM region")
+def s9_meta_path_json(spark, sf_dir):
+    names = F.array_sort(F.collect_list("r_name"))
+    kinds = F.transform(F.slice(names, 1, F.size(names) - 1), lambda n: F.concat(F.lit("to_"), n))
+    rows = T.table(spark, sf_dir, "region").agg(F.to_json(F.struct(F.lit("regions").alias("id"), names.alias("node_sequence"), kinds.alias("edge_sequence"))).alias("value"))
+    found = text.read_meta_path_json(spark, _file(spark, rows.coalesce(1), "meta-path"))
+    return spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(zip(found.node_types, [*found.edge_types, None]))], "at int, type string, leaves_by string")
+
+
+@query("SELECT 'level_1' AS level, 'C:' || c_custkey AS id, c_acctbal::DOUBLE AS x, c_nationkey::DOUBLE AS y, 1.5::DOUBLE AS radius, (c_custkey / 4.0)::DOUBLE AS pagerank FROM customer")
+def s16_levels_json(spark, sf_dir):
+    c = T.table(spark, sf_dir, "customer")
+    place = F.struct(F.col("c_acctbal").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(1.5).alias("radius"), (F.col("c_custkey") / 4.0).alias("pagerank"))
+    entry = F.struct(F.concat(F.lit("C:"), "c_custkey").alias("key"), place.alias("value"))
+    whole = F.to_json(F.create_map(F.lit("level_1"), F.map_from_entries(F.collect_list(entry))))
+    return text.read_levels_json(spark, _documents(spark, c, "c_custkey", whole, "levels-json"))
+
+
 # ---------------------------------------------------------------- steps without a query of their own elsewhere
 
 
+@query(f"WITH {Q._HA} SELECT c_custkey AS node, coalesce(comm, 0)::BIGINT AS comm FROM customer LEFT JOIN (SELECT node, comm FROM ha WHERE level = 2 AND comm < 7) ON node = c_custkey")
+def c22b_flattened(spark, sf_dir):
+    """The second level, from which communities 7 and above are taken away, so that their leaves miss one."""
+    leaves = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    return H.flattened(Q.customer_hierarchies(spark, sf_dir)[0].where("comm < 7"), leaves, 2)
+
+
+@query(
+    """WITH o AS (SELECT c_nationkey AS idx, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS a, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS b FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+       h AS (SELECT * FROM o WHERE a IS NOT NULL AND b IS NOT NULL),
+       s AS (SELECT min(a) - 1e-10 AS la, min(b) - 1e-10 AS lb, sum(a) AS ta, sum(b) AS tb, count(*) AS n FROM h),
+       w AS (SELECT abs(sum((a - la) / (ta - n * la) - (b - lb) / (tb - n * lb)) OVER (ORDER BY idx)) AS c FROM h, s)
+       SELECT count(*) AS communities, round(avg(abs(a - b)), 2)::DOUBLE AS mae, (SELECT round(sum(c), 6) FROM w)::DOUBLE AS wasserstein,
+              round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6)::DOUBLE AS cosine, round(corr(a, b), 6)::DOUBLE AS pearson FROM h"""
+)
+def x15_weight_distances(spark, sf_dir):
+    """Order volume of the nations, open against filled."""
+    o = T.table(spark, sf_dir, "orders").join(T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    side = lambda status: o.where(F.col("o_orderstatus") == status).select(F.col("c_nationkey").alias("comm"), F.col("o_totalprice").alias("weight"))
+    return X.weight_distances(side("O"), side("F")).select("communities", F.round("mae", 2).alias("mae"), *Q.r6("wasserstein", "cosine", "pearson"))
+
+
 def rule_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -216,9 +317,10 @@ def m13_node_set(spark, sf_dir):
     return M.node_set(M.endpoints(g, T.SPS), T.SPS).select("id")
 
 
-@query(f"WITH {Q._SPS} SELECT src, dst, weight FROM w WHERE weight >= 150")
+@query(f"WITH {Q._SPS} SELECT src, dst, weight FROM w WHERE weight >= (SELECT avg(weight) FROM w)")
 def m19_above(spark, sf_dir):
-    return N.above(Q.sps(spark, sf_dir).edges, 150.0)
+    edges = cut(Q.sps(spark, sf_dir).edges, "ties")
+    return N.above(edges, edges.agg(F.avg("weight")).first()[0] or 0.0)
 
 
 @query(f"SELECT c_custkey AS node, 0 AS layer, {Q._HASH.format('c_custkey')} AS hash FROM customer")

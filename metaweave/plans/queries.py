@@ -80,9 +80,13 @@ def m11_top_edges(spark, sf_dir):
     return sps(spark, sf_dir, max_edges=50).edges
 
 
-@query(f"WITH {_SPS} SELECT src, dst, weight FROM w WHERE weight >= 130")
+@query(f"WITH {_SPS}, d AS (SELECT count(*) AS d FROM e GROUP BY p) SELECT src, dst, weight FROM w WHERE weight >= (SELECT sum(d * d)::DOUBLE FROM d) / (SELECT count(DISTINCT s) * count(DISTINCT s) FROM e)")
 def m10_min_weight(spark, sf_dir):
-    return sps(spark, sf_dir, min_weight=130.0).edges
+    """Ties at least as strong as the mean over all pairs of suppliers."""
+    pairs = T.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    walks = pairs.groupBy("l_partkey").count().agg(F.sum(F.col("count") * F.col("count")).cast("double")).first()[0]
+    suppliers = pairs.select("l_suppkey").distinct().count()
+    return sps(spark, sf_dir, min_weight=(walks or 0.0) / max(suppliers * suppliers, 1)).edges
 
 
 _PATHS = """p AS (SELECT 'S:' || a.l_suppkey AS src, 'S:' || b.l_suppkey AS dst, a.l_quantity * b.l_quantity AS x

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaweave.functions import arrays as A
-from metaweave.operators import degree_study, layout, legacy
+from metaweave.operators import accuracy, degree_study, hierarchy, layout, legacy
 from metaweave.operators import louvain as L
 from metaweave.operators import sketch as S
 from metaweave.streaming import debug, replay
@@ -164,3 +164,24 @@ def test_replayed_gains_agree_with_those_of_the_steps(spark):
     gain = found.where((F.col("node") == node) & (F.col("comm") == to)).collect()
     mine = debug.move_gains(moves, canon).where(F.col("step") == step).first()
     assert not gain or mine.gain == pytest.approx(gain[0].gain, abs=1e-9)
+
+
+def test_flattened_hierarchy(spark):
+    """Other levels and other nodes don't count; a missing or null community is 0, of several the least holds."""
+    held = [(1, 1, 9), (2, 1, 5), (2, 1, 4), (2, 2, None), (2, 7, 3)]
+    assign = spark.createDataFrame(held, "level int, node long, comm long")
+    leaves = spark.createDataFrame([(1,), (1,), (2,), (3,)], "node long")
+    flat = lambda a, n: sorted(map(tuple, hierarchy.flattened(a, n, 2).collect()))
+    assert flat(assign, leaves) == [(1, 4), (2, 0), (3, 0)]
+    assert flat(assign.limit(0), leaves) == [(1, 0), (2, 0), (3, 0)] and flat(assign, leaves.limit(0)) == []
+
+
+def test_weight_distances(spark):
+    a = spark.createDataFrame([(1, 2.0), (1, 1.0), (2, 5.0), (3, None), (4, 1.0)], "comm long, weight double")
+    b = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 2.0), (5, 8.0)], "comm long, weight double")
+    got = accuracy.weight_distances(a, b).first()
+    assert (got.communities, got.mae) == (2, 1.0) and abs(got.wasserstein) < 1e-6 and abs(got.pearson - 1) < 1e-9
+    same = accuracy.weight_distances(b, b).first()
+    assert same.mae == 0 and same.wasserstein == 0 and abs(same.cosine - 1) < 1e-12
+    none = accuracy.weight_distances(a, b.limit(0)).first()
+    assert none.communities == 0 and none.mae is None
