@@ -1,9 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of token characters of at least ``least`` characters that holds a
-digit.  The text is cut at the candidates, so each comes with its offset and with the text
+digit or starts as known keys do, or a quoted value of at least ``SHORTEST`` characters
+without blanks that is assigned to a name of a secret.  The text is cut at the candidates, so each comes with its offset and with the text
 before and after it.  The forest sees the candidate's length, its character transitions
-and classes, how much of it dictionary words cover, the path it was found at and the words
+(the mean log-odds of its neighbouring characters between secrets and other findings, by a
+table of pairs counted over the labelled findings) and classes, how much of it dictionary words cover, the path it was found at and the words
 next to it.  It is trained from labelled findings, either given or made by
 :func:`labelled_findings`, and it runs in the JVM: everything here is DataFrame operations.
 
@@ -15,9 +17,11 @@ gives an empty result; labelled findings of one class only make every probabilit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +31,13 @@ LEAST = 16
 MADE = 6000
 CONTEXT = 48
 
+#: Least length of a value that is assigned to a name of a secret.
+SHORTEST = 8
+#: Pieces of a text whose lengths are summed together.
+BLOCK = 1024
+
 _MARK = "\x01"
-_TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{%d,}+"
+_KNOWN = "AKIA|ASIA|gh[pousr]_|sk_live_|xox[bap]-|eyJ|AIza|glpat-"
 
 # Words that names and placeholders are made of.
 DICTIONARY = (
@@ -47,6 +56,9 @@ DIGEST_WORDS = "commit|sha1|sha256|sha512|md5|etag|checksum|digest|revision|hash
 PLACEHOLDERS = "example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000|1234567|abcdef|test"
 TEST_PATHS = "test|spec|example|sample|fixture|mock|docs?/|readme"
 
+_VALUE = rf"""(?<=["'])(?<=(?i:{SECRET_WORDS})["']?\s{{0,3}}[:=]\s{{0,3}}["'])[^\s"'{_MARK}]{{{SHORTEST},}}+(?=["'])"""
+_TOKEN = rf"{_VALUE}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|{_KNOWN})[A-Za-z0-9+/_=-]{{%d,}}+"
+
 
 def candidates(docs: DataFrame, least: int = LEAST, path: str = "source") -> DataFrame:
     """``doc_id, path, start, candidate, before, after``; ``start`` counts characters from 0."""
@@ -54,23 +66,23 @@ def candidates(docs: DataFrame, least: int = LEAST, path: str = "source") -> Dat
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, " ")
     parts = F.split(F.regexp_replace(text, _TOKEN % least, f"{_MARK}$0{_MARK}"), _MARK)
     cutted = docs.select("doc_id", place.alias("path"), parts.alias("parts")).where(F.size("parts") > 1)
-    # odd entries are the candidates; each gets its neighbours and the length of all before it
-    lengths = F.transform("parts", F.length)
-    found = cutted.withColumn("lengths", lengths).select(
-        "doc_id",
-        "path",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)),
-                lambda i: F.struct(
-                    F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda a, x: a + x).alias("start"),
-                    F.get("parts", i).alias("candidate"),
-                    F.right(F.get("parts", i - 1), F.lit(CONTEXT)).alias("before"),
-                    F.left(F.get("parts", i + 1), F.lit(CONTEXT)).alias("after"),
-                ),
-            )
-        ).alias("f"),
-    )
+    # odd entries are the candidates; each gets its neighbours and the length of all before it,
+    # from the sums of whole blocks and the lengths within its own
+    total = lambda lengths, start, n: F.aggregate(F.slice(lengths, start, n), F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("parts") - 1) / BLOCK).cast("int")), lambda b: total("lengths", b * BLOCK + 1, F.lit(BLOCK)))
+    found = cutted.withColumn("lengths", F.transform("parts", F.length)).withColumn("blocks", blocks)
+
+    def finding(i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        return F.struct(
+            (total("blocks", F.lit(1), block) + total("lengths", block * BLOCK + 1, i - block * BLOCK)).alias("start"),
+            F.get("parts", i).alias("candidate"),
+            F.right(F.get("parts", i - 1), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get("parts", i + 1), F.lit(CONTEXT)).alias("after"),
+        )
+
+    places = F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))
+    found = found.select("doc_id", "path", F.explode(F.transform(places, finding)).alias("f"))
     return found.select("doc_id", "path", "f.*")
 
 
@@ -107,7 +119,7 @@ def features() -> dict[str, Column]:
         "dictionary": 1 - left / length,
         "placeholder": F.lower("candidate").rlike(PLACEHOLDERS).cast("double"),
         "grouped": F.col("candidate").rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$").cast("double"),
-        "known_start": F.col("candidate").rlike("^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[bap]-|eyJ|AIza|glpat-)").cast("double"),
+        "known_start": F.col("candidate").rlike(f"^({_KNOWN})").cast("double"),
         "secret_word": near.rlike(f"({SECRET_WORDS})[\"']?\\W*$").cast("double"),
         "digest_word": near.rlike(f"({DIGEST_WORDS})[\"']?\\W*(of\\W+)?$").cast("double"),
         "assigned": near.rlike("[:=]\\s*[\"']?$").cast("double"),
@@ -156,6 +168,10 @@ def labelled_findings(spark: SparkSession, rows: int = MADE, seed: int = 11) ->
         (0, F.concat(pick(["your_api_key_here_", "EXAMPLEKEY0000", "xxxxxxxxxxxxxxx", "changeme12345678", "0000000000000000", "1234567890abcdef"], 27), chars(digit, F.lit(2), 28)), lead, path),
         (0, F.concat(words(29), F.initcap(words(30)), F.initcap(words(31)), chars(digit, between(1, 4, 32), 33)), plain, path),
         (0, chars(hexa, F.lit(40), 34), lead, pick(["tests/fixtures", "docs/example", "spec/mock", "samples"], 35)),
+        (1, F.concat(pick(["Tr", "kW", "x9", "Q!"], 43), chars(mixed + "&!%.#@", between(7, 13, 44), 45), pick(["&3", "!7", ".q", "#Z"], 46)), lead, path),
+        (1, F.concat(F.lit("AKIA"), chars(upper, F.lit(16), 47)), lead, path),
+        (0, F.concat(pick(["AKIA", "ghp_", "sk_live_"], 48), chars(upper + digit, F.lit(9), 49), pick(["EXAMPLE", "SAMPLE", "TESTKEY"], 50)), lead, path),
+        (0, F.concat(words(52), pick(["-", ".", "_", ""], 51), words(53)), lead, path),
         (0, F.concat(words(36), F.lit("/"), words(37), F.lit("/"), words(38), chars(digit, F.lit(4), 39)), plain, path),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
@@ -168,13 +184,43 @@ def labelled_findings(spark: SparkSession, rows: int = MADE, seed: int = 11) ->
     return shown.withColumn("after", F.concat(quote, F.lit(" and more")))
 
 
+#: Letters without case, then digits, then all else.
+_CLASSES = 28
+
+
+def _folded(column: str) -> str:
+    """SQL: the candidate in characters from ``a`` on, one for each class."""
+    return f"regexp_replace(regexp_replace(lower({column}), '[0-9]', '{{'), '[^a-z{{]', '|')"
+
+
+def transitions(labelled: DataFrame) -> list[float]:
+    """Log-odds of each pair of neighbouring classes, secrets against the rest, 1 added to every count.
+
+    At most ``_CLASSES`` squared rows come to the driver.
+    """
+    chars = labelled.where("length(candidate) > 1").selectExpr("label", f"{_folded('candidate')} AS f")
+    pairs = chars.select("label", F.explode(F.expr("transform(sequence(1, length(f) - 1), i -> (ascii(substr(f, i, 1)) - 97) * 28 + ascii(substr(f, i + 1, 1)) - 97)")).alias("pair"))
+    counted = pairs.groupBy("pair").agg(F.sum("label").alias("secret"), F.sum(1 - F.col("label")).alias("other")).collect()
+    held = {r["pair"]: (r["secret"], r["other"]) for r in counted}
+    size = _CLASSES**2
+    of = [sum(x[i] for x in held.values()) + size for i in (0, 1)]
+    return [math.log((a + 1) / of[0]) - math.log((b + 1) / of[1]) for a, b in (held.get(p, (0, 0)) for p in range(size))]
+
+
 def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> PipelineModel:
     """A forest over ``label, candidate, before, after, path``."""
     made = features()
-    gather = VectorAssembler(inputCols=list(made), outputCol="features")
+    odds = ", ".join(f"{x:.6f}D" for x in transitions(labelled))
+    mean = f"""aggregate(sequence(1, length(_folded) - 1), 0D, (t, i) -> t + get(array({odds}),
+        (ascii(substr(_folded, i, 1)) - 97) * {_CLASSES} + ascii(substr(_folded, i + 1, 1)) - 97)) / (length(_folded) - 1)"""
+    fold = SQLTransformer(statement=f"SELECT *, {_folded('candidate')} AS _folded FROM __THIS__")
+    walk = SQLTransformer(statement=f"SELECT *, IF(length(_folded) > 1, {mean}, 0D) AS transitions FROM __THIS__")
+    gather = VectorAssembler(inputCols=[*made, "transitions"], outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features")
-    rows = gather.transform(labelled.withColumns(made).na.fill(0.0))
-    return PipelineModel([gather, forest.fit(rows)])
+    rows = labelled.withColumns(made).na.fill(0.0)
+    for step in (fold, walk, gather):
+        rows = step.transform(rows)
+    return PipelineModel([fold, walk, gather, forest.fit(rows)])
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, least: int = LEAST, path: str = "source") -> DataFrame:
