@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from metaweave.model import Graph, MetaPath, Traversal
+from metaweave.model import Graph, LouvainSettings, MetaPath, Traversal
+from metaweave.operators import layout as G
+from metaweave.operators import louvain as L
 from metaweave.operators import metapath as M
 from metaweave.operators import product as P
 from metaweave.sources import tables as T
@@ -72,3 +74,25 @@ def test_instances_are_counted_without_the_last_hop(spark, cycles):
     for path in ("AB", "ABA", "AAA", "ABAB", "ABBAA"):
         wanted = M.instances(graph, MetaPath(tuple(path), ("x",) * (len(path) - 1)), Traversal(allow_cycles=cycles)).count()
         assert M.instance_count(graph, MetaPath(tuple(path), ("x",) * (len(path) - 1)), Traversal(allow_cycles=cycles)).first()[0] == wanted
+
+
+def test_exact_moves_by_components(spark):
+    """Three components moved apart end where one sequential run ends, level by level."""
+    draw = random.Random(5)
+    made = sorted({(min(a, b) + 100 * c, max(a, b) + 100 * c) for c in range(3) for a, b in ((draw.randrange(24), draw.randrange(24)) for _ in range(90)) if a != b})
+    canon = spark.createDataFrame([(u, v, 1.0 + (u + v) % 3) for u, v in made], "u bigint, v bigint, w double")
+    whole = sorted(map(tuple, L.louvain(canon, LouvainSettings(), "exact").levels.collect()))
+    assert sorted(map(tuple, L.louvain(canon, LouvainSettings(exact_limit=100), "exact").levels.collect())) == whole
+    with pytest.raises(ValueError, match="at most 20"):
+        L.louvain(canon, LouvainSettings(exact_limit=20), "exact")
+
+
+def test_hop_distances_of_any_number_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(G, "MDS_LIMIT", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 67)] + [(100, 101)], "src bigint, dst bigint")
+    found = {(r.src, r.dst): r.hops for r in G.hop_distances(edges, unreachable=99).collect()}
+    near = lambda a, b: 0 if a == b else 99 if (a < 100) != (b < 100) else 1 if 0 in (a, b) or a >= 100 else 2
+    ids = [*range(67), 100, 101]
+    assert found == {(a, b): near(a, b) for a in ids for b in ids}
+    with pytest.raises(ValueError, match="at most 3"):
+        G.coordinates(edges)
