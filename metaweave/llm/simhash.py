@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaweave.llm.common import LOCATOR, hot_join, kept, known_by, raw_texts, slices, with_locator
+from metaweave.llm.common import LOCATOR, forget_shuffles, hot_join, kept, known_by, raw_texts, slices, with_locator
 from metaweave.operators.components import star_components
 from metaweave.plans.scratch import cut, release
 
@@ -335,7 +335,7 @@ SKETCH = 8
 FEW_NODES = 1 << 20
 
 _SKETCH = [f"b{i}" for i in range(SKETCH)]
-_ROWS = [*LOCATOR, "doc_id", "node", "size", "prefix", "sketch"]
+_ROWS = [*LOCATOR, "doc_id", "node", "fp", "size", "prefix", "sketch"]
 
 
 def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
@@ -409,12 +409,14 @@ def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept(None, lambda: None)
         for batch in slices(batches):
-            nodes, held = zip(*[shingle_set(x, width) for x in raw_texts(batch)])
+            raws = raw_texts(batch)
+            nodes, held = zip(*[shingle_set(x, width) for x in raws])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in LOCATOR],
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    pa.array(np.array([fingerprint(x) for x in raws], np.uint64).view(np.int64)),
                     pa.array([len(x) for x in held], pa.int32()),
                     _lists([prefix(x) for x in held]),
                     _lists([parity_sketch(x) for x in held]),
@@ -422,7 +424,7 @@ def prefixes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
                 names=_ROWS,
             )
 
-    shape = "_dedup_file string, _dedup_row bigint, doc_id bigint, node bigint, size int, prefix array<bigint>, sketch array<bigint>"
+    shape = "_dedup_file string, _dedup_row bigint, doc_id bigint, node bigint, fp bigint, size int, prefix array<bigint>, sketch array<bigint>"
     return docs.select(*LOCATOR, "doc_id", "text").mapInArrow(run, shape)
 
 
@@ -445,7 +447,7 @@ def deal(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     if total <= BIN:
         return pairs.select(F.lit(0).cast("long").alias("cell"), "u", "v")
     cells = 1 + total // BIN
-    ends = cut(ends.join(star_components(pairs), "node"), "ends")
+    ends = cut(ends.join(_components(pairs), "node"), "ends")
     parts = cut(ends.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")), "parts")
     ends = cut(hot_join(ends, parts, "component").drop("n"), "ends")
     known = ends.withColumnRenamed("degree", "n")
@@ -682,17 +684,42 @@ def dense_links(dense: DataFrame, links: DataFrame, similar, similarity: float)
     of pairs. Then what is still in different classes is compared whole.
     """
     links = links.unionByName(similar(cut(star_pairs(dense, similarity), "stars")))
-    parts = star_components(links).select("node", F.col("component").alias("class"))
+    parts = _components(links).select("node", F.col("component").alias("class"))
     known = cut(dense.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node")), "known")
     return links.unionByName(similar(cut(rest_pairs(known, similarity), "rest")))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """Components, each of whose rounds leaves plans and shuffles to the driver's garbage."""
+    out = star_components(links)
+    forget_shuffles(links.sparkSession)
+    return out
+
+
+def simhash_pairs(once: DataFrame) -> DataFrame:
+    """``u, v``: the star of each set of nodes whose fingerprints (``node, fp``) are linked through the BK-trees."""
+    linked = _components(near_links(once)).withColumnRenamed("node", "fp")
+    named = once.join(linked, "fp", "left").select("node", F.coalesce("component", "fp").alias("class"))
+    named = cut(named, "linked")
+    least = named.groupBy("class").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return hot_join(named, cut(least, "least"), "class").where("u <> node").select("u", F.col("node").alias("v"))
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose ends ``links`` don't connect yet."""
+    known = _components(links)
+    a, b = known.select(F.col("node").alias("u"), F.col("component").alias("cu")), known.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where("cu IS NULL OR cv IS NULL OR cu <> cv").select("u", "v")
+
+
 def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """``(rows, links)``: the rows of :func:`prefixes`; links ``u, v`` of nodes that connect all
     similar texts. ``docs`` has the columns ``LOCATOR``.
 
-    Candidates share one of their rarest shingles, as all similar texts do (prefix filter);
-    the similarity of their whole shingle sets decides. Texts with the same set are one node.
+    SimHash comes first: texts whose fingerprints the BK-trees link are compared with one of
+    their set. What it misses is completed: candidates share one of their rarest shingles, as
+    all similar texts do (prefix filter), and lie in different classes yet. The similarity of
+    the whole shingle sets decides in both. Texts with the same set are one node.
     """
     rows = cut(prefixes(docs, width, similarity), "prefixes")
     nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*LOCATOR)).alias("of"))
@@ -702,21 +729,27 @@ def similar_links(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> t
     extra = cut(again.where(" OR ".join(f"{c} <> first{c}" for c in LOCATOR)).select(*LOCATOR), "extra")
     once = known_by(rows, extra, LOCATOR, "left_anti")
     sketches = cut(once.select("node", "size", *[F.col("sketch")[i].alias(c) for i, c in enumerate(_SKETCH)]), "sketches")
+    prints = cut(once.select("node", "fp"), "fps")
     buckets = once.select("node", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "size", "pos")
     found = cut(close_pairs(buckets, similarity), "pairs")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return pairs if pairs.isEmpty() else cut(similar_pairs(pairs, sketches.select("node", "size"), docs, nodes, width, similarity), "similar")
+        if pairs.isEmpty():
+            return pairs
+        out = cut(similar_pairs(pairs, sketches.select("node", "size"), docs, nodes, width, similarity), "similar")
+        forget_shuffles(docs.sparkSession)
+        return out
 
-    close = cut(in_sketch(found.where("v IS NOT NULL").select("u", "v").distinct(), sketches, similarity), "close")
-    links = similar(close)
+    linked = similar(cut(in_sketch(simhash_pairs(prints), sketches, similarity), "linked"))
+    close = in_sketch(found.where("v IS NOT NULL").select("u", "v").distinct(), sketches, similarity)
+    links = linked.unionByName(similar(cut(apart(close, linked), "close")))
     dense = found.where("v IS NULL").select("key", F.col("u").alias("node"))
     if not dense.isEmpty():
         shared = dense.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
         dense = cut(dense.join(sketches.join(shared, "node"), "node"), "dense")
         links = dense_links(dense, links, similar, similarity)
         release(dense)
-    release(found, sketches, extra)
+    release(found, sketches, extra, prints)
     return rows, links
 
 
@@ -724,7 +757,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """One row per row of ``docs`` (with ``LOCATOR``): its id, locator and those of the row that
     names its class, ``stays``: the smallest doc_id, then locator; nulls last."""
     rows, links = similar_links(docs, width, similarity)
-    parts = star_components(links)
+    parts = _components(links)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *LOCATOR)
     named = rows.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")).join(parts, "node", "left")
     named = cut(named.select("node", "n", F.coalesce("component", "node").alias("component"), "least"), "classes")
