@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from metaweave.model import Aggregation
 from metaweave.operators import metapath as M
 from metaweave.operators import totals as X
+from metaweave.plans import queries as Q
 from metaweave.sources import tables as T
 
 FOLDS = {"n": ("sum", None, None), "s": ("sum", "x", "y"), "t": ("sum", "p", "q"), "high": ("max", "p", "q"), "low": ("min", "x", "y"), "one": ("max", "x", None)}
@@ -85,3 +86,10 @@ def test_degrees_in_one_pass(spark, rows, tmp_path):
         wanted = M.with_degrees(M.node_set(M.endpoints(graph, T.SPS), T.SPS), made.edges)
         assert rows(made.nodes) == rows(wanted)
     assert "Window" not in M.materialise(graph, T.SPS).nodes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_moves_are_applied_to_one_table_of_ties(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(Q.T, "supplier_ties", lambda spark, sf_dir, make=T.supplier_ties: made.append(make(spark, sf_dir)) or made[-1])
+    assert Q.l7_applied_moves(spark, "/root/testdata/sf0.001").count() == 10
+    assert len(made) == 1
