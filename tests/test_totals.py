@@ -93,3 +93,17 @@ def test_moves_are_applied_to_one_table_of_ties(spark, monkeypatch):
     monkeypatch.setattr(Q.T, "supplier_ties", lambda spark, sf_dir, make=T.supplier_ties: made.append(make(spark, sf_dir)) or made[-1])
     assert Q.l7_applied_moves(spark, "/root/testdata/sf0.001").count() == 10
     assert len(made) == 1
+
+
+def test_lists_of_ascending_pairs_leave_out_what_lies_below(spark, monkeypatch):
+    """Half of what is shipped: each list's ends up to the smallest of the block's starts."""
+    monkeypatch.setattr(X, "FEW", 0)
+    monkeypatch.setattr(X, "LEAST", 64)
+    rows = spark.range(400).selectExpr("id div 20 AS m", "id * 37 % 400 AS s", "id % 5 AS x")
+    ends = rows.withColumnsRenamed({"s": "e", "x": "y"})
+    got = X.totals(rows, ends, "m", "s", "e", {"w": ("sum", "x", "y")}, "ascending")
+    want = rows.join(ends, "m").where("s < e").groupBy("s", "e").agg({"*": "count"})
+    assert got.count() == want.count() and got.join(want, ["s", "e"], "left_anti").isEmpty()
+    held = rows.join(ends, "m").where("s < e").selectExpr("s", "e", "x * y AS w").groupBy("s", "e").sum("w")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, held.collect()))
+    assert "_past" in got._jdf.queryExecution().optimizedPlan().toString()
